@@ -57,7 +57,9 @@ def _zero_points(df: DataFrame, keys: list[Column], lo: Column, hi: Column, buck
     base = F.sum("total").over(order) - F.col("total")
     before = totals.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("b").alias("_b"), base.alias("base"), "least", F.lead("first").over(order).alias("first_after"), F.min("first").over(entity).alias("first_of_all"))
     before = before.filter("base + least = 0")
-    on = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names] + [F.col("b") == F.col("_b"), F.col("run") == F.col("least")]
+    # null-safe throughout: an inferred "is not null" would make the two sides' exchanges differ and be computed twice;
+    # run <= least instead of equality: an equi-join key would make the large side move once more
+    on = [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in [*names, "b"]] + [F.col("run") <= F.col("least")]
     zero = run.join(before, on).select(*names, "b", "t", F.coalesce("next", "first_after").alias("next"), "first_of_all")
     return zero, names
 
@@ -79,6 +81,6 @@ def periods(df: DataFrame, keys: list[Column], lo: Column, hi: Column, bucket_us
     rows = zero.select("*", F.lag("next").over(inner).alias("here"))
     last = rows.groupBy(*names, "b").agg(F.max("next").alias("n"))
     last = last.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("b").alias("_b"), F.lag("n").over(order).alias("earlier"))
-    rows = rows.join(last, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names] + [F.col("b") == F.col("_b")])
+    rows = rows.join(last, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in [*names, "b"]])
     start = F.coalesce("here", "earlier", "first_of_all")
     return rows.select(*names, F.when(start != LOWEST, start).alias("lo"), F.when(F.col("t") != HIGHEST, F.col("t")).alias("hi"))
