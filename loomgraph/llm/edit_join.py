@@ -78,6 +78,9 @@ def segment_join(probes: DataFrame, targets: DataFrame, k: int) -> DataFrame:
                         rows.extend({(block, text, n, i, text[p : p + size]) for p in range(low, high + 1)})
             yield pd.DataFrame(rows, columns=["block", "target", "n", "i", "piece"])
 
+    # only blocks that stand on both sides are cut
+    here, there = probes.select("block").distinct(), targets.select("block").distinct()
+    probes, targets = probes.join(there, "block", "left_semi"), targets.join(here, "block", "left_semi")
     left = probes.mapInPandas(cut_probes, "block string, probe string, n int, i int, piece string")
     right = targets.mapInPandas(cut_targets, "block string, target string, n int, i int, piece string")
 
@@ -85,5 +88,6 @@ def segment_join(probes: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, k) for x, y in zip(a, b)], dtype="Int32")
 
-    met = left.join(right, ["block", "n", "i", "piece"]).select("block", "probe", "target").distinct()
+    # the pieces outgrow what the optimizer knows of their inputs, so neither side may be broadcast
+    met = left.hint("merge").join(right, ["block", "n", "i", "piece"]).select("block", "probe", "target").distinct()
     return met.select("block", "probe", "target", distance("probe", "target").alias("distance")).filter("distance IS NOT NULL")

@@ -48,7 +48,6 @@ EQUAL_WORDING = (
     (r"\b(?:each|all of the)\b", "every"),
     (r"\bare part of\b", "belong to"),
     (r"\bregistered\b", "recorded"),
-    (r"\bduring (?=\d)", "in "),
     (r"\b(?:mean)\b", "average"),
     (r"\b(?:show|with|having|report) an?\b", "have a"),
     (r"\b(?:over|more than|greater than|higher than|exceeding)\b(?= \d)", "above"),
@@ -57,6 +56,8 @@ EQUAL_WORDING = (
     (r"\b(?:connected|tied) to\b", "linked to"),
     (r"^what (?!is |are )", "which "),
 )
+#: Words of equal meaning, replaced after slips are mended.
+EQUAL_WORDS = {"during": "in", "mean": "average", "registered": "recorded", "each": "every", "over": "above", "under": "below"}
 #: Number words.
 NUMBER_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
 _NUMBER_WORD = re.compile(r"\b(?:" + "|".join(NUMBER_WORDS) + r")\b")
@@ -236,9 +237,10 @@ def frequent_words(prepared: DataFrame, share: float = 0.002, max_words: int = 2
     return {r[0]: r[1] for r in bounded_rows(words.filter(F.col("count") >= max(3, share * n)), max_words, "the table of frequent words")}
 
 
-def class_overlaps(prepared: DataFrame, k_same_query: int = 8, k_question: int = 2, share: float = 0.002) -> tuple[DataFrame, DataFrame]:
+def class_overlaps(prepared: DataFrame, k_same_query: int = 6, k_question: int = 2, share: float = 0.002) -> tuple[DataFrame, DataFrame]:
     """(members, links): members (run, block, text, id, split, source) and links (run, block, probe, target) between classes of equal block and text."""
     frequent = frequent_words(prepared, share)
+    known = {*frequent, *EQUAL_WORDS.values()}
 
     @F.pandas_udf("frame string, content string")
     def framed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -249,12 +251,13 @@ def class_overlaps(prepared: DataFrame, k_same_query: int = 8, k_question: int =
                 if not isinstance(q, str):
                     rows.append((None, None))
                     continue
-                tokens = [mend(t, frequent, memo) for t in q.split()]
-                frame = sorted(t for t in tokens if t in frequent or any(c.isdigit() for c in t))
-                rows.append((" ".join(frame), " ".join(t for t in tokens if t not in frequent and not any(c.isdigit() for c in t))))
+                tokens = [EQUAL_WORDS.get(t, t) for t in (mend(t, frequent, memo) for t in q.split())]
+                frame = sorted(t for t in tokens if t in known or any(c.isdigit() for c in t))
+                rows.append((" ".join(frame), " ".join(t for t in tokens if t not in known and not any(c.isdigit() for c in t))))
             yield pd.DataFrame(rows, columns=["frame", "content"])
 
     base = prepared.select("*", framed("q").alias("f")).select("id", "split", "source", "q", "s", "f.frame", "f.content", (F.col("split") == "train").alias("is_train"))
+    base = materialize(base, "framed")
     key = lambda *c: F.concat_ws("\u0001", *c)
     numbers = F.concat_ws(" ", F.array_sort(F.regexp_extract_all("q", F.lit(r"\d[\d.]*"), F.lit(0))))
     runs = []
