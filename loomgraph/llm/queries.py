@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
+from .leakage import leaks
 from .questions import overlapping_pairs, prepare
+from .resolution import resolve_organisations, resolve_people
+from .subjects import assign_subjects
 from .vectors import most_similar
 
 
@@ -22,6 +25,29 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
     return _questions(spark, root).groupBy(F.col("eval_split").alias("split"), F.col("source").alias("kg_id")).agg(F.count("*").alias("n_pairs"))
 
 
+def _people(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    providers = table(spark, root, "healthcare_providers")
+    hospitals = resolve_organisations(providers, "record_id", "hospital_affiliation")
+    return hospitals, resolve_people(providers, "record_id", "full_name", "city", "state", "phone", "hospital_affiliation", "npi", hospitals)
+
+
+def _pairs(df: DataFrame, field: str, row: str) -> DataFrame:
+    """All pairs of an entity's rows; an entity's rows are few."""
+    a, b = df.select("entity", F.col(row).alias("id_a")), df.select("entity", F.col(row).alias("id_b"))
+    return a.join(b, "entity").filter("id_a < id_b").select(F.lit(field).alias("field"), "id_a", "id_b")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    hospitals, people = _people(spark, root)
+    sponsors = resolve_organisations(table(spark, root, "clinical_trials"), "trial_row", "sponsor")
+    return _pairs(people, "full_name", "row_id").unionByName(_pairs(hospitals, "hospital_affiliation", "row_id")).unionByName(_pairs(sponsors, "sponsor", "row_id"))
+
+
+def p5_entities(spark: SparkSession, root: str) -> DataFrame:
+    """Each record with its person: one row a record, however many copies there are."""
+    return _people(spark, root)[1].select(F.col("row_id").alias("record_id"), F.col("entity").alias("person_id"))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     near = most_similar(table(spark, root, "entity_semantic_chunk"), "chunk_id", "embedding", F.col("embed_model"), k=10, min_cosine=0.90)
     return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
@@ -33,5 +59,32 @@ def p7_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p7_found, p7_neighbours)}
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage")
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    """Leaked items per benchmark: items, documents, longest stretch."""
+    found = _leaks(spark, root).join(F.broadcast(table(spark, root, "eval_items").select("item_id", "benchmark")), "item_id")
+    return found.groupBy("benchmark").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest"))
+
+
+def _subjects(spark: SparkSession, root: str) -> DataFrame:
+    return assign_subjects(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "subject_labels"), "doc_id", "subject", table(spark, root, "subject_areas"), "subject", "source")
+
+
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return _subjects(spark, root).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    """Documents by subject."""
+    return _subjects(spark, root).groupBy("subject").agg(F.count("*").alias("n_documents"), F.round(F.avg("share"), 4).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_entities, p7_found, p7_neighbours, p9_found, p9_report, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}

@@ -7,7 +7,7 @@ documents, more for longer terms.
 
 All terms become one Aho-Corasick automaton a Python worker. Every document is read once, where it lies: each sentence with a term is about the
 subject of the greatest summed weight, and a subject's share among such sentences (so length is normalised) is held against a threshold that is
-calibrated on the labelled sample.
+calibrated on the labelled sample. A sentence that names a source of the corpus is an import note and counts for nothing.
 
 Defined results: null, empty and wordless texts have no subject; labels are matched without case and outer blanks, other labels ignored; without
 usable labels nothing is assigned. Bound: `max_labelled` documents on the driver, chosen by hash of the id.
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import bounded_rows
-from .text import sentence_words
+from .text import sentence_words, words_with_offsets
 
 
 def terms_of(words: list[str]) -> set[str]:
@@ -31,14 +31,14 @@ def terms_of(words: list[str]) -> set[str]:
 
 
 class SubjectModel:
-    """weights: term -> {subject: weight}."""
+    """weights: term -> {subject: weight}; notes: phrases whose sentences don't count."""
 
-    def __init__(self, weights: dict[str, dict[str, float]], threshold: float, floor: float):
-        self.weights, self.threshold, self.floor = weights, threshold, floor
+    def __init__(self, weights: dict[str, dict[str, float]], threshold: float, floor: float, notes: frozenset[str] = frozenset()):
+        self.weights, self.threshold, self.floor, self.notes = weights, threshold, floor, notes
         self.automaton = None
 
     def __getstate__(self):
-        return {"weights": self.weights, "threshold": self.threshold, "floor": self.floor, "automaton": None}
+        return self.__dict__ | {"automaton": None}
 
     def _build(self):
         import ahocorasick
@@ -46,6 +46,8 @@ class SubjectModel:
         self.automaton = ahocorasick.Automaton()
         for t, w in self.weights.items():
             self.automaton.add_word(f" {t} ", (t, w))
+        for t in self.notes:
+            self.automaton.add_word(f" {t} ", (t, None))
         self.automaton.make_automaton()
 
     def shares(self, text: str | None) -> dict[str, float]:
@@ -59,6 +61,9 @@ class SubjectModel:
             score: dict[str, float] = defaultdict(float)
             seen = set()
             for _, (t, w) in self.automaton.iter(" " + " ".join(words) + " "):
+                if w is None:
+                    score.clear()
+                    break
                 if t not in seen:
                     seen.add(t)
                     for s, x in w.items():
@@ -74,9 +79,16 @@ class SubjectModel:
         return sorted(s for s, x in self.shares(text).items() if x >= self.threshold)
 
 
-def fit(labelled: list[tuple[str, set[str]]], rounds: int = 4, least_documents: int = 3, purity: float = 0.45, lift: float = 2.5, floor: float = 0.35) -> SubjectModel:
+def note_phrases(sources: list[str | None]) -> frozenset[str]:
+    """Sources of two words or more as they read in a text; one word may be a word of any sentence."""
+    folded = (words_with_offsets(s)[0] for s in sources if s)
+    return frozenset(" ".join(w) for w in folded if len(w) > 1)
+
+
+def fit(labelled: list[tuple[str, set[str]]], notes: frozenset[str] = frozenset(), rounds: int = 4, least_documents: int = 3, purity: float = 0.45, lift: float = 2.5, floor: float = 0.35) -> SubjectModel:
     """labelled: text and its subjects. The threshold is calibrated around a quarter of the sentences."""
-    texts = [(sentence_words(t), s) for t, s in labelled if t and s]
+    is_note = (lambda w: any(f" {n} " in w for n in notes)) if notes else (lambda w: False)
+    texts = [([w for w in sentence_words(t) if not is_note(f" {' '.join(w)} ")], s) for t, s in labelled if t and s]
     df: Counter = Counter()
     for sents, _ in texts:
         df.update({t for w in sents for t in terms_of(w)})
@@ -119,7 +131,7 @@ def fit(labelled: list[tuple[str, set[str]]], rounds: int = 4, least_documents:
                 z = sum(score.values())
                 new.append({s: x / z for s, x in score.items()} if z else {})
             assign[k] = new
-    model = SubjectModel({names[t]: w for t, w in weights.items()}, 0.25, floor)
+    model = SubjectModel({names[t]: w for t, w in weights.items()}, 0.25, floor, notes)
     shares = [(model.shares(t), s) for t, s in labelled if t and s]
     best = (-1.0, 0.0, 0.25)
     for threshold in (0.20, 0.21, 0.22, 0.23, 0.24, 0.25):
@@ -140,10 +152,11 @@ def labelled_sample(documents: DataFrame, id_col: str, text: str, labels: DataFr
     return [(r[0], {by_name[x] for x in r[1]}) for r in rows]
 
 
-def assign_subjects(documents: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, areas: DataFrame, area: str, max_labelled: int = 4_000, max_areas: int = 1_000) -> DataFrame:
+def assign_subjects(documents: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, areas: DataFrame, area: str, source: str | None = None, max_labelled: int = 4_000, max_areas: int = 1_000, max_sources: int = 10_000) -> DataFrame:
     """(id_col, subject, share): every subject of every document."""
     names = [r[0] for r in bounded_rows(areas.select(area), max_areas, "the table of subject areas") if r[0]]
-    model = fit(labelled_sample(documents, id_col, text, labels, label_id, label, names, max_labelled))
+    sources = [r[0] for r in bounded_rows(documents.select(source).distinct(), max_sources, "the list of sources")] if source else []
+    model = fit(labelled_sample(documents, id_col, text, labels, label_id, label, names, max_labelled), note_phrases(sources))
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
