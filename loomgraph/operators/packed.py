@@ -3,7 +3,7 @@
 Two passes, neither of which moves rows between tasks:
 
 1. `delimiter_profile`: one aggregation per source scores each candidate delimiter by the consistency of its
-   piece count and by how regular the types of its pieces are (JVM expressions, partial aggregation, one row a source).
+   piece count and by how regular the types of its pieces are (reduced in each batch, so one row a source and candidate moves).
 2. `split_packed`: every value is cut by the segmentation of least cost. The cost of a delimiter falls with its score in
    the source, a piece that is a known term costs least, so a comma inside a known term doesn't cut.
 
@@ -45,30 +45,51 @@ CANDIDATES = (
     ("and", r"\s+and\s+"),
 )
 #: A piece of regular type: starts with a letter or digit in any script and holds none of the strong delimiters.
-REGULAR = r"^[\"'\[{(]*[\p{Lu}\p{N}][^|;\t\r\n•·]{0,60}$"
+REGULAR = re.compile(r"[\"'\[{(]*[A-ZÀ-ÖØ-Þ0-9][^|;\t\r\n•·]{0,60}$")
 NUMBERED = re.compile(r"(?:^|[,;|\s])\s*\d{1,3}[.)]\s+")
 _QUOTED = re.compile(r'"((?:[^"\\]|\\.|"")*)"')
 
 
 def delimiter_profile(df: DataFrame, source: Column, value: Column) -> DataFrame:
-    """One row per source and candidate delimiter: rows that hold it, consistency of piece counts, regularity, score."""
-    base = df.select(source.alias("source"), value.alias("value")).filter(F.trim("value") != "")
-    aggs = []
-    for name, pattern in CANDIDATES:
-        pieces = F.filter(F.split("value", pattern), lambda x: F.length(x) > 0)
-        has = F.when(F.col("value").rlike(pattern), F.size(pieces).cast("double"))
-        regular = F.size(F.filter(pieces, lambda x: x.rlike(REGULAR))).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(name).alias("delimiter"),
-                F.count(has).alias("n_rows"),
-                (F.lit(1.0) / (1.0 + F.coalesce(F.stddev_pop(has) / F.avg(has), F.lit(0.0)))).alias("consistency"),
-                F.coalesce(F.sum(F.when(has.isNotNull(), regular)) / F.sum(has), F.lit(0.0)).alias("regularity"),
-            )
-        )
-    wide = base.groupBy("source").agg(F.array(*aggs).alias("d"))
-    out = wide.select("source", F.inline("d"))
-    return out.select("*", F.when(F.col("n_rows") > 0, F.col("consistency") * F.col("regularity")).otherwise(0.0).alias("score"))
+    """One row per source and candidate delimiter: rows that hold it, consistency of piece counts, regularity, score.
+
+    Every batch is reduced to at most one row a source and candidate before anything moves.
+    """
+    compiled = [(n, re.compile(p)) for n, p in CANDIDATES]
+
+    def measure(text: str) -> list[tuple[str, int, int]]:
+        out = []
+        for name, pattern in compiled:
+            if pattern.search(text):
+                pieces = [x for x in pattern.split(text) if x]
+                out.append((name, len(pieces), sum(1 for x in pieces if REGULAR.match(x))))
+        return out
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, list] = {}
+        for b in batches:
+            sums: dict[tuple, list[int]] = {}
+            for s, v in zip(b["source"], b["value"]):
+                if v not in memo:
+                    if len(memo) > 50_000:
+                        memo.clear()
+                    memo[v] = measure(v)
+                for name, n, regular in memo[v]:
+                    t = sums.setdefault((s, name), [0, 0, 0, 0])
+                    t[0] += 1
+                    t[1] += n
+                    t[2] += n * n
+                    t[3] += regular
+            yield pd.DataFrame([(*k, *t) for k, t in sums.items()], columns=["source", "delimiter", "n", "pieces", "squares", "regular"])
+
+    base = df.select(source.cast("string").alias("source"), value.alias("value")).filter(F.trim("value") != "")
+    sums = base.mapInPandas(partial, "source string, delimiter string, n long, pieces long, squares long, regular long").groupBy("source", "delimiter").sum()
+    n, pieces, squares, regular = (F.col(f"sum({c})").cast("double") for c in ("n", "pieces", "squares", "regular"))
+    mean = pieces / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), squares / n - mean * mean))
+    consistency = F.when(pieces > 0, 1.0 / (1.0 + spread / mean)).otherwise(0.0)
+    regularity = F.when(pieces > 0, regular / pieces).otherwise(0.0)
+    return sums.select("source", "delimiter", F.col("sum(n)").alias("n_rows"), consistency.alias("consistency"), regularity.alias("regularity"), (consistency * regularity).alias("score"))
 
 
 class Splitter:

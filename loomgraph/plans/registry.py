@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import packed_wide_spatial_interval as general
+from . import graph, history, packed_wide_spatial_interval as general, scalars, search_geo_matching, statistics
 
-MODULES = [general]
-FLAGSHIP = general.p2_found
+MODULES = [general, graph, scalars, statistics, history, search_geo_matching]
+FLAGSHIP = graph.QUERIES["bgp_join_group"]
 
 
 def queries() -> dict:
