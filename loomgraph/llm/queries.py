@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import table
 from .leakage import leaks
+from .packing import pack
 from .questions import overlapping_pairs, prepare
 from .resolution import resolve_organisations, resolve_people
 from .subjects import assign_subjects
@@ -59,6 +60,26 @@ def p7_neighbours(spark: SparkSession, root: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
 
 
+#: The model whose context is filled.
+CONTEXT_MODEL = "blikolaemark-79b"
+
+
+def _packed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    capacity = table(spark, root, "llm_models").filter(F.col("model_id") == CONTEXT_MODEL).agg(F.max("context_length")).first()[0]
+    return pack(table(spark, root, "documents"), "doc_id", "text", capacity), capacity
+
+
+def p8_contexts(spark: SparkSession, root: str) -> DataFrame:
+    """Each piece of a document with its place in a context of the model."""
+    return _packed(spark, root)[0]
+
+
+def p8_report(spark: SparkSession, root: str) -> DataFrame:
+    """Contexts, documents, cut documents and the share of room that is used."""
+    packed, capacity = _packed(spark, root)
+    return packed.agg(F.countDistinct("context_id").alias("n_contexts"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.when(F.col("piece") > 0, 1).otherwise(0)).alias("n_cuts"), F.round(F.sum("n_tokens") / (F.countDistinct("context_id") * capacity), 4).alias("fill"))
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage")
 
@@ -86,5 +107,5 @@ def p10_composition(spark: SparkSession, root: str) -> DataFrame:
     return _subjects(spark, root).groupBy("subject").agg(F.count("*").alias("n_documents"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_entities, p7_found, p7_neighbours, p9_found, p9_report, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_entities, p7_found, p7_neighbours, p8_contexts, p8_report, p9_found, p9_report, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
