@@ -175,7 +175,7 @@ def candidate_pairs(vectors: DataFrame, width: int, k: int, floor: float, orderi
     return spread_rows.groupBy("part").applyInPandas(compare, "a long, b long").filter("a <> b").distinct()
 
 
-def most_similar(df: DataFrame, id_col: str, vector: str, group: Column, width: int = 64, k: int = 10, min_cosine: float = -1.0, orderings: int = 12, dims: int = 9, bits: int = 7, window: int = 128, block: int = 256, range_rows: int = 20_000, sample_rows: int = 20_000) -> DataFrame:
+def most_similar(df: DataFrame, id_col: str, vector: str, group: Column, width: int = 64, k: int = 10, min_cosine: float = -1.0, orderings: int = 8, dims: int = 9, bits: int = 7, window: int = 128, block: int = 256, range_rows: int = 20_000, sample_rows: int = 20_000) -> DataFrame:
     """(id, neighbour, cosine, rank) of the `k` most similar of each usable vector within its group.
 
     min_cosine restricts the result to neighbours of at least that cosine; the search uses it, too (less the error of
@@ -201,3 +201,34 @@ def most_similar(df: DataFrame, id_col: str, vector: str, group: Column, width:
     directed = scored.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour"), "cosine"))))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return directed.select("*", rank.alias("rank")).filter(F.col("rank") <= k)
+
+
+def exact_neighbours(df: DataFrame, id_col: str, vector: str, group: Column, queries: Column, width: int = 64, k: int = 10, chunk_rows: int = 4096) -> DataFrame:
+    """(id, neighbour, cosine, rank) by brute force for the rows that `queries` selects, against all rows: chunks of vectors meet blocks of queries, one matrix product each."""
+    v = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(group.cast("string"), F.lit("")).alias("grp"), F.col(vector).cast("array<float>").alias("v"), queries.alias("is_query")).filter(F.col("id").isNotNull() & usable(F.col("v"), width))
+
+    def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, part in b.groupby("grp", sort=False):
+                for i in range(0, len(part), chunk_rows):
+                    x = part.iloc[i : i + chunk_rows]
+                    yield pd.DataFrame({"grp": [g], "ids": [x["id"].to_numpy().tobytes()], "m": [_unit(x["v"]).tobytes()]})
+
+    schema = "grp string, ids binary, m binary"
+    all_rows = v.select("id", "grp", "v").mapInPandas(chunks, schema)
+    asked = v.filter("is_query").select("id", "grp", "v").mapInPandas(chunks, schema)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qi, qm, ri, rm in zip(b["qids"], b["qm"], b["ids"], b["m"]):
+                qi, ri = np.frombuffer(qi, np.int64), np.frombuffer(ri, np.int64)
+                sim = np.frombuffer(qm, np.float32).reshape(-1, width) @ np.frombuffer(rm, np.float32).reshape(-1, width).T
+                sim[qi[:, None] == ri[None, :]] = -2
+                n = min(k, sim.shape[1])
+                top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
+                yield pd.DataFrame({"id": np.repeat(qi, n), "neighbour": ri[top].ravel(), "cosine": np.take_along_axis(sim, top, 1).ravel().astype(np.float64)})
+
+    met = all_rows.join(asked.select("grp", F.col("ids").alias("qids"), F.col("m").alias("qm")), "grp")
+    found = met.select("qids", "qm", "ids", "m").mapInPandas(products, "id long, neighbour long, cosine double").filter("cosine > -1.5")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
+    return found.select("*", rank.alias("rank")).filter(F.col("rank") <= k)
