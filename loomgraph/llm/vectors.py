@@ -172,7 +172,8 @@ def candidate_pairs(vectors: DataFrame, width: int, k: int, floor: float, orderi
         return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
     spread_rows = vectors.mapInPandas(spread, "part int, key long, id long, q binary")
-    return spread_rows.groupBy("part").applyInPandas(compare, "a long, b long").filter("a <> b").distinct()
+    # as many partitions as the ranges need, whatever the session's default
+    return spread_rows.repartition(max(1, base // 2), "part").groupBy("part").applyInPandas(compare, "a long, b long").filter("a <> b").distinct()
 
 
 def most_similar(df: DataFrame, id_col: str, vector: str, group: Column, width: int = 64, k: int = 10, min_cosine: float = -1.0, orderings: int = 8, dims: int = 9, bits: int = 7, window: int = 128, block: int = 256, range_rows: int = 20_000, sample_rows: int = 20_000) -> DataFrame:
@@ -194,7 +195,8 @@ def most_similar(df: DataFrame, id_col: str, vector: str, group: Column, width:
         return pd.Series(np.einsum("ij,ij->i", x, y) / np.linalg.norm(x, axis=1) / np.linalg.norm(y, axis=1))
 
     full = v.select("id", "v")
-    both = pairs.join(full.withColumnRenamed("id", "a").withColumnRenamed("v", "va"), "a").join(full.withColumnRenamed("id", "b").withColumnRenamed("v", "vb"), "b")
+    # the candidates grow with the data, so they are not to be broadcast
+    both = pairs.hint("merge").join(full.withColumnRenamed("id", "a").withColumnRenamed("v", "va"), "a").hint("merge").join(full.withColumnRenamed("id", "b").withColumnRenamed("v", "vb"), "b")
     scored = both.select("a", "b", cosine("va", "vb").alias("cosine"))
     if min_cosine > -1:
         scored = scored.filter(F.col("cosine") >= min_cosine)
