@@ -100,7 +100,23 @@ marked AS (
   SELECT *, max(hi) OVER (PARTITION BY tenant_id, kg_name, entity_uri ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM spans)
 """
+_CELLS = r"""
+raw AS (SELECT id, extracted_at AS ts, i, attributes[i] AS a FROM (SELECT id, extracted_at, attributes, unnest(range(1, len(attributes) + 1)) AS i FROM coffee_shops WHERE id IS NOT NULL)),
+named AS (
+  SELECT id, ts, i, d.name, d.datatype AS t, a.value AS v, regexp_replace(a.value, '^\s+|\s+$', '', 'g') AS w
+  FROM raw JOIN attribute_declarations d ON regexp_replace(lower(a.name), '[^a-z0-9]', '', 'g') = replace(d.name, '_', '') WHERE d.type_name = 'CoffeeShop'),
+present AS (SELECT * FROM named WHERE w IS NOT NULL AND lower(w) NOT IN ('', '-', '--', '---', '?', 'null', 'none', 'nil', 'nan', 'n/a', 'na', 'unknown', 'tbd', 'not available', 'not applicable', 'undefined')),
+read AS (SELECT *, CASE t
+  WHEN 'integer' THEN CASE WHEN regexp_matches(w, '^[-+]?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\.0+)?$') THEN regexp_replace(replace(w, ',', ''), '^\+?(-?)0*([0-9]+)(\.0+)?$', '\1\2') END
+  WHEN 'float' THEN printf('%.2f', CASE WHEN regexp_matches(w, '^[-+]?[0-9]+,[0-9]+$') THEN TRY_CAST(replace(w, ',', '.') AS DOUBLE) WHEN regexp_matches(w, '^[-+]?[0-9]+(\.[0-9]*)?$') THEN TRY_CAST(w AS DOUBLE) END)
+  WHEN 'boolean' THEN CASE WHEN lower(w) IN ('true', '1', 'yes', 'on', 't', 'y') THEN 'true' WHEN lower(w) IN ('false', '0', 'no', 'off', 'f', 'n') THEN 'false' END
+  WHEN 'datetime' THEN strftime(try_strptime(w, ['%Y-%m-%d', '%Y/%m/%d', '%m/%d/%Y', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%SZ', '%B %d, %Y', '%b %d, %Y', '%d %b %Y', '%d %B %Y']), '%Y-%m-%d %H:%M:%S')
+  WHEN 'geo' THEN CASE WHEN regexp_matches(w, '^POINT ?\(') THEN regexp_replace(w, '^POINT ?\(([^ ]+) ([^)]+)\)$', 'POINT(\1 \2)') WHEN regexp_matches(w, '^[-+0-9.]+,[-+0-9.]+$') THEN regexp_replace(w, '^([^,]+),(.+)$', 'POINT(\2 \1)') END
+  WHEN 'uri' THEN CASE WHEN regexp_matches(w, '^https?://\S+$') THEN w END
+  ELSE w END AS value FROM present)"""
 ORACLE = {
+    "p2_found": f"WITH {_CELLS} SELECT id, name, value FROM read WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ts DESC, i DESC) = 1",
+    "p2_failures": f"WITH {_CELLS} SELECT id, name, v AS value FROM read WHERE value IS NULL QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ts DESC, i DESC) = 1",
     "p6_found": f"WITH {_RANGES} SELECT tenant_id, kg_name, entity_uri, before // 1000000 AS gap_from, lo // 1000000 AS gap_to FROM marked WHERE lo > before",
     "p6_periods": f"""WITH {_RANGES}, numbered AS (
         SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, kg_name, entity_uri ORDER BY lo, hi) AS n FROM marked)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_sources, graph, history, packed_wide_spatial_interval as general, scalars, search_geo_matching, statistics
+from . import catalog_sources, graph, history, packed_wide_spatial_interval as general, scalars, schema_index, search_geo_matching, statistics
 
-MODULES = [general, graph, scalars, statistics, history, search_geo_matching, catalog_sources]
+MODULES = [general, graph, scalars, statistics, history, search_geo_matching, catalog_sources, schema_index]
 FLAGSHIP = graph.QUERIES["bgp_join_group"]
 
 
