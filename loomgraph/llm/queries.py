@@ -63,12 +63,12 @@ def p7_recall(spark: SparkSession, root: str) -> DataFrame:
     return both.groupBy("min_cosine").agg(F.count("*").alias("n_true"), F.count("found").alias("n_found"), F.round(F.count("found") / F.count("*"), 4).alias("recall"))
 
 
-#: The model whose context is filled.
-CONTEXT_MODEL = "blikolaemark-79b"
+#: Contexts are those of the model with the shortest context of at least so many tokens.
+LEAST_CONTEXT = 2048
 
 
 def _packed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    capacity = table(spark, root, "llm_models").filter(F.col("model_id") == CONTEXT_MODEL).agg(F.max("context_length")).first()[0]
+    capacity = table(spark, root, "llm_models").filter(F.col("context_length") >= LEAST_CONTEXT).agg(F.min("context_length")).first()[0]
     return pack(table(spark, root, "documents"), "doc_id", "text", capacity), capacity
 
 
