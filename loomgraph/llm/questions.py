@@ -189,7 +189,10 @@ def canonical_query(q: str | None) -> str | None:
         for v in variables:
             seen = sorted(f"{s}:{show(ts, v)}" for s, ts in [("head", tuple(head)), ("tail", tuple(tail)), *items] if v in ts)
             new[v] = "?" + hashlib.md5("\n".join(seen).encode()).hexdigest()[:12]
+        settled = len(set(new.values())) in (len(variables), len(set(role.values())))
         role = new
+        if settled:
+            break
     return show(head) + " { " + " . ".join(sorted(f"{s}:{show(ts)}" for s, ts in items)) + " } " + show(tail)
 
 
