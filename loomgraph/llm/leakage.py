@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..runtime import bounded_rows
-from .text import sentences, words_with_offsets
+from .text import sentences, words_of, words_with_offsets
 
 
 def item_words(items: list[tuple[int, str]], shared_by: int = 3) -> dict[int, list[str | None]]:
@@ -134,7 +134,7 @@ class Scanner:
         """(item, words, start, end) of each item that leaks into the text."""
         if self.empty or not text:
             return []
-        words, starts, ends = words_with_offsets(text)
+        words = words_of(text)
         if len(words) < self.seed:
             return []
         line = " " + " ".join(words) + " "
@@ -149,7 +149,8 @@ class Scanner:
             j = position[end - length + 1]
             for item, i in where:
                 seeds[item].append((j - i, j))
-        out = []
+        out: list[tuple[int, int, int, int]] = []
+        starts: list[int] | None = None
         for item, found in seeds.items():
             passage = self.passages[item]
             best = None
@@ -172,9 +173,11 @@ class Scanner:
                 if stretch:
                     a, b = matched[stretch[0]], matched[stretch[1]]
                     if best is None or b[0] - a[0] + 1 > best[0]:
-                        best = (b[0] - a[0] + 1, starts[a[1]], ends[b[1]])
+                        best = (b[0] - a[0] + 1, a[1], b[1])
             if best:
-                out.append((item, *best))
+                if starts is None:  # offsets are worked out for the few texts that leak
+                    _, starts, ends = words_with_offsets(text)
+                out.append((item, best[0], starts[best[1]], ends[best[2]]))
         return out
 
 
