@@ -85,7 +85,7 @@ def note_phrases(sources: list[str | None]) -> frozenset[str]:
     return frozenset(" ".join(w) for w in folded if len(w) > 1)
 
 
-def fit(labelled: list[tuple[str, set[str]]], notes: frozenset[str] = frozenset(), rounds: int = 4, least_documents: int = 3, purity: float = 0.45, lift: float = 2.5, floor: float = 0.35) -> SubjectModel:
+def fit(labelled: list[tuple[str, set[str]]], notes: frozenset[str] = frozenset(), rounds: int = 4, least_documents: int = 3, purity: float = 0.45, gain: float = 0.35, floor: float = 0.35) -> SubjectModel:
     """labelled: text and its subjects. The threshold is calibrated around a quarter of the sentences."""
     is_note = (lambda w: any(f" {n} " in w for n in notes)) if notes else (lambda w: False)
     texts = [([w for w in sentence_words(t) if not is_note(f" {' '.join(w)} ")], s) for t, s in labelled if t and s]
@@ -116,7 +116,8 @@ def fit(labelled: list[tuple[str, set[str]]], notes: frozenset[str] = frozenset(
                 continue
             p = {s: (c.get(s, 0.0) + 0.5 * total[s] / everything) / (n + 0.5) for s in subjects}
             top = max(p, key=p.__getitem__)
-            if p[top] >= purity and p[top] >= lift * total[top] / everything:
+            prior = total[top] / everything
+            if p[top] >= max(purity, prior + gain * (1 - prior)):
                 rarity = 0.5 + 0.5 * math.log((len(data) + 1) / often[t]) / math.log(len(data) + 1)
                 scale = (1 + 0.3 * names[t].count(" ")) * rarity
                 weights[t] = {s: x**3 * scale for s, x in p.items() if x > 0.05}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 #: UTF-8 read as Windows-1252 or Latin-1: a lead character and what follows it.
 _MOJIBAKE = re.compile(r"[Â-ß][\u0080-¿ŒœŠšŸŽžƒˆ˜–-…‰‹›€™]|â[\u0080-¿Œ-™]{2}")
@@ -30,9 +31,9 @@ def fold_word(w: str) -> str:
 
 def words_with_offsets(text: str) -> tuple[list[str], list[int], list[int]]:
     """Folded words (markup skipped, broken encoding mended), and where each starts and ends in the text as given."""
-    shift: list[tuple[int, int]] = []  # (position in the mended text from which on so many characters are missing)
+    stages: list[list[tuple[int, int]]] = []  # per change of the text: (position from which on so many characters are missing)
     if not _ASCII.match(text):
-        gone = 0
+        gone, shift = 0, []
 
         def mend(m: re.Match) -> str:
             nonlocal gone
@@ -44,21 +45,18 @@ def words_with_offsets(text: str) -> tuple[list[str], list[int], list[int]]:
             return new
 
         text = _MOJIBAKE.sub(mend, text)
+        stages.append(shift)
         if not unicodedata.is_normalized("NFC", text):
-            # combining marks are kept apart by the pattern for words, so they are dropped one by one
-            out, gone_here = [], 0
-            marks = []
+            # combining marks would be kept apart by the pattern for words
+            out, marks, dropped = [], [], 0
             for i, c in enumerate(text):
                 if unicodedata.combining(c):
-                    gone_here += 1
-                    marks.append((i + 1 - gone_here, gone_here))
+                    dropped += 1
+                    marks.append((i + 1 - dropped, dropped))
                 else:
                     out.append(c)
-            if not shift:
-                shift, text = marks, "".join(out)
-            elif marks:  # both at once: positions are those of the mended text before marks are dropped
-                text = "".join(out)
-                shift = sorted(shift + marks)
+            text = "".join(out)
+            stages.append(marks)
     words, starts, ends = [], [], []
     for m in _WORD.finditer(text):
         if m.lastgroup == "skip":
@@ -66,16 +64,15 @@ def words_with_offsets(text: str) -> tuple[list[str], list[int], list[int]]:
         words.append(fold_word(m[0]))
         starts.append(m.start())
         ends.append(m.end())
-    if shift:
-        from bisect import bisect_right
+    for shift in reversed(stages):
+        if shift:
+            places = [p for p, _ in shift]
 
-        places = [s for s, _ in shift]
+            def original(x: int, places: list[int] = places, shift: list[tuple[int, int]] = shift) -> int:
+                k = bisect_right(places, x)
+                return x + (shift[k - 1][1] if k else 0)
 
-        def original(x: int) -> int:
-            i = bisect_right(places, x)
-            return x + (shift[i - 1][1] if i else 0)
-
-        starts, ends = [original(x) for x in starts], [original(x - 1) + 1 if x else 0 for x in ends]
+            starts, ends = [original(x) for x in starts], [original(x) for x in ends]
     return words, starts, ends
 
 
