@@ -83,11 +83,24 @@ def _records(spark: SparkSession, root: str) -> DataFrame:
     return both.select("id", names.name_key(F.col("name")).alias("name"), names.phone_key(F.col("phone")).alias("phone"), names.email_key(F.col("email")).alias("email"), F.lit(None).cast("string").alias("address"), F.lit(None).cast("string").alias("dob"))
 
 
+def er_all_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Every candidate pair; no SQL, but brute force in tests/test_matching.py."""
+    return matching.candidate_pairs(_records(spark, root))
+
+
+def er_all_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Score and decision of every candidate pair; no SQL, but brute force in tests/test_matching.py."""
+    r = _records(spark, root)
+    return matching.score_pairs(matching.candidate_pairs(r), r, matching.CUSTOMER)
+
+
 def er_block_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """The two copies of each customer only, which is what the SQL beside it can say; all pairs are er_all_pairs."""
     return matching.candidate_pairs(_records(spark, root)).filter("id_b = id_a + 1 AND id_a % 2 = 0")
 
 
 def er_scores(spark: SparkSession, root: str) -> DataFrame:
+    """The two copies of each customer only, which is what the SQL beside it can say; all pairs are er_all_scores."""
     r = _records(spark, root)
     return matching.score_pairs(matching.candidate_pairs(r).filter("id_b = id_a + 1 AND id_a % 2 = 0"), r, matching.CUSTOMER)
 
@@ -163,7 +176,7 @@ def key_join(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "nation").join(one, F.col("n_nationkey") == F.col("k"), "left").select("n_nationkey", F.when(F.col("owner").isNotNull(), "match").otherwise("mint").alias("action"), "owner")
 
 
-QUERIES = {f.__name__: f for f in (lexical_rank, vector_topk, hybrid_rrf, best_chunk, keyset_page, geo_radius, geo_bbox, geo_polygon, geo_facts, er_block_pairs, er_scores, er_clusters, er_survivors, list_explode, promote_to_node, invariant_dangling, invariant_literal_edge, find_metrics, evidence_verdict, membership_rule, key_join)}
+QUERIES = {f.__name__: f for f in (lexical_rank, vector_topk, hybrid_rrf, best_chunk, keyset_page, geo_radius, geo_bbox, geo_polygon, geo_facts, er_all_pairs, er_all_scores, er_block_pairs, er_scores, er_clusters, er_survivors, list_explode, promote_to_node, invariant_dangling, invariant_literal_edge, find_metrics, evidence_verdict, membership_rule, key_join)}
 
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _Q = "['deposit', 'reports', 'treasury']"
