@@ -312,8 +312,8 @@ def _block_links(keyed: DataFrame, rules) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(inside, "a long, b long").distinct()
 
 
-def merge_and_rematch(forms: DataFrame, rules, max_block: int = 2_000, max_rounds: int = 6) -> DataFrame:
-    """forms: (fid long, form string), one row a form. Gives (fid, entity) with the least fid of all that are the same."""
+def merge_and_rematch(forms: DataFrame, rules, max_block: int = 2_000) -> DataFrame:
+    """forms: (fid long, form string), one row a form. Gives (fid, entity) with the least fid of all that are the same. Each round but the last leaves fewer profiles, so the rounds end."""
 
     def keys_udf(long: bool) -> Callable:
         @F.pandas_udf("array<string>")
@@ -325,7 +325,7 @@ def merge_and_rematch(forms: DataFrame, rules, max_block: int = 2_000, max_round
 
     profiles = materialize(forms.select(F.col("fid").alias("pid"), F.array("form").alias("forms"), F.lit(True).alias("fresh")), "profiles")
     entity = forms.select("fid", F.col("fid").alias("entity"))
-    for _ in range(max_rounds):
+    while True:
         keyed = profiles.select("pid", "forms", "fresh", F.explode(keys_udf(False)("forms")).alias("key"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("fresh").alias("any_fresh"))
         open_keys = sizes.filter("n > 1 AND any_fresh")

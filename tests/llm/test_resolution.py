@@ -1,5 +1,5 @@
 from loomgraph.llm.components import components
-from loomgraph.llm.resolution import Organisations, People, organisation_form, person_name, resolve_organisations, resolve_people, slips
+from loomgraph.llm.resolution import Organisations, People, merge_and_rematch, organisation_form, person_name, resolve_organisations, resolve_people, slips
 
 GIVEN = {"robert", "rebecca", "samuel", "katherine", "francisco", "deborah"}
 
@@ -60,3 +60,25 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 99), (7, 7), (200, 150)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 99: 99, 100: 99, 101: 99, 150: 150, 200: 150}
+
+
+def test_rounds_end_only_when_nothing_merges(spark):
+    class Chain:
+        """Numbers match if together they are 0 to n; each round can add one to what is merged, since the last number comes first."""
+
+        @staticmethod
+        def parse(forms):
+            return {"has": {int(f) for f in forms}}
+
+        @staticmethod
+        def keys(form, long=False):
+            return ["k"]
+
+        @staticmethod
+        def match(a, b):
+            both = a["has"] | b["has"]
+            return both == set(range(len(both)))
+
+    n = 9
+    got = merge_and_rematch(spark.createDataFrame([(n - i, str(i)) for i in range(n)], "fid long, form string"), Chain).collect()
+    assert {r.entity for r in got} == {1}
