@@ -6,15 +6,15 @@ matches to the block's profile (a star, never all pairs). Components of the link
 which a merged profile stands are matched again, since a richer profile has more keys and more to agree with. The rounds end when
 nothing merges.
 
-Copies are one form from the start, so a group of copies of any size is one row in each block. A block of more than `max_block` profiles is cut by
-longer keys instead (which any two matching profiles still share up to one slip), never cut off.
+Copies are one form from the start, so a group of copies of any size is one row in each block. A block of more than `max_block` profiles is spread over
+parts, each part matched in itself and against each other part, in pieces of about `max_block` profiles: every two profiles of a block still meet.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -109,13 +109,10 @@ class Organisations:
         return {"kinds": kinds, "names": names}
 
     @staticmethod
-    def keys(form: str, long: bool) -> list[str]:
+    def keys(form: str) -> list[str]:
         own = form.partition("|")[2]
-        whole, n = own.replace(" ", ""), 9 if long else 6
-        out = {"a" + whole[:n], "z" + whole[-n:]}
-        if not long:
-            out |= {"w" + w for w in own.split() if len(w) >= 5}
-        return sorted(out)
+        whole = own.replace(" ", "")
+        return sorted({"a" + whole[:6], "z" + whole[-6:]} | {"w" + w for w in own.split() if len(w) >= 5})
 
     @staticmethod
     def match(a: dict, b: dict) -> bool:
@@ -195,12 +192,12 @@ class People:
         return {"surname": col(0), "given": {tuple(r[1].split()) for r in rows}, "city": col(2), "state": col(3), "phone": col(4), "org": col(5), "npi": col(6)}
 
     @staticmethod
-    def keys(form: str, long: bool) -> list[str]:
+    def keys(form: str) -> list[str]:
         surname, given, city, state, phone, org, npi = form.split("\t")
         if not surname:
             return []
         # a slip, even a swap, leaves one of two ends whole if they are shorter than half of the name
-        n = min(7 if long else 4, max(3, (len(surname) - 1) // 2))
+        n = min(4, max(3, (len(surname) - 1) // 2))
         first = given.split(" ")[0]
         ends = ("a" + surname[:n], "z" + surname[-n:])
         out = []
@@ -278,11 +275,15 @@ class People:
 
 
 def _match_block(rows: list[tuple], rules) -> list[tuple[int, int]]:
-    """Links inside one block of (pid, forms, fresh): each profile to the first it matches of those built before."""
+    """Links inside one block of (pid, forms, fresh, part): each profile to the first it matches of those built before. Of two parts, only profiles of different parts are matched."""
     built: list[list] = []
     out = []
-    for pid, forms, fresh in sorted(rows, key=lambda x: (-len(x[1]), x[0])):
+    first, last = min(r[3] for r in rows), max(r[3] for r in rows)
+    for pid, forms, fresh, part in sorted(rows, key=lambda x: (x[3], -len(x[1]), x[0])):
         p = rules.parse(list(forms))
+        if part == first != last:
+            built.append([pid, p, fresh])
+            continue
         for entry in built:
             if (fresh or entry[2]) and rules.match(p, entry[1]):
                 out.append((entry[0], pid))
@@ -290,18 +291,19 @@ def _match_block(rows: list[tuple], rules) -> list[tuple[int, int]]:
                 entry[2] = True
                 break
         else:
-            built.append([pid, p, fresh])
+            if first == last:
+                built.append([pid, p, fresh])
     return out
 
 
 def _block_links(keyed: DataFrame, rules) -> DataFrame:
-    """Links (a, b) found inside the blocks of (key, pid, forms, fresh). Blocks are many and small, so they stream through one function a partition."""
+    """Links (a, b) found inside the blocks of (key, pid, forms, fresh, part). Blocks are many and small, so they stream through one function a partition."""
 
     def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, rows = None, []
         for b in batches:
             out: list[tuple[int, int]] = []
-            for key, *row in zip(b["key"], b["pid"], b["forms"], b["fresh"]):
+            for key, *row in zip(b["key"], b["pid"], b["forms"], b["fresh"], b["part"]):
                 if key != at:
                     out += _match_block(rows, rules) if len(rows) > 1 else []
                     at, rows = key, []
@@ -315,24 +317,21 @@ def _block_links(keyed: DataFrame, rules) -> DataFrame:
 def merge_and_rematch(forms: DataFrame, rules, max_block: int = 2_000) -> DataFrame:
     """forms: (fid long, form string), one row a form. Gives (fid, entity) with the least fid of all that are the same. Each round but the last leaves fewer profiles, so the rounds end."""
 
-    def keys_udf(long: bool) -> Callable:
-        @F.pandas_udf("array<string>")
-        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for b in batches:
-                yield pd.Series([sorted({k for f in fs for k in rules.keys(f, long)}) for fs in b])
-
-        return keys
+    @F.pandas_udf("array<string>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([sorted({k for f in fs for k in rules.keys(f)}) for fs in b])
 
     profiles = materialize(forms.select(F.col("fid").alias("pid"), F.array("form").alias("forms"), F.lit(True).alias("fresh")), "profiles")
     entity = forms.select("fid", F.col("fid").alias("entity"))
     while True:
-        keyed = profiles.select("pid", "forms", "fresh", F.explode(keys_udf(False)("forms")).alias("key"))
+        keyed = profiles.select("pid", "forms", "fresh", F.explode(keys("forms")).alias("key"))
         sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("fresh").alias("any_fresh"))
-        open_keys = sizes.filter("n > 1 AND any_fresh")
-        small = keyed.join(open_keys.filter(F.col("n") <= max_block).select("key"), "key", "left_semi")
-        crowded = keyed.join(open_keys.filter(F.col("n") > max_block).select("key"), "key", "left_semi").select("pid", "forms", "fresh", F.col("key").alias("outer"))
-        cut = crowded.select("pid", "forms", "fresh", F.explode(F.transform(keys_udf(True)("forms"), lambda k: F.concat(F.col("outer"), F.lit("//"), k))).alias("key"))
-        links = materialize(_block_links(small.select("key", "pid", "forms", "fresh").unionByName(cut.select("key", "pid", "forms", "fresh")), rules), "links")
+        parts = F.when(F.col("n") <= max_block, 1).otherwise(F.ceil(2 * F.col("n") / max_block)).cast("int")
+        split = keyed.join(sizes.filter("n > 1 AND any_fresh").select("key", parts.alias("parts")), "key").withColumn("part", F.pmod(F.xxhash64("pid"), "parts").cast("int"))
+        other = split.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        piece = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.concat_ws("//", "key", F.least("part", "other").cast("string"), F.greatest("part", "other").cast("string")))
+        links = materialize(_block_links(other.select(piece.alias("key"), "pid", "forms", "fresh", "part"), rules), "links")
         if links.isEmpty():
             break
         parts = components(links)

@@ -82,3 +82,11 @@ def test_rounds_end_only_when_nothing_merges(spark):
     n = 9
     got = merge_and_rematch(spark.createDataFrame([(n - i, str(i)) for i in range(n)], "fid long, form string"), Chain).collect()
     assert {r.entity for r in got} == {1}
+
+
+def test_crowded_blocks_are_matched_whole(spark):
+    # both ends of the first two differ, so they meet by the shared word only
+    names = ["zondrivane mulberrick oakmereton", "zandrivane mulberrick oakmeretan", *(f"{a} mulberrick {b}" for a, b in (("quell", "vandersloot"), ("ashgrove", "imont"), ("tarrow", "penhaligon"), ("fennimore", "dusk"), ("brack", "hollowell"), ("lindenholt", "ray")))]
+    forms = spark.createDataFrame([(i, "|" + n) for i, n in enumerate(names)], "fid long, form string")
+    for most in (2, 3, 2_000):
+        assert {r.fid: r.entity for r in merge_and_rematch(forms, Organisations, max_block=most).collect()} == {0: 0, 1: 0, **{i: i for i in range(2, 8)}}, most
