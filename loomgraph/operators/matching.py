@@ -45,13 +45,13 @@ def similarity(signal: str) -> Column:
 
 
 def candidate_pairs(records: DataFrame, max_block: int = 400) -> DataFrame:
-    """(id_a, id_b) that share a block key; records: id, name, phone, email, dob (normalised). Keys of crowded blocks are made longer by the first word, not dropped."""
-    words = F.array_sort(F.split("name", " "))
-    keyed = records.select("id", F.element_at(words, 1).alias("first"), F.explode(block_keys(F.col("name"), F.col("phone"), F.col("email"), F.col("dob"))).alias("key"))
-    sizes = keyed.groupBy("key").count()
-    keyed = keyed.join(sizes, "key").select("id", F.when(F.col("count") > max_block, F.concat_ws("/", "key", "first")).otherwise(F.col("key")).alias("key"))
-    a, b = keyed.select(F.col("id").alias("id_a"), "key"), keyed.select(F.col("id").alias("id_b"), "key")
-    return a.join(b, "key").filter("id_a < id_b").select("id_a", "id_b").distinct()
+    """(id_a, id_b) that share a block key; records: id, name, phone, email, dob (normalised). A block of more than `max_block` records is spread over parts, and each part meets each part."""
+    keyed = records.select("id", F.explode(block_keys(F.col("name"), F.col("phone"), F.col("email"), F.col("dob"))).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.ceil(F.count("*") / max_block).cast("int").alias("parts"))
+    keyed = keyed.join(sizes, "key").select("id", "key", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    a = keyed.select(F.col("id").alias("id_a"), "key", F.col("part").alias("x"), F.col("other").alias("y"))
+    b = keyed.select(F.col("id").alias("id_b"), "key", F.col("other").alias("x"), F.col("part").alias("y"))
+    return a.join(b, ["key", "x", "y"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
 
 
 def score_pairs(pairs: DataFrame, records: DataFrame, config: MatchConfig) -> DataFrame:

@@ -90,3 +90,11 @@ def test_unrelated_records(spark):
     got = matching.score_pairs(matching.candidate_pairs(df), df, matching.CUSTOMER).collect()
     check(got, expected(df.collect()))
     assert {r.decision for r in got} == {"merge", "review", "skip"}
+
+
+def test_crowded_blocks_keep_all_pairs(spark):
+    rows = [(i, n, "+12155550100", e, None, None) for i, (n, e) in enumerate([("anna smith", "a@x.example"), ("anne smith", None), ("ana smith", None), ("abby smith", None), (None, "a@y.example"), ("zelda smith", "a@z.example")])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = set(expected(df.collect()))
+    for most in (2, 400):
+        assert {(r.id_a, r.id_b) for r in matching.candidate_pairs(df, most).collect()} == want, most
