@@ -12,14 +12,14 @@ def undirected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a <> b").distinct()
 
 
-def canonical_ids(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def canonical_ids(links: DataFrame) -> DataFrame:
     """(id, canonical): every id in links (a, b) with the least id it is connected to.
 
     Each round points every node's larger neighbours, then every node's smaller ones, at the least neighbour; both are aggregations and equi-joins
-    over the links, so no component is ever gathered in one place. Rounds are written to the shared folder and end when the links stay the same.
+    over the links, so no component is ever gathered in one place. Rounds are written to the shared folder and go on until the links stay the same.
     """
     edges = materialize(undirected(links).select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..model import EntityMap, classes, quads_of, union
+from ..model import EntityMap, Source, VirtualGraph, classes
 from ..runtime import table
 from ..sparql import Engine
 
@@ -18,12 +18,17 @@ CLASS_TREE = [("Thing", None), ("Party", "Thing"), ("Customer", "Party"), ("Supp
 NOW = "2001-08-02 00:00:00"
 
 
+def virtual(spark: SparkSession, root: str) -> VirtualGraph:
+    """The tables as a graph; each table has one row an identifier."""
+    return VirtualGraph([Source(table(spark, root, t), m, unique=True) for t, m in MAPS.items()])
+
+
 def graph(spark: SparkSession, root: str) -> DataFrame:
-    return union([quads_of(table(spark, root, t), m) for t, m in MAPS.items()])
+    return virtual(spark, root).quads()
 
 
 def engine(spark: SparkSession, root: str) -> Engine:
-    return Engine(graph(spark, root), F.lit(NOW).cast("timestamp"))
+    return Engine(virtual(spark, root), F.lit(NOW).cast("timestamp"))
 
 
 def ontology(spark: SparkSession) -> DataFrame:

@@ -15,9 +15,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only where it is unset on a single machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"loomgraph-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -1,18 +1,24 @@
 """From the parsed tree to one DataFrame plan.
 
-A solution is a row; variable `v` is the column `v` (lexical text, null if unbound) with its datatype in `v~t` (`iri` for IRIs). Patterns become filters
-on the quads, groups become joins on shared variables, and Catalyst does the rest: patterns with a constant predicate prune the branches of a virtual graph,
-filters are pushed into scans, adaptive execution picks the joins. Where both sides of a join may leave a shared variable unbound, the join
-keeps SPARQL's compatibility (unbound is compatible with anything).
+A solution is a row; variable `v` is the column `v` (lexical text, null if unbound) with its datatype in `v~t` (`iri` for IRIs). Groups become joins on
+shared variables, and Catalyst does the rest: filters are pushed into scans, adaptive execution picks the joins.
+
+Over a virtual graph, patterns are matched with the graph's predicates before anything is planned. What a variable can stand for (a type of
+entity, a class, a literal) is narrowed by all patterns of its group until nothing changes, so `?x rdfs:label ?l` reads the table of cities only
+where an edge says that ?x is a city. All patterns of one subject that one table can answer are one projection of it, without any join.
+
+Where a shared variable may be unbound, bound and unbound rows are joined apart, so that bound ones meet by equality (unbound is compatible with anything).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..model import TYPE, closure
+from ..model import SUBCLASS, TYPE, Branch, Source, VirtualGraph, closure, reachable
 from .parser import Parser, Select, SparqlError
 
 _NUMERIC = ("integer", "float", "decimal", "double", "int", "long")
@@ -41,12 +47,19 @@ class Value:
         return self.text if self.kind == "boolean" else (self.number() != 0) if self.kind == "number" else (F.lower(self.string()) == "true")
 
 
+#: What a variable can stand for besides entities of a type and classes.
+LITERAL = "literal"
+_T = lambda: F.when(F.col("kind") == "iri", "iri").otherwise(F.coalesce("dtype", F.lit("string")))
+
+
 class Engine:
-    """Runs queries over a quads frame. now: the instant that NOW() stands for (a Column), injected so that results repeat."""
+    """Runs queries over a virtual graph or a frame of quads. now: the instant that NOW() stands for (a Column), injected so that results repeat."""
 
-    def __init__(self, quads: DataFrame, now: Column | None = None):
-        self.quads, self.now, self.spark = quads, now, quads.sparkSession
+    def __init__(self, graph: DataFrame | VirtualGraph, now: Column | None = None):
+        self.graph, self.now = graph, now
+        self.spark = graph.spark if isinstance(graph, VirtualGraph) else graph.sparkSession
         self.functions: dict[str, Callable[..., Column]] = {}
+        self.fresh = 0
 
     def register(self, name: str, fn: Callable[..., Column]) -> None:
         """Adds a function of Columns, callable by its name in any expression."""
@@ -54,53 +67,73 @@ class Engine:
 
     def query(self, text: str) -> DataFrame:
         q = Parser(text).parse()
-        return self.select(q, self.quads)
+        return self.select(q, self.graph)
 
     # patterns
 
-    def pattern(self, quads: DataFrame, s, p, o) -> Solutions:
-        if p[0] == "v":
-            rows = quads.select(F.col("s"), F.col("p"), F.col("o"), F.when(F.col("kind") == "iri", "iri").otherwise(F.coalesce("dtype", F.lit("string"))).alias("t"))
-        else:
-            rows = self.path(quads, p)
+    def bind(self, rows: DataFrame, terms: list[tuple]) -> Solutions:
+        """Solutions of (term, column, datatype column): constants and repeated variables filter, other variables are bound."""
         cols, names, seen = [], [], {}
-        for position, term in (("s", s), ("p", ("var", p[1]) if p[0] == "v" else None), ("o", o)):
-            if term is None:
-                continue
-            column = F.col(position)
+        for term, column, dtype in terms:
             if term[0] == "var":
                 if term[1] in seen:
-                    rows = rows.filter(column == F.col(seen[term[1]]))
+                    rows = rows.filter(F.col(column) == F.col(seen[term[1]]))
                     continue
-                seen[term[1]] = position
-                cols += [column.alias(term[1]), (F.col("t") if position == "o" else F.lit("iri")).alias(f"{term[1]}~t")]
+                seen[term[1]] = column
+                cols += [F.col(column).alias(term[1]), dtype.alias(f"{term[1]}~t")]
                 names.append(term[1])
             elif term[0] == "lit" and term[2] in _NUMERIC:
-                rows = rows.filter(column.try_cast("double") == float(term[1]))
+                rows = rows.filter(F.col(column).try_cast("double") == float(term[1]))
             else:
-                rows = rows.filter(column == term[1])
+                rows = rows.filter(F.col(column) == term[1])
         return Solutions(rows.select(*cols) if cols else rows.select(F.lit(1).alias("_")), names, set())
 
-    def path(self, quads: DataFrame, p) -> DataFrame:
-        """(s, o, t) of a property path."""
-        t = F.when(F.col("kind") == "iri", "iri").otherwise(F.coalesce("dtype", F.lit("string")))
-        if p[0] == "p":
-            return quads.filter(F.col("p") == p[1]).select("s", "o", t.alias("t"))
+    def pattern(self, graph: DataFrame | VirtualGraph, s, p, o, gvar: str | None = None) -> Solutions:
+        """One pattern over a frame of quads, or one with a path of any length."""
+        if gvar is not None and not isinstance(graph, VirtualGraph) and (p[0] == "v" or self.plain(p)):
+            rows = graph if p[0] == "v" else graph.filter(F.col("p").isin(*self.plain(p)))
+            rows = rows.select("g", "s", "p", "o", _T().alias("t"))
+        elif gvar is not None:
+            raise SparqlError("GRAPH with a variable does not take a path here")
+        elif p[0] == "v":
+            rows = (graph.quads() if isinstance(graph, VirtualGraph) else graph).select("s", "p", "o", _T().alias("t"))
+        else:
+            rows = self.path(graph, p, s[1] if s[0] == "iri" else None, o[1] if o[0] == "iri" else None)
+        terms = [(s, "s", F.lit("iri")), *([(("var", p[1]), "p", F.lit("iri"))] if p[0] == "v" else []), (o, "o", F.col("t"))]
+        return self.bind(rows, terms + ([(("var", gvar), "g", F.lit("iri"))] if gvar else []))
+
+    def facts(self, graph: DataFrame | VirtualGraph, names: list[str]) -> DataFrame:
+        rows = graph.quads(names) if isinstance(graph, VirtualGraph) else graph.filter(F.col("p").isin(*names))
+        return rows.select("s", "o", _T().alias("t"))
+
+    def path(self, graph: DataFrame | VirtualGraph, p, start: str | None = None, end: str | None = None) -> DataFrame:
+        """(s, o, t) of a property path. Only what leads from `start` or to `end` need be right where they are given."""
+        if names := self.plain(p):
+            return self.facts(graph, names)
         if p[0] == "^":
-            return self.path(quads, p[1]).filter("t = 'iri'").select(F.col("o").alias("s"), F.col("s").alias("o"), F.lit("iri").alias("t"))
+            return self.path(graph, p[1], end, start).filter("t = 'iri'").select(F.col("o").alias("s"), F.col("s").alias("o"), F.lit("iri").alias("t"))
         if p[0] == "/":
-            a, b = self.path(quads, p[1]), self.path(quads, p[2])
+            a, b = self.path(graph, p[1], start), self.path(graph, p[2], None, end)
             return a.select("s", F.col("o").alias("m")).join(b.select(F.col("s").alias("m"), "o", "t"), "m").select("s", "o", "t")
         if p[0] == "|":
-            if names := self.plain(p):
-                return quads.filter(F.col("p").isin(*names)).select("s", "o", t.alias("t"))
-            return self.path(quads, p[1]).unionByName(self.path(quads, p[2]))
-        one = self.path(quads, p[1]).filter("t = 'iri'")
-        nodes = quads.select(F.col("s").alias("n")).union(quads.filter("kind = 'iri'").select("o")).distinct()
-        same = nodes.select(F.col("n").alias("s"), F.col("n").alias("o"), F.lit("iri").alias("t"))
+            return self.path(graph, p[1], start, end).unionByName(self.path(graph, p[2], start, end))
+        one = self.path(graph, p[1]).filter("t = 'iri'")
+        constant = start if start is not None else end
+        if constant is not None:
+            same = self.spark.range(1).select(*[F.lit(x).alias(n) for x, n in ((constant, "s"), (constant, "o"), ("iri", "t"))])
+        else:
+            quads = graph.quads() if isinstance(graph, VirtualGraph) else graph
+            nodes = quads.select(F.col("s").alias("n")).union(quads.filter("kind = 'iri'").select("o")).distinct()
+            same = nodes.select(F.col("n").alias("s"), F.col("n").alias("o"), F.lit("iri").alias("t"))
         if p[0] == "?":
             return one.unionByName(same).distinct()
-        reach = closure(one.select(F.col("s").alias("src"), F.col("o").alias("dst"))).select(F.col("src").alias("s"), F.col("dst").alias("o"), F.lit("iri").alias("t"))
+        if start is not None:
+            reach = reachable(one.select(F.col("s").alias("src"), F.col("o").alias("dst")), start).select(F.col("src").alias("s"), F.col("dst").alias("o"))
+        elif end is not None:  # the same, walked backwards
+            reach = reachable(one.select(F.col("o").alias("src"), F.col("s").alias("dst")), end).select(F.col("dst").alias("s"), F.col("src").alias("o"))
+        else:
+            reach = closure(one.select(F.col("s").alias("src"), F.col("o").alias("dst"))).select(F.col("src").alias("s"), F.col("dst").alias("o"))
+        reach = reach.withColumn("t", F.lit("iri"))
         return reach if p[0] == "+" else reach.unionByName(same).distinct()
 
     def plain(self, p) -> list[str] | None:
@@ -113,13 +146,16 @@ class Engine:
 
     def join(self, a: Solutions, b: Solutions, how: str = "inner", condition: Callable[[Solutions], Column] | None = None) -> Solutions:
         shared = [v for v in b.variables if v in a.variables]
+        unsure = [v for v in shared if v in a.maybe or v in b.maybe]
+        if how == "inner" and condition is None and 0 < len(unsure) <= 2:
+            return self.join_unsure(a, b, shared, unsure)
         right = b.df
         for v in shared:
             right = right.withColumnRenamed(v, f"{v}~r").withColumnRenamed(f"{v}~t", f"{v}~rt")
         on = None
         for v in shared:
             c = F.col(v) == F.col(f"{v}~r")
-            if v in a.maybe or v in b.maybe:
+            if v in unsure:
                 c = c | F.col(v).isNull() | F.col(f"{v}~r").isNull()
             on = c if on is None else on & c
         names = a.variables + [v for v in b.variables if v not in shared]
@@ -142,70 +178,181 @@ class Engine:
             maybe = {v for v in names if (v in a.maybe or v not in a.variables) and (v in b.maybe or v not in b.variables)}
         return Solutions(df, names, maybe)
 
-    def group(self, items: list, quads: DataFrame, start: Solutions | None = None) -> Solutions:
-        current = start
-        filters = []
-        # connected patterns first: a pattern that shares no variable waits until one does
-        pending = [x for x in items if x[0] == "triple"]
-        rest = [x for x in items if x[0] != "triple"]
-        ordered: list = []
-        bound: set[str] = set(start.variables) if start else set()
-        names = lambda x: {t[1] for t in (x[1], x[3]) if t[0] == "var"} | ({x[2][1]} if x[2][0] == "v" else set())
-        mixed = any(x[0] in ("values", "bind", "union", "graph", "select") for x in rest)
-        if not mixed:
-            while pending:
-                k = next((i for i, x in enumerate(pending) if names(x) & bound), 0)
-                x = pending.pop(k)
-                bound |= names(x)
-                ordered.append(x)
-            items = ordered + rest
+    def join_unsure(self, a: Solutions, b: Solutions, shared: list[str], unsure: list[str]) -> Solutions:
+        """An inner join where some shared variables may be unbound: one join for each way in which they are bound on either side, by equality of what both bind."""
+        names = a.variables + [v for v in b.variables if v not in shared]
+        ways = lambda x: list(product(*[(True, False) if v in x.maybe else (True,) for v in unsure]))
+        part = lambda x, way: reduce(lambda d, vb: d.filter(F.col(vb[0]).isNotNull() if vb[1] else F.col(vb[0]).isNull()), [(v, k) for v, k in zip(unsure, way) if v in x.maybe], x.df)
+        frames = []
+        for wa, wb in product(ways(a), ways(b)):
+            left, right = part(a, wa), part(b, wb)
+            keys = [v for v in shared if v not in unsure or (wa[unsure.index(v)] and wb[unsure.index(v)])]
+            for v in shared:
+                right = right.withColumnRenamed(v, f"{v}~r").withColumnRenamed(f"{v}~t", f"{v}~rt")
+            met = left.join(right, reduce(lambda x, y: x & y, [F.col(v) == F.col(f"{v}~r") for v in keys])) if keys else left.crossJoin(right)
+            cols = []
+            for v in names:
+                both = v in unsure
+                cols += [(F.coalesce(v, f"{v}~r") if both else F.col(v)).alias(v), (F.coalesce(f"{v}~t", f"{v}~rt") if both else F.col(f"{v}~t")).alias(f"{v}~t")]
+            frames.append(met.select(*cols))
+        maybe = {v for v in names if (v in a.maybe or v not in a.variables) and (v in b.maybe or v not in b.variables)}
+        return Solutions(reduce(lambda x, y: x.unionByName(y), frames), names, maybe)
+
+    # what patterns can match in a virtual graph
+
+    def flat(self, items: list) -> list:
+        """Sequences of steps and inverse steps as patterns of their own."""
+        out = []
         for x in items:
-            if x[0] == "triple":
-                part = self.pattern(quads, x[1], x[2], x[3])
-                current = part if current is None else self.join(current, part)
-            elif x[0] == "filter":
-                filters.append(x[1])
+            if x[0] == "triple" and x[2][0] == "/":
+                self.fresh += 1
+                middle = ("var", f"_path{self.fresh}")
+                out += self.flat([("triple", x[1], x[2][1], middle), ("triple", middle, x[2][2], x[3])])
+            elif x[0] == "triple" and x[2][0] == "^" and x[3][0] != "lit":
+                out += self.flat([("triple", x[3], x[2][1], x[1])])
+            else:
+                out.append(x)
+        return out
+
+    def candidates(self, graph: VirtualGraph, s, p, o, spaces: dict[str, set[str]]) -> list[tuple[int, Branch]]:
+        """Sources and branches that a pattern can match, given what its variables can stand for."""
+        names = None if p[0] == "v" else self.plain(p)
+
+        def fits(term, kind: str, space: str) -> bool:
+            if term[0] == "var":
+                return term[1] not in spaces or space in spaces[term[1]]
+            if term[0] == "lit":
+                return kind == "literal"
+            return kind == "iri" and (term[1] == space if space.startswith("types/") else term[1].startswith(f"entities/{space}/"))
+
+        out = []
+        for i, source in enumerate(graph.sources):
+            if fits(s, "iri", source.map.type_name):
+                out += [(i, b) for b in graph.branches[i] if (names is None or b.p in names) and fits(o, b.kind, b.target or LITERAL)]
+        return out
+
+    def narrowed(self, items: list, graph: VirtualGraph, known: dict[str, set[str]]) -> dict[str, set[str]]:
+        """What each variable can stand for, by all patterns of the group that must match."""
+        spaces = dict(known)
+        plain = [x for x in items if x[0] == "triple" and (x[2][0] == "v" or self.plain(x[2]))]
+        changed = True
+        while changed:
+            changed = False
+            for _, s, p, o in plain:
+                found = self.candidates(graph, s, p, o, spaces)
+                for term, seen in ((s, {graph.sources[i].map.type_name for i, _ in found}), (o, {b.target or LITERAL for _, b in found})):
+                    if term[0] == "var" and seen != spaces.get(term[1]):
+                        spaces[term[1]], changed = seen, True
+        return spaces
+
+    def star(self, graph: VirtualGraph, s, triples: list, spaces: dict[str, set[str]], gvar: str | None) -> list[Solutions]:
+        """All patterns of one subject: one projection a source where its rows are entities of their own, else one part a pattern."""
+        found: dict[int, dict[int, list[Branch]]] = {}
+        for k, (_, _, p, o) in enumerate(triples):
+            for i, b in self.candidates(graph, s, p, o, spaces):
+                found.setdefault(i, {}).setdefault(k, []).append(b)
+        types = [graph.sources[i].map.type_name for i in found]
+        if len(triples) > 1 and not (all(graph.sources[i].unique for i in found) and len(set(types)) == len(types)):
+            return [x for t in triples for x in self.star(graph, s, [t], spaces, gvar)]
+        frames = [self.projection(graph.sources[i], s, [(t, picks[k]) for k, t in enumerate(triples)], gvar) for i, picks in found.items() if len(picks) == len(triples)]
+        if not frames:
+            names = list(dict.fromkeys([t[1] for x in triples for t in (x[1], ("var", x[2][1]) if x[2][0] == "v" else ("", ""), x[3]) if t[0] == "var"] + ([gvar] if gvar else [])))
+            schema = ", ".join(f"`{n}` string, `{n}~t` string" for n in names) or "_ int"
+            return [Solutions(self.spark.createDataFrame([], schema), names, set())]
+        return [Solutions(reduce(lambda x, y: x.unionByName(y), [f.df for f in frames]), frames[0].variables, set())]
+
+    def projection(self, source: Source, s, picks: list[tuple[tuple, list[Branch]]], gvar: str | None) -> Solutions:
+        df, cols, several = source.df, [source.subject.alias("_s")], []
+        dtype = lambda b: "iri" if b.kind == "iri" else b.dtype or "string"
+        terms = [(s, "_s", F.lit("iri"))]
+        for k, ((_, _, p, o), branches) in enumerate(picks):
+            if len(branches) == 1:
+                b = branches[0]
+                df = df if b.where is None else df.filter(b.where)
+                cols += [b.o.alias(f"_o{k}"), F.lit(dtype(b)).alias(f"_t{k}"), F.lit(b.p).alias(f"_p{k}")]
+            else:
+                several.append(k)
+                each = [F.struct((b.o if b.where is None else F.when(b.where, b.o)).alias("o"), F.lit(dtype(b)).alias("t"), F.lit(b.p).alias("p")) for b in branches]
+                cols.append(F.array(*each).alias(f"_m{k}"))
+            terms += ([(("var", p[1]), f"_p{k}", F.lit("iri"))] if p[0] == "v" else []) + [(o, f"_o{k}", F.col(f"_t{k}"))]
+        df = df.select(*cols)
+        for k in several:
+            df = df.select("*", F.inline(f"_m{k}").alias(f"_o{k}", f"_t{k}", f"_p{k}")).drop(f"_m{k}").filter(F.col(f"_o{k}").isNotNull())
+        if gvar:
+            df = df.withColumn("_g", F.lit(source.graph))
+            terms.append((("var", gvar), "_g", F.lit("iri")))
+        return self.bind(df, terms)
+
+    def joined(self, parts: list[Solutions]) -> Solutions:
+        """Parts that must all match, each joined as soon as it shares a variable with those before."""
+        current, rest = parts[0], list(parts[1:])
+        while rest:
+            k = max(range(len(rest)), key=lambda i: (bool(set(rest[i].variables) & set(current.variables)), -i))
+            current = self.join(current, rest.pop(k))
+        return current
+
+    def segment(self, items: list, graph, spaces: dict[str, set[str]], current: Solutions | None, gvar: str | None) -> Solutions | None:
+        """Items whose order does not matter, joined to what is there."""
+        small, parts, stars = [], [], {}
+        for x in items:
+            if x[0] == "values":
+                small.append(self.values(x[1], x[2]))
             elif x[0] == "union":
-                part = self.union([self.group(b, quads) for b in x[1]])
-                current = part if current is None else self.join(current, part)
+                parts.append(self.union([self.group(b, graph, spaces, gvar) for b in x[1]]))
             elif x[0] == "select":
-                part = self.subselect(x[1], quads)
-                current = part if current is None else self.join(current, part)
+                parts.append(self.subselect(x[1], graph))
             elif x[0] == "graph":
-                g = x[1]
-                if g[0] == "var":
-                    raise SparqlError("GRAPH with a variable is not supported")
-                part = self.group(x[2], self.quads.filter(F.col("g") == g[1]))
-                current = part if current is None else self.join(current, part)
-            elif x[0] == "values":
-                part = self.values(x[1], x[2])
-                current = part if current is None else self.join(current, part)
+                inner = self.graph if x[1][0] == "var" else self.graph.only([x[1][1]]) if isinstance(self.graph, VirtualGraph) else self.graph.filter(F.col("g") == x[1][1])
+                parts.append(self.group(x[2], inner, spaces, x[1][1] if x[1][0] == "var" else None))
+            elif isinstance(graph, VirtualGraph) and (x[2][0] == "v" or self.plain(x[2])):
+                stars.setdefault(x[1], []).append(x)
+            else:
+                parts.append(self.pattern(graph, x[1], x[2], x[3], gvar))
+        stars = [p for s, triples in stars.items() for p in self.star(graph, s, triples, spaces, gvar)]
+        parts = ([current] if current is not None else []) + small + stars + parts
+        return self.joined(parts) if parts else None
+
+    def group(self, items: list, graph, known: dict[str, set[str]] | None = None, gvar: str | None = None) -> Solutions:
+        """Solutions of a group. known: what variables of the outer group can stand for; others are of no use to it."""
+        items = self.flat(items)
+        spaces = self.narrowed(items, graph, known or {}) if isinstance(graph, VirtualGraph) else known or {}
+        current, waiting, late = None, [], []
+
+        def settled() -> Solutions | None:
+            out = self.segment(waiting, graph, spaces, current, gvar) if waiting else current
+            waiting.clear()
+            return out
+
+        split = lambda xs: ([y for y in xs if y[0] != "filter"], [y[1] for y in xs if y[0] == "filter"])
+        for x in items:
+            if x[0] in ("triple", "values", "union", "select", "graph"):
+                waiting.append(x)
+            elif x[0] in ("filter", "exists"):
+                late.append(x)
             elif x[0] == "optional":
-                inner = [y for y in x[1] if y[0] != "filter"]
-                conditions = [y[1] for y in x[1] if y[0] == "filter"]
-                part = self.group(inner, quads)
-                if current is None:
-                    current = self.unit()
-                condition = (lambda s, cs=conditions: self.all_true(cs, s)) if conditions else None
-                current = self.join(current, part, "left", condition)
+                inner, conditions = split(x[1])
+                current = settled() or self.unit()
+                part = self.group(inner, graph, spaces, gvar)
+                current = self.join(current, part, "left", (lambda s, cs=conditions: self.all_true(cs, s)) if conditions else None)
             elif x[0] == "minus":
-                part = self.group(x[1], quads)
-                if current is not None and set(part.variables) & set(current.variables):
-                    current = self.join(current, Solutions(part.df.select(*[c for v in part.variables if v in current.variables for c in (v, f"{v}~t")]), [v for v in part.variables if v in current.variables], part.maybe), "left_anti")
-            elif x[0] == "exists":
-                inner = [y for y in x[2] if y[0] != "filter"]
-                conditions = [y[1] for y in x[2] if y[0] == "filter"]
-                part = self.group(inner, quads)
-                condition = (lambda s, cs=conditions: self.all_true(cs, s)) if conditions else None
-                current = self.join(current or self.unit(), part, "left_semi" if x[1] else "left_anti", condition)
+                current = settled()
+                part = self.group(x[1], graph, spaces, gvar)
+                if current is not None and (own := [v for v in part.variables if v in current.variables]):
+                    current = self.join(current, Solutions(part.df.select(*[c for v in own for c in (v, f"{v}~t")]), own, part.maybe), "left_anti")
             elif x[0] == "bind":
-                current = current or self.unit()
+                current = settled() or self.unit()
                 v = self.expr(x[1], current)
                 df = current.df.withColumn(x[2], v.string()).withColumn(f"{x[2]}~t", self.dtype(v))
                 current = Solutions(df, current.variables + [x[2]], current.maybe | {x[2]})
-        current = current or self.unit()
-        for f in filters:
-            current = Solutions(current.df.filter(self.expr(f, current).truth()), current.variables, current.maybe)
+        current = settled() or self.unit()
+        for x in late:
+            if x[0] == "exists":
+                inner, conditions = split(x[2])
+                part = self.group(inner, graph, spaces, gvar)
+                current = self.join(current, part, "left_semi" if x[1] else "left_anti", (lambda s, cs=conditions: self.all_true(cs, s)) if conditions else None)
+        for x in late:
+            if x[0] == "filter":
+                current = Solutions(current.df.filter(self.expr(x[1], current).truth()), current.variables, current.maybe)
         return current
 
     def all_true(self, conditions: list, s: Solutions) -> Column:
@@ -239,8 +386,8 @@ class Engine:
         maybe = {n for i, n in enumerate(names) if any(row[i] is None for row in rows)}
         return Solutions(self.spark.createDataFrame(data, schema), list(names), maybe)
 
-    def subselect(self, q: Select, quads: DataFrame) -> Solutions:
-        df, types = self.solve(q, quads)
+    def subselect(self, q: Select, graph) -> Solutions:
+        df, types = self.solve(q, graph)
         return Solutions(df.select(*[c for v in types for c in (F.col(v).cast("string").alias(v), types[v].alias(f"{v}~t"))]), list(types), set(types))
 
     # expressions
@@ -398,13 +545,13 @@ class Engine:
     def has_aggregate(self, e) -> bool:
         return isinstance(e, tuple) and (e[0] == "agg" or any(self.has_aggregate(x) for x in e[1:] if isinstance(x, (tuple, list))) or any(self.has_aggregate(y) for x in e[1:] if isinstance(x, list) for y in x))
 
-    def solve(self, q: Select, quads: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    def solve(self, q: Select, graph) -> tuple[DataFrame, dict[str, Column]]:
         """The frame of a query's result and, for each of its columns, a Column of the datatype."""
         if q.graphs:
-            quads = self.quads.filter(F.col("g").isin(*q.graphs))
+            graph = self.graph.only(q.graphs) if isinstance(self.graph, VirtualGraph) else self.graph.filter(F.col("g").isin(*q.graphs))
             if len(q.graphs) > 1:  # the union of several graphs is a set
-                quads = quads.dropDuplicates(["s", "p", "o", "kind"])
-        s = self.group(q.where, quads)
+                graph = (graph.quads() if isinstance(graph, VirtualGraph) else graph).dropDuplicates(["s", "p", "o", "kind"])
+        s = self.group(q.where, graph)
         if q.ask:
             return s.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("answer")), {"answer": F.lit("boolean")}
         grouped = bool(q.group) or any(e is not None and self.has_aggregate(e) for e, _ in q.items) or bool(q.having)
@@ -443,7 +590,7 @@ class Engine:
             names = [name for _, name in q.items]
         else:
             df = s.df
-            names = list(s.variables) if q.star else [name for _, name in q.items]
+            names = [v for v in s.variables if not v.startswith("_")] if q.star else [name for _, name in q.items]
             for e, name in q.items:
                 if e is not None:
                     v = self.expr(e, s)
@@ -480,19 +627,32 @@ class Engine:
                 out.append(x.desc_nulls_last() if down else x.asc_nulls_first())
         return df.orderBy(*out)
 
-    def select(self, q: Select, quads: DataFrame) -> DataFrame:
-        df, types = self.solve(q, quads)
+    def select(self, q: Select, graph) -> DataFrame:
+        df, types = self.solve(q, graph)
         return df.select(*types)
 
     # rewrites
 
-    def with_subclasses(self, ontology: DataFrame) -> "Engine":
-        """An engine in which an instance of a class is also one of all its ancestors: the closure of the class tree, joined once."""
-        from ..model import SUBCLASS
-
-        above = closure(ontology.filter(F.col("p") == SUBCLASS).select(F.col("s").alias("src"), F.col("o").alias("dst"))).select(F.col("src").alias("o"), "dst")
-        typed = self.quads.filter(F.col("p") == TYPE)
-        lifted = typed.join(above, "o").select("g", "s", "p", F.col("dst").alias("o"), "kind", "dtype").distinct()
-        engine = Engine(self.quads.unionByName(lifted), self.now)
+    def with_subclasses(self, ontology: DataFrame, max_classes: int = 10_000) -> "Engine":
+        """An engine in which an instance of a class is also one of all its ancestors. A class tree of up to `max_classes` edges becomes constants of the plan; a larger one is joined."""
+        edges = ontology.filter(F.col("p") == SUBCLASS).select(F.col("s").alias("src"), F.col("o").alias("dst")).distinct()
+        if isinstance(self.graph, VirtualGraph) and len(rows := edges.take(max_classes + 1)) <= max_classes:
+            parents: dict[str, set[str]] = {}
+            for child, parent in rows:
+                parents.setdefault(child.removeprefix("types/"), set()).add(parent.removeprefix("types/"))
+            above: dict[str, set[str]] = {}
+            for c in parents:
+                todo, seen = list(parents[c]), set()
+                while todo:
+                    if (x := todo.pop()) not in seen:
+                        seen.add(x)
+                        todo += parents.get(x, ())
+                above[c] = seen - {c}
+            engine = Engine(self.graph.with_classes(above), self.now)
+        else:
+            quads = self.graph.quads() if isinstance(self.graph, VirtualGraph) else self.graph
+            typed = quads.filter(F.col("p") == TYPE)
+            lifted = typed.join(closure(edges).select(F.col("src").alias("o"), "dst"), "o").select("g", "s", "p", F.col("dst").alias("o"), "kind", "dtype").distinct()
+            engine = Engine(quads.unionByName(lifted), self.now)
         engine.functions = dict(self.functions)
         return engine
