@@ -33,6 +33,21 @@ def fold(text: str) -> str:
     return "".join(c for c in t if not unicodedata.combining(c))
 
 
+def _edited(a: str, b: str, d: int) -> bool:
+    """Whether at most d edits or swaps of neighbours make b of a: the first place at which they differ is mended in each way."""
+    n, i = min(len(a), len(b)), 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    if not a or not b:
+        return len(a) + len(b) <= d
+    if d == 1:
+        return a[1:] == b[1:] or a[1:] == b or a == b[1:] or (a[:2] == b[1::-1] and a[2:] == b[2:])
+    if abs(len(a) - len(b)) > d:
+        return False
+    return _edited(a[1:], b[1:], d - 1) or _edited(a[1:], b, d - 1) or _edited(a, b[1:], d - 1) or (len(b) > 1 and a[:2] == b[1::-1] and _edited(a[2:], b[2:], d - 1))
+
+
 @lru_cache(1 << 17)
 def slips(a: str, b: str, most: int) -> int | None:
     """Edits between a and b if at most `most`, where a swap of neighbours counts once."""
@@ -40,19 +55,21 @@ def slips(a: str, b: str, most: int) -> int | None:
         return 0
     if abs(len(a) - len(b)) > most:
         return None
-    if len(a) == len(b):
-        differ = [i for i in range(len(a)) if a[i] != b[i]]
-        if len(differ) == 2 and differ[1] == differ[0] + 1 and a[differ[0]] == b[differ[1]] and a[differ[1]] == b[differ[0]]:
-            return 1
-    d = within(a, b, most + 1)
-    if d is None or d <= most:
-        return d
-    # one of the edits may be half a swap
-    if most >= 1:
-        for i in range(len(a) - 1):
-            if a[i] != a[i + 1] and within(a[:i] + a[i + 1] + a[i] + a[i + 2 :], b, most - 1) is not None:
-                return most
-    return None
+    return next((d for d in range(1, min(most, 2) + 1) if _edited(a, b, d)), None) if most < 3 else next((d for d in (1, 2) if _edited(a, b, d)), within(a, b, most))
+
+
+@lru_cache(1 << 16)
+def letters(word: str) -> int:
+    """The set of a word's letters as bits; an edit changes two of them at most, a swap none."""
+    bits = 0
+    for c in word:
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+def alike(a: str, b: str, most: int) -> bool:
+    """Whether at most `most` slips make b of a; most words are told apart by their letters alone."""
+    return a == b or ((letters(a) ^ letters(b)).bit_count() <= 2 * most and slips(a, b, most) is not None)
 
 
 # --- organisations
@@ -118,7 +135,7 @@ class Organisations:
     def match(a: dict, b: dict) -> bool:
         if a["kinds"] and b["kinds"] and not a["kinds"] & b["kinds"]:
             return False
-        return any(slips(x, y, max(1, min(4, min(len(x), len(y)) // 5))) is not None if min(len(x), len(y)) >= 5 else x == y for x in a["names"] for y in b["names"])
+        return any(alike(x, y, max(1, min(4, min(len(x), len(y)) // 5))) if min(len(x), len(y)) >= 5 else x == y for x in a["names"] for y in b["names"])
 
 
 # --- people
@@ -166,7 +183,7 @@ def person_name(name: str | None, given_names: set[str], memo: dict | None = Non
             if full in given_names or w in given_names or w in PET_NAMES:
                 memo[w] = full
             elif "-" not in w and len(w) >= 3:
-                near = [(d, abs(len(g) - len(w)), g) for g in given_names if (g[0] == w[0] or g[-1] == w[-1]) and abs(len(g) - len(w)) <= 2 and (d := slips(w, g, 1 if len(w) < 8 else 2)) is not None and (len(g) > 3 or d == 0)]
+                near = [(d, abs(len(g) - len(w)), g) for g in given_names if (g[0] == w[0] or g[-1] == w[-1]) and abs(len(g) - len(w)) <= 2 and (letters(g) ^ letters(w)).bit_count() <= 4 and (d := slips(w, g, 1 if len(w) < 8 else 2)) is not None and (len(g) > 3 or d == 0)]
                 memo[w] = min(near)[2] if near else None
             else:
                 memo[w] = None
@@ -219,9 +236,7 @@ class People:
     def _surnames(a: dict, b: dict) -> bool:
         for x in a["surname"]:
             for y in b["surname"]:
-                if x != y and x[0] != y[0] and x[-1] != y[-1]:
-                    continue
-                if x == y or slips(x, y, 1 if min(len(x), len(y)) < 7 else 2) is not None:
+                if (x[0] == y[0] or x[-1] == y[-1]) and alike(x, y, 1 if len(x) < 7 or len(y) < 7 else 2):
                     return True
         return False
 
@@ -232,7 +247,7 @@ class People:
         if len(x) == 1 or len(y) == 1:
             initial, name = (x, y) if len(x) == 1 else (y, x)
             return initial == name[0] or initial in PET_INITIALS.get(name, ())
-        return slips(x, y, 1) is not None
+        return alike(x, y, 1)
 
     @classmethod
     def _given(cls, a: dict, b: dict) -> bool:
@@ -250,7 +265,7 @@ class People:
         """Whether two sets agree; null if either is empty."""
         if not a or not b:
             return None
-        return bool(a & b) or any(slips(x, y, most) is not None for x in a for y in b)
+        return bool(a & b) or any(alike(x, y, most) for x in a for y in b)
 
     @classmethod
     def match(cls, a: dict, b: dict) -> bool:
