@@ -7,23 +7,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..runtime import table
 from .leakage import leaks
 from .packing import pack
-from .questions import overlapping_pairs, prepare
+from .questions import overlap_counts, overlapping_pairs, prepare
 from .resolution import resolve_organisations, resolve_people
 from .subjects import assign_subjects
 from .vectors import exact_neighbours, most_similar
 
 
 def _questions(spark: SparkSession, root: str) -> DataFrame:
-    return overlapping_pairs(prepare(table(spark, root, "gold_questions"), "question_no", "split", "kg_id", "question", "gold_sparql"))
+    return prepare(table(spark, root, "gold_questions"), "question_no", "split", "kg_id", "question", "gold_sparql")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return _questions(spark, root).select("question_a", "question_b").distinct()
+    return overlapping_pairs(_questions(spark, root)).select("question_a", "question_b").distinct()
 
 
 def p3_report(spark: SparkSession, root: str) -> DataFrame:
-    """Overlaps with train per evaluation split and source."""
-    return _questions(spark, root).groupBy(F.col("eval_split").alias("split"), F.col("source").alias("kg_id")).agg(F.count("*").alias("n_pairs"))
+    """Overlaps with train per evaluation split and source, and how many of them only edits bring together."""
+    return overlap_counts(_questions(spark, root)).withColumnRenamed("source", "kg_id")
 
 
 def _people(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

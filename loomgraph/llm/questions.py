@@ -1,18 +1,18 @@
 """Same or near-same question records across splits.
 
-A record has a question and a graph query. The query is brought into a canonical form (prefixes resolved, comments, layout
-and letter case of keywords dropped, variables named by their role, patterns sorted). The question is brought into
-a canonical wording (layout, letter case, politeness, words of equal meaning), and split into its frame (frequent words and all
-numbers, typing slips mended against the frequent words) and its rare content words.
+A record has a question and a graph query. The query is brought into a canonical form (prefixes resolved, comments, layout and letter case of keywords
+dropped, variables named by their role, patterns sorted). The question is brought into a canonical layout, without politeness and by a table of wordings
+of equal meaning (`Wording`, optional); typing slips are left in it.
 
-Overlaps come from one operator, the segment join of `edit_join`, in three runs that differ in block and string:
+Overlaps come from one operator, the segment join of `edit_join`, over the questions as they stand and over their sorted words (a place may stand in front
+or behind), in three runs that differ in their block:
 
-* both queries present: block = source, canonical query and numbers, string = frame and content words, up to `k_same_query` edits;
+* both queries present: block = source, canonical query and numbers, up to `k_same_query` edits;
 * a question is missing: block = source and canonical query, string empty;
-* a query is missing: block = source, frame and numbers, string = content words, up to `k_question` edits.
+* a query is missing: block = source and numbers, up to `k_question` edits, all of which must be slips inside of words.
 
-So hot sources or wordings don't make large blocks: the frame alone never decides, and numbers must always be equal.
-Classes of equal (block, string) are joined, not records. Defined results: records without question and query match nothing; null
+Numbers must always be equal. In the last run at least one record of a pair lacks its query; these few emit the substrings, the many are cut into segments.
+Classes of equal (block, question) are joined, not records. Defined results: records without question and query match nothing; null
 splits or sources take no part; evaluation splits are all but `train`.
 """
 
@@ -22,21 +22,23 @@ import hashlib
 import html
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import bounded_rows, materialize
+from ..runtime import materialize
 from .edit_join import segment_join, within
+from .resolution import slips
 
-#: Polite openings and closings.
+#: Polite openings and closings, as a default of Wording.
 POLITE = re.compile(
     r"^(?:(?:please(?: tell me| list| say)?|kindly|quick question|hello|hi|hey|in this graph|could you(?: please)?(?: tell me| say)?|can you(?: please)?(?: tell me| say)?|would you(?: please)?(?: tell me| say)?|tell me|i would like to know|i want to know|just wondering)\s*[,:;]?\s+)+"
 )
 POLITE_END = re.compile(r"[\s,.;:!?]*\b(?:thanks(?: a lot| in advance)?|thank you(?: very much)?|please|cheers)[\s.!?]*$")
-#: Wording of equal meaning, applied in order to the lower-case text.
+#: Wording of equal meaning, applied in order to the lower-case text, as a default of Wording.
 EQUAL_WORDING = (
     (r"\bwhat's\b", "what is"),
     (r"\bwho's\b", "who is"),
@@ -55,34 +57,44 @@ EQUAL_WORDING = (
     (r"\bsituated\b", "located"),
     (r"\b(?:connected|tied) to\b", "linked to"),
     (r"^what (?!is |are )", "which "),
+    (r"\bduring\b", "in"),
 )
-#: Words of equal meaning, replaced after slips are mended.
-EQUAL_WORDS = {"during": "in", "mean": "average", "registered": "recorded", "each": "every", "over": "above", "under": "below"}
+
+
+@dataclass(frozen=True)
+class Wording:
+    """Openings and endings that say nothing, and pairs of pattern and replacement of equal meaning. `Wording(None, None, ())` changes no word."""
+
+    opening: re.Pattern | None = POLITE
+    ending: re.Pattern | None = POLITE_END
+    equal: tuple[tuple[str, str], ...] = EQUAL_WORDING
+
+
 #: Number words.
 NUMBER_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
 _NUMBER_WORD = re.compile(r"\b(?:" + "|".join(NUMBER_WORDS) + r")\b")
-_FRONT = re.compile(r"^(in|at|for|within) ([^,]{1,80}), (.+)$")
+_FRONT = re.compile(r"^(in|at|for|within) ([^,]+), (.+)$")
 _LEAD = re.compile(r"^[\s\-*•>\"'“”‘’`]+|[\s\"'“”‘’`?.!]+$")
 
 
-def plain_question(text: str | None) -> str | None:
-    """The question in canonical wording, null if nothing is left."""
+def plain_question(text: str | None, wording: Wording = Wording()) -> str | None:
+    """The question in canonical layout and wording, null if nothing is left."""
     if text is None:
         return None
+    polite = (lambda x: wording.opening.sub("", x)) if wording.opening else (lambda x: x)
     t = unicodedata.normalize("NFKC", html.unescape(text)).casefold().replace("’", "'")
     t = re.sub(r"\s+", " ", t).strip()
     before = None
     while before != t:
         before = t
-        t = _LEAD.sub("", t)
-        t = POLITE.sub("", t)
-        t = POLITE_END.sub("", t)
-        if (m := _FRONT.match(t)) and (rest := POLITE.sub("", m[3])) != m[3]:
+        t = polite(_LEAD.sub("", t))
+        t = wording.ending.sub("", t) if wording.ending else t
+        if (m := _FRONT.match(t)) and (rest := polite(m[3])) != m[3]:
             t = f"{m[1]} {m[2]}, {rest}"
     fronted = _FRONT.match(t)
     if fronted:
         t = fronted[3]
-    for pattern, to in EQUAL_WORDING:
+    for pattern, to in wording.equal:
         t = re.sub(pattern, to, t)
     if fronted:
         t += f" {fronted[1]} {fronted[2]}"
@@ -180,11 +192,11 @@ def canonical_query(q: str | None) -> str | None:
     if not items:
         head = tokens
     head = [t for t in head if t != "WHERE"]
-    # the role of a variable: refined by the patterns in which it stands, as often as it takes to settle
+    # the role of a variable: refined by the patterns in which it stands until no roles are told apart any more
     variables = sorted({t for t in tokens if t[0] == "?"})
     role = dict.fromkeys(variables, "?")
     show = lambda ts, own=None: " ".join("@" if t == own else role.get(t, t) for t in ts)
-    for _ in range(min(6, len(variables))):
+    for _ in variables:
         new = {}
         for v in variables:
             seen = sorted(f"{s}:{show(ts, v)}" for s, ts in [("head", tuple(head)), ("tail", tuple(tail)), *items] if v in ts)
@@ -196,102 +208,92 @@ def canonical_query(q: str | None) -> str | None:
     return show(head) + " { " + " . ".join(sorted(f"{s}:{show(ts)}" for s, ts in items)) + " } " + show(tail)
 
 
-def mend(token: str, frequent: dict[str, int], memo: dict[str, str]) -> str:
-    """A rare word of at least four letters that is one slip away from a frequent word, or of five with two edits and an end in common, is that word."""
-    if token in frequent or len(token) < 4 or not token.isalpha():
-        return token
-    if token not in memo:
-        best = ""
-        for d in range(len(token) + 1):
-            pool = {token[:d] + token[d + 1 :]} if d < len(token) else set()
-            if d + 1 < len(token):
-                pool.add(token[:d] + token[d + 1] + token[d] + token[d + 2 :])
-            for x in "abcdefghijklmnopqrstuvwxyz":
-                pool.add(token[:d] + x + token[d:])
-                if d < len(token):
-                    pool.add(token[:d] + x + token[d + 1 :])
-            for p in pool:
-                if len(p) >= 3 and frequent.get(p, 0) > frequent.get(best, 0):
-                    best = p
-        if not best and len(token) >= 5:
-            near = [(d, -n, w) for w, n in frequent.items() if len(w) >= 5 and abs(len(w) - len(token)) <= 2 and (w[0] == token[0] or w[-1] == token[-1]) and (d := within(token, w, 2)) is not None]
-            best = min(near)[2] if near else ""
-        memo[token] = best or token
-    return memo[token]
-
-
-def prepare(df: DataFrame, id_col: str, split: str, source: str, question: str, query: str) -> DataFrame:
-    """(id, split, source, q: canonical question, s: digest of the canonical query)."""
+def slips_only(a: str, b: str) -> bool:
+    """Whether two questions differ by slips inside of words alone: words that only one of them has pair up, each pair at most two edits or swaps and a quarter of its length apart; digits never differ. Blanks may be misplaced by one."""
+    x, y = Counter(a.split()), Counter(b.split())
+    left, right = list((x - y).elements()), list((y - x).elements())
+    if len(left) != len(right):
+        return within(a.replace(" ", ""), b.replace(" ", ""), 0) is not None
+    for w in left:
+        near = [(d, r) for r in right if min(len(w), len(r)) >= 4 and not any(c.isdigit() for c in w + r) and (d := slips(w, r, min(2, min(len(w), len(r)) // 4))) is not None]
+        if not near:
+            return False
+        right.remove(min(near)[1])
+    return True
+
+
+def prepare(df: DataFrame, id_col: str, split: str, source: str, question: str, query: str, wording: Wording = Wording()) -> DataFrame:
+    """(id, split, source, q: canonical question, w: its sorted words, s: digest of the canonical query)."""
 
     @F.pandas_udf("q string, s string")
     def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         digest = lambda x: None if x is None else hashlib.md5(x.encode()).hexdigest()
         text = lambda x: x if isinstance(x, str) else None
-        return pd.DataFrame({"q": [plain_question(text(x)) for x in a], "s": [digest(canonical_query(text(x))) for x in b]})
+        return pd.DataFrame({"q": [plain_question(text(x), wording) for x in a], "s": [digest(canonical_query(text(x))) for x in b]})
 
     base = df.select(F.col(id_col).alias("id"), F.col(split).alias("split"), F.col(source).alias("source"), both(F.col(question), F.col(query)).alias("x"))
-    return base.select("id", "split", "source", "x.q", "x.s").filter("split IS NOT NULL AND source IS NOT NULL AND (q IS NOT NULL OR s IS NOT NULL)")
-
-
-def frequent_words(prepared: DataFrame, share: float = 0.002, max_words: int = 20_000) -> dict[str, int]:
-    """Words in at least `share` of the questions: at most (words a question) / share of them, which is checked."""
-    words = prepared.filter("q IS NOT NULL").select(F.explode(F.array_distinct(F.split("q", " "))).alias("w")).groupBy("w").count()
-    n = prepared.filter("q IS NOT NULL").count()
-    return {r[0]: r[1] for r in bounded_rows(words.filter(F.col("count") >= max(3, share * n)), max_words, "the table of frequent words")}
-
-
-def class_overlaps(prepared: DataFrame, k_same_query: int = 6, k_question: int = 2, share: float = 0.002) -> tuple[DataFrame, DataFrame]:
-    """(members, links): members (run, block, text, id, split, source) and links (run, block, probe, target) between classes of equal block and text."""
-    frequent = frequent_words(prepared, share)
-    known = {*frequent, *EQUAL_WORDS.values()}
-
-    @F.pandas_udf("frame string, content string")
-    def framed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, str] = {}
-        for b in batches:
-            rows = []
-            for q in b:
-                if not isinstance(q, str):
-                    rows.append((None, None))
-                    continue
-                tokens = [EQUAL_WORDS.get(t, t) for t in (mend(t, frequent, memo) for t in q.split())]
-                frame = sorted(t for t in tokens if t in known or any(c.isdigit() for c in t))
-                rows.append((" ".join(frame), " ".join(t for t in tokens if t not in known and not any(c.isdigit() for c in t))))
-            yield pd.DataFrame(rows, columns=["frame", "content"])
-
-    base = prepared.select("*", framed("q").alias("f")).select("id", "split", "source", "q", "s", "f.frame", "f.content", (F.col("split") == "train").alias("is_train"))
-    base = materialize(base, "framed")
+    base = base.select("id", "split", "source", "x.q", F.array_join(F.array_sort(F.split("x.q", " ")), " ").alias("w"), "x.s")
+    return base.filter("split IS NOT NULL AND source IS NOT NULL AND (q IS NOT NULL OR s IS NOT NULL)")
+
+
+def _met(cut: DataFrame, emit: DataFrame, k: int) -> DataFrame:
+    """(block, a, b) of classes (block, q, w) whose questions, or the sorted words of these, are at most k edits apart; `cut` is the larger side."""
+    both = lambda d: d.distinct().select("block", "q", F.inline(F.array(F.struct(F.concat(F.lit("kept/"), "block").alias("key"), F.col("q").alias("text")), F.struct(F.concat(F.lit("sorted/"), "block").alias("key"), F.col("w").alias("text")))))
+    x, y = both(cut), both(emit)
+    strings = lambda d: d.select(F.col("key").alias("block"), "text").distinct()
+    pairs = segment_join(strings(x), strings(y), k).select(F.col("block").alias("key"), "probe", "target", "distance")
+    out = pairs.join(x.select("key", F.col("text").alias("probe"), "block", F.col("q").alias("a")), ["key", "probe"]).join(y.select("key", F.col("text").alias("target"), F.col("q").alias("b")), ["key", "target"])
+    return out.groupBy("block", "a", "b").agg(F.min("distance").alias("distance"))
+
+
+def class_overlaps(prepared: DataFrame, k_same_query: int = 6, k_question: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members, links): members (run, block, text, id, split, source, is_train, lacks) and links (run, block, e, t, distance) between an evaluation and a training class of equal block and text. Of two members of linked classes at least one must lack a field in the runs `query` and `question`."""
+    base = prepared.withColumn("is_train", F.col("split") == "train")
     key = lambda *c: F.concat_ws("\u0001", *c)
     numbers = F.concat_ws(" ", F.array_sort(F.regexp_extract_all("q", F.lit(r"\d[\d.]*"), F.lit(0))))
-    runs = []
-    for run, k, rows in (
-        ("both", k_same_query, base.filter("q IS NOT NULL AND s IS NOT NULL").select("*", key(F.col("source"), F.col("s"), numbers).alias("block"), F.concat_ws(" ", "frame", "content").alias("text"))),
-        ("query", 0, base.filter("s IS NOT NULL").select("*", key(F.col("source"), F.col("s")).alias("block"), F.lit("").alias("text"))),
-        ("question", k_question, base.filter("q IS NOT NULL").select("*", key(F.col("source"), F.col("frame")).alias("block"), F.col("content").alias("text"))),
-    ):
-        lacks = {"both": F.lit(False), "query": F.col("q").isNull(), "question": F.col("s").isNull()}[run]
-        runs.append((run, k, rows.select(F.lit(run).alias("run"), "block", "text", "id", "split", "source", "is_train", lacks.alias("lacks"))))
-    links, members = None, None
-    for run, k, rows in runs:
-        side = lambda train, extra="": rows.filter(F.col("is_train") == train).filter(extra or "true").select("block", "text").distinct()  # noqa: B023, E731
+
+    @F.pandas_udf("boolean")
+    def slip(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([slips_only(x, y) for x, y in zip(a, b)], dtype="boolean")
+
+    runs = {
+        "both": base.filter("q IS NOT NULL AND s IS NOT NULL").select("*", key("source", "s", numbers).alias("block"), F.lit(False).alias("lacks")),
+        "query": base.filter("s IS NOT NULL").select("*", key("source", "s").alias("block"), F.col("q").isNull().alias("lacks")).withColumn("q", F.lit("")).withColumn("w", F.lit("")),
+        "question": base.filter("q IS NOT NULL").select("*", key("source", numbers).alias("block"), F.col("s").isNull().alias("lacks")),
+    }
+    members, links = [], []
+    for run, rows in runs.items():
+        side = lambda where: rows.filter(where).select("block", "q", "w")  # noqa: B023, E731
         if run == "both":
-            found = [segment_join(side(False), side(True), k)]
-        else:  # at least one record of a pair lacks the other field; two with both fields are the first run's matter
-            found = [segment_join(side(False, "lacks"), side(True), k), segment_join(side(False), side(True, "lacks"), k)]
+            found = [_met(side("NOT is_train"), side("is_train"), k_same_query).withColumnsRenamed({"a": "e", "b": "t"})]
+        else:
+            k = 0 if run == "query" else k_question
+            found = [_met(side("is_train"), side("NOT is_train AND lacks"), k).withColumnsRenamed({"a": "t", "b": "e"}), _met(side("NOT is_train"), side("is_train AND lacks"), k).withColumnsRenamed({"a": "e", "b": "t"})]
         for f in found:
-            if run == "question":  # short names differ by a letter, too
-                f = f.filter("distance <= least(length(probe), length(target)) / 4")
-            f = f.select(F.lit(run).alias("run"), "block", "probe", "target")
-            links = f if links is None else links.unionByName(f)
-        members = rows if members is None else members.unionByName(rows)
-    return members, links.distinct()
+            f = f.filter(slip("e", "t")) if run == "question" else f
+            links.append(f.select(F.lit(run).alias("run"), "block", "e", "t", "distance"))
+        members.append(rows.select(F.lit(run).alias("run"), "block", F.col("q").alias("text"), "id", "split", "source", "is_train", "lacks"))
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return union(members), union(links).groupBy("run", "block", "e", "t").agg(F.min("distance").alias("distance"))
 
 
 def overlapping_pairs(prepared: DataFrame, **options) -> DataFrame:
-    """(question_a, question_b, eval_split, source): pairs of records, the smaller id first."""
+    """(question_a, question_b, eval_split, source, distance): pairs of records, the smaller id first."""
+    prepared = materialize(prepared, "questions")
+    members, links = class_overlaps(prepared, **options)
+    e = members.filter("NOT is_train").select("run", "block", F.col("text").alias("e"), F.col("id").alias("ie"), "split", "source", F.col("lacks").alias("le"))
+    t = members.filter("is_train").select("run", "block", F.col("text").alias("t"), F.col("id").alias("it"), F.col("lacks").alias("lt"))
+    out = links.join(e, ["run", "block", "e"]).join(t, ["run", "block", "t"]).filter("run = 'both' OR le OR lt")
+    return out.select(F.least("ie", "it").alias("question_a"), F.greatest("ie", "it").alias("question_b"), F.col("split").alias("eval_split"), "source", "distance")
+
+
+def overlap_counts(prepared: DataFrame, **options) -> DataFrame:
+    """(split, source, n_pairs, n_slipped) of overlapping_pairs by products of class sizes: copies are never expanded. n_slipped: pairs that only edits bring together."""
     prepared = materialize(prepared, "questions")
     members, links = class_overlaps(prepared, **options)
-    e = members.filter("NOT is_train").select("run", "block", F.col("text").alias("probe"), F.col("id").alias("e"), "split", "source", F.col("lacks").alias("le"))
-    t = members.filter("is_train").select("run", "block", F.col("text").alias("target"), F.col("id").alias("t"), F.col("lacks").alias("lt"))
-    out = links.join(e, ["run", "block", "probe"]).join(t, ["run", "block", "target"]).filter("run = 'both' OR le OR lt")
-    return out.select(F.least("e", "t").alias("question_a"), F.greatest("e", "t").alias("question_b"), F.col("split").alias("eval_split"), "source").distinct()
+    sizes = members.groupBy("run", "block", "text", "split", "source", "is_train").agg(F.count("*").alias("n"), F.count_if("lacks").alias("n_lacks"))
+    e = sizes.filter("NOT is_train").select("run", "block", F.col("text").alias("e"), "split", "source", F.col("n").alias("ne"), F.col("n_lacks").alias("le"))
+    t = sizes.filter("is_train").select("run", "block", F.col("text").alias("t"), F.col("n").alias("nt"), F.col("n_lacks").alias("lt"))
+    pairs = F.when(F.col("run") == "both", F.col("ne") * F.col("nt")).otherwise(F.col("ne") * F.col("nt") - (F.col("ne") - F.col("le")) * (F.col("nt") - F.col("lt")))
+    out = links.join(e, ["run", "block", "e"]).join(t, ["run", "block", "t"]).select("split", "source", "distance", pairs.alias("n"))
+    return out.groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.sum(F.when(F.col("distance") > 0, F.col("n")).otherwise(0)).alias("n_slipped")).filter("n_pairs > 0")
