@@ -63,12 +63,13 @@ def p7_recall(spark: SparkSession, root: str) -> DataFrame:
     return both.groupBy("min_cosine").agg(F.count("*").alias("n_true"), F.count("found").alias("n_found"), F.round(F.count("found") / F.count("*"), 4).alias("recall"))
 
 
-#: Contexts are those of the model with the shortest context of at least so many tokens.
+#: Contexts are those of the model with the shortest context of at least so many tokens, or of the longest there is.
 LEAST_CONTEXT = 2048
 
 
 def _packed(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    capacity = table(spark, root, "llm_models").filter(F.col("context_length") >= LEAST_CONTEXT).agg(F.min("context_length")).first()[0]
+    length = F.col("context_length")
+    capacity = table(spark, root, "llm_models").agg(F.coalesce(F.min(F.when(length >= LEAST_CONTEXT, length)), F.max(length))).first()[0]
     return pack(table(spark, root, "documents"), "doc_id", "text", capacity), capacity
 
 
@@ -78,9 +79,10 @@ def p8_contexts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, root: str) -> DataFrame:
-    """Contexts, documents, cut documents and the share of room that is used."""
+    """Per bucket: contexts, pieces, cuts, the least number of contexts that any packing needs, and the share of room that is used."""
     packed, capacity = _packed(spark, root)
-    return packed.agg(F.countDistinct("context_id").alias("n_contexts"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.when(F.col("piece") > 0, 1).otherwise(0)).alias("n_cuts"), F.round(F.sum("n_tokens") / (F.countDistinct("context_id") * capacity), 4).alias("fill"))
+    least = F.ceil(F.sum("n_tokens") / capacity)
+    return packed.groupBy("bucket").agg(F.countDistinct("context_id").alias("n_contexts"), F.count("*").alias("n_pieces"), F.count_if(F.col("piece") > 0).alias("n_cuts"), least.alias("n_least"), F.round(F.sum("n_tokens") / (F.countDistinct("context_id") * capacity), 4).alias("fill"))
 
 
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
