@@ -5,8 +5,8 @@ edits holds that segment at a position shifted by at most k. Targets emit their
 length from their own less k to their own plus k. Segments meet by equality (block, length, segment number, text) in a plain hash
 join; what meets is verified by a banded dynamic program that stops as soon as the band exceeds k.
 
-Strings equal within a block are one class on each side, so copies cost nothing and never form pairs of their own; the
-result holds class pairs, which `expand` turns into pairs of rows where those are asked for.
+Strings equal within a block are one class on each side, so copies cost nothing and never form pairs of their own. A tag says what a string stands
+for, if not for itself.
 """
 
 from __future__ import annotations
@@ -59,35 +59,35 @@ def cuts(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def segment_join(probes: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """probes and targets: (block string, text string), distinct. Gives (block, probe, target, distance) for all pairs at most k edits apart."""
+    """probes and targets: (block string, text string, tag string), distinct. Gives (block, probe, target, distance), probe and target being tags, for all pairs of texts at most k edits apart."""
 
     def cut_probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(block, text, len(text), i, text[s : s + n]) for block, text in zip(b["block"], b["text"]) for i, (s, n) in enumerate(cuts(len(text), k))]
-            yield pd.DataFrame(rows, columns=["block", "probe", "n", "i", "piece"])
+            rows = [(block, text, tag, len(text), i, text[s : s + n]) for block, text, tag in zip(b["block"], b["text"], b["tag"]) for i, (s, n) in enumerate(cuts(len(text), k))]
+            yield pd.DataFrame(rows, columns=["block", "a", "probe", "n", "i", "piece"])
 
     def cut_targets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for block, text in zip(b["block"], b["text"]):
+            for block, text, tag in zip(b["block"], b["text"], b["tag"]):
                 m = len(text)
                 for n in range(max(0, m - k), m + k + 1):
                     for i, (s, size) in enumerate(cuts(n, k)):
                         # edits before the segment shift it by at most min(i, k), those after it the rest of the length difference
                         low, high = max(0, s - k, s - i, s + (m - n) - (k - i)), min(m - size, s + k, s + i, s + (m - n) + (k - i))
-                        rows.extend({(block, text, n, i, text[p : p + size]) for p in range(low, high + 1)})
-            yield pd.DataFrame(rows, columns=["block", "target", "n", "i", "piece"])
+                        rows.extend({(block, text, tag, n, i, text[p : p + size]) for p in range(low, high + 1)})
+            yield pd.DataFrame(rows, columns=["block", "b", "target", "n", "i", "piece"])
 
     # only blocks that stand on both sides are cut
     here, there = probes.select("block").distinct(), targets.select("block").distinct()
     probes, targets = probes.join(there, "block", "left_semi"), targets.join(here, "block", "left_semi")
-    left = probes.mapInPandas(cut_probes, "block string, probe string, n int, i int, piece string")
-    right = targets.mapInPandas(cut_targets, "block string, target string, n int, i int, piece string")
+    left = probes.select("block", "text", "tag").mapInPandas(cut_probes, "block string, a string, probe string, n int, i int, piece string")
+    right = targets.select("block", "text", "tag").mapInPandas(cut_targets, "block string, b string, target string, n int, i int, piece string")
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, k) for x, y in zip(a, b)], dtype="Int32")
 
     # the pieces outgrow what the optimizer knows of their inputs, so neither side may be broadcast
-    met = left.hint("merge").join(right, ["block", "n", "i", "piece"]).select("block", "probe", "target").distinct()
-    return met.select("block", "probe", "target", distance("probe", "target").alias("distance")).filter("distance IS NOT NULL")
+    met = left.hint("merge").join(right, ["block", "n", "i", "piece"]).select("block", "a", "b", "probe", "target").distinct()
+    return met.select("block", "probe", "target", distance("a", "b").alias("distance")).filter("distance IS NOT NULL")

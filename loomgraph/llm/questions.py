@@ -237,13 +237,10 @@ def prepare(df: DataFrame, id_col: str, split: str, source: str, question: str,
 
 
 def _met(cut: DataFrame, emit: DataFrame, k: int) -> DataFrame:
-    """(block, a, b) of classes (block, q, w) whose questions, or the sorted words of these, are at most k edits apart; `cut` is the larger side."""
-    both = lambda d: d.distinct().select("block", "q", F.inline(F.array(F.struct(F.concat(F.lit("kept/"), "block").alias("key"), F.col("q").alias("text")), F.struct(F.concat(F.lit("sorted/"), "block").alias("key"), F.col("w").alias("text")))))
-    x, y = both(cut), both(emit)
-    strings = lambda d: d.select(F.col("key").alias("block"), "text").distinct()
-    pairs = segment_join(strings(x), strings(y), k).select(F.col("block").alias("key"), "probe", "target", "distance")
-    out = pairs.join(x.select("key", F.col("text").alias("probe"), "block", F.col("q").alias("a")), ["key", "probe"]).join(y.select("key", F.col("text").alias("target"), F.col("q").alias("b")), ["key", "target"])
-    return out.groupBy("block", "a", "b").agg(F.min("distance").alias("distance"))
+    """(block, probe, target, distance) of classes (block, q, w) whose questions, or the sorted words of these, are at most k edits apart; `cut` is the larger side."""
+    orders = F.array(*[F.struct(F.concat(F.lit(n), "block").alias("block"), F.col(c).alias("text"), F.col("q").alias("tag")) for n, c in (("kept/", "q"), ("sorted/", "w"))])
+    strings = lambda d: d.distinct().select(F.inline(orders))
+    return segment_join(strings(cut), strings(emit), k).withColumn("block", F.expr("substr(block, instr(block, '/') + 1)"))
 
 
 def class_overlaps(prepared: DataFrame, k_same_query: int = 6, k_question: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -256,25 +253,24 @@ def class_overlaps(prepared: DataFrame, k_same_query: int = 6, k_question: int =
     def slip(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([slips_only(x, y) for x, y in zip(a, b)], dtype="boolean")
 
-    runs = {
-        "both": base.filter("q IS NOT NULL AND s IS NOT NULL").select("*", key("source", "s", numbers).alias("block"), F.lit(False).alias("lacks")),
-        "query": base.filter("s IS NOT NULL").select("*", key("source", "s").alias("block"), F.col("q").isNull().alias("lacks")).withColumn("q", F.lit("")).withColumn("w", F.lit("")),
-        "question": base.filter("q IS NOT NULL").select("*", key("source", numbers).alias("block"), F.col("s").isNull().alias("lacks")),
-    }
-    members, links = [], []
-    for run, rows in runs.items():
-        side = lambda where: rows.filter(where).select("block", "q", "w")  # noqa: B023, E731
-        if run == "both":
-            found = [_met(side("NOT is_train"), side("is_train"), k_same_query).withColumnsRenamed({"a": "e", "b": "t"})]
-        else:
-            k = 0 if run == "query" else k_question
-            found = [_met(side("is_train"), side("NOT is_train AND lacks"), k).withColumnsRenamed({"a": "t", "b": "e"}), _met(side("NOT is_train"), side("is_train AND lacks"), k).withColumnsRenamed({"a": "e", "b": "t"})]
-        for f in found:
-            f = f.filter(slip("e", "t")) if run == "question" else f
-            links.append(f.select(F.lit(run).alias("run"), "block", "e", "t", "distance"))
-        members.append(rows.select(F.lit(run).alias("run"), "block", F.col("q").alias("text"), "id", "split", "source", "is_train", "lacks"))
-    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return union(members), union(links).groupBy("run", "block", "e", "t").agg(F.min("distance").alias("distance"))
+    both = base.filter("q IS NOT NULL AND s IS NOT NULL").select("*", key("source", "s", numbers).alias("block"), F.lit(False).alias("lacks"))
+    query = base.filter("s IS NOT NULL").select("*", key("source", "s").alias("block"), F.col("q").isNull().alias("lacks")).withColumn("q", F.lit(""))
+    question = base.filter("q IS NOT NULL").select("*", key("source", numbers).alias("block"), F.col("s").isNull().alias("lacks"))
+    cut, emit = both.filter("NOT is_train").select("block", "q", "w"), both.filter("is_train").select("block", "q", "w")
+    links = _met(cut, emit, k_same_query).select(F.lit("both").alias("run"), "block", F.col("probe").alias("e"), F.col("target").alias("t"), "distance")
+    # an empty string in place of the questions: the block alone decides
+    sides = query.groupBy("block").agg(F.bool_or(~F.col("is_train")).alias("e"), F.bool_or("is_train").alias("t"), F.bool_or("lacks").alias("l")).filter("e AND t AND l")
+    links = links.unionByName(sides.select(F.lit("query").alias("run"), "block", F.lit("").alias("e"), F.lit("").alias("t"), F.lit(0).alias("distance")))
+    # each kind of split meets only the other one, since the kind stands in the block: a class's own where it is cut, the other one where it emits
+    kinds = lambda train: F.when(train, F.lit("t")).otherwise(F.lit("e"))
+    cut = question.select(key(kinds(F.col("is_train")), "block").alias("block"), "q", "w")
+    emit = question.filter("lacks").select(key(kinds(~F.col("is_train")), "block").alias("block"), "q", "w")
+    met = _met(cut, emit, k_question).filter(slip("probe", "target"))
+    cut_is_train = F.col("block").startswith("t")
+    met = met.select(F.lit("question").alias("run"), F.expr("substr(block, 3)").alias("block"), F.when(cut_is_train, F.col("target")).otherwise(F.col("probe")).alias("e"), F.when(cut_is_train, F.col("probe")).otherwise(F.col("target")).alias("t"), "distance")
+    links = links.unionByName(met).groupBy("run", "block", "e", "t").agg(F.min("distance").alias("distance"))
+    members = reduce(lambda a, b: a.unionByName(b), [d.select(F.lit(run).alias("run"), "block", F.col("q").alias("text"), "id", "split", "source", "is_train", "lacks") for run, d in (("both", both), ("query", query), ("question", question))])
+    return members, links
 
 
 def overlapping_pairs(prepared: DataFrame, **options) -> DataFrame:

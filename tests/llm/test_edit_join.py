@@ -42,6 +42,6 @@ def test_join_against_brute_force(spark, k):
 
     left = {(rnd.choice("AB"), noisy(s)) for s in base}
     right = {(rnd.choice("AB"), noisy(s)) for s in base for _ in range(2)}
-    frame = lambda rows: spark.createDataFrame(sorted(rows), "block string, text string")
+    frame = lambda rows: spark.createDataFrame([(*r, r[1]) for r in sorted(rows)], "block string, text string, tag string")
     got = {(r.block, r.probe, r.target, r.distance) for r in segment_join(frame(left), frame(right), k).collect()}
     assert got == {(b, x, y, d) for b, x in left for c, y in right if b == c and (d := plain(x, y)) <= k}
