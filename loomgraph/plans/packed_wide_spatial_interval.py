@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import with_point
 from ..operators.intervals import gaps, periods, with_range
-from ..operators.packed import delimiter_profile, split_packed
+from ..operators.packed import WEAK, delimiter_profile, split_packed
 from ..operators.spatial import radius_join, regions_containing
 from ..operators.wide import cells_of, widen
-from ..runtime import table
+from ..runtime import bounded_rows, table
 
 LIST_ATTRIBUTES = ("categories", "amenities", "roasts")
 
@@ -24,10 +24,13 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p1_delimiters(spark: SparkSession, root: str) -> DataFrame:
+    """How each candidate delimiter scores in each source."""
+    terms = table(spark, root, "known_terms")
+    known = lambda where: frozenset(r[0] for r in bounded_rows(terms.filter(where).select("term"), 1_000_000, "the table of known terms"))
     facts = table(spark, root, "coffee_shops_facts").filter(F.col("attribute").isin(*LIST_ATTRIBUTES))
-    a = delimiter_profile(facts, F.concat(F.lit("raw_value/"), "attribute"), F.col("raw_value"))
-    b = delimiter_profile(table(spark, root, "healthcare_providers"), F.concat(F.lit("specialty/"), "feed"), F.col("specialty"))
-    return a.unionByName(b).select("source", "delimiter", "n_rows", F.round("score", 6).alias("score"))
+    a = delimiter_profile(facts, F.concat(F.lit("raw_value/"), "attribute"), F.col("raw_value"), known(F.col("field").isin(*LIST_ATTRIBUTES)))
+    b = delimiter_profile(table(spark, root, "healthcare_providers"), F.concat(F.lit("specialty/"), "feed"), F.col("specialty"), known("field = 'specialty'"))
+    return a.unionByName(b).select("source", "delimiter", "n_rows", F.round("score", 6).alias("score"), (F.col("score") < WEAK).alias("weak"))
 
 
 def _declarations(spark: SparkSession, root: str) -> DataFrame:

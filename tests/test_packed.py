@@ -51,6 +51,40 @@ def test_rows(spark):
 
 def test_profile(spark):
     df = spark.createDataFrame([("a", "Tea; Deli"), ("a", "Tea; Deli"), ("b", "x"), ("a", "Tea; x|y")], "s string, v string")
-    p = {(r["source"], r["delimiter"]): r for r in delimiter_profile(df, F.col("s"), F.col("v")).collect()}
+    p = {(r["source"], r["delimiter"]): r for r in delimiter_profile(df, F.col("s"), F.col("v"), frozenset(["Tea", "Deli"])).collect()}
     assert p["a", "semicolon"]["n_rows"] == 3 and p["a", "bar"]["score"] < p["a", "semicolon"]["score"]
     assert ("b", "semicolon") not in p
+
+
+def test_scores_decide():
+    """A delimiter that scores low in a source stays inside of unknown values; with all scores alike it is cut."""
+    inferred, blind = Splitter(TERMS, {"semicolon": 0.8, "ampersand": 0.05, "and": 0.4}), Splitter(TERMS, {"semicolon": 1.0, "ampersand": 1.0, "and": 1.0})
+    assert inferred("Nuts & Bolts; Tea") == ["Nuts & Bolts", "Tea"] and blind("Nuts & Bolts; Tea") == ["Nuts", "Bolts", "Tea"]
+    assert inferred("Nuts and Bolts; Tea") == ["Nuts", "Bolts", "Tea"]
+    assert inferred("Nuts & Tea; Deli") == ["Nuts", "Tea", "Deli"]  # the cut sets a known value free
+    assert inferred("North Corner & South Corner; Deli") == ["North Corner", "South Corner", "Deli"]  # parts of one form
+
+
+def test_inference_without_terms(spark):
+    """Sources use different delimiters and hold one another's inside of their values: the scores tell which is which."""
+    a = ["Tea", "Deli", "Soup", "Cake", "Bed and Breakfast", "Nuts & Bolts"]
+    rows = [("a", v) for v in a * 4] + [("a", "; ".join(x)) for x in zip(a * 3, a[1:] * 3)] + [("b", v.replace("and", "&")) for v in a * 4 if v != "Nuts & Bolts"] + [("b", f"{x} and {y}") for x, y in zip(a[:3] * 3, a[1:4] * 3)]
+    rows = [(i, *r) for i, r in enumerate(rows)] + [(900, "a", "Bed and Breakfast; Tea"), (901, "b", "Tea and Soup"), (902, "a", "Rock and Roll; Tea")]
+    df = spark.createDataFrame(rows, "id long, s string, v string")
+    got = {}
+    for r in split_packed(df, "id", "v", F.col("s")).orderBy("id", "pos").collect():
+        got.setdefault(r.id, []).append(r.value)
+    assert got[900] == ["Bed and Breakfast", "Tea"] and got[901] == ["Tea", "Soup"] and got[902] == ["Rock and Roll", "Tea"]
+    assert all(got[i] == [v] for i, _, v in rows[:24])
+
+
+def test_many_sources(spark):
+    """Scores meet their rows by a join, so there may be more sources than fit a broadcast table of old."""
+    df = spark.range(30_000).selectExpr("id", "'s' || id AS src", "'Tea; Deli' AS packed")
+    terms = spark.createDataFrame([("Tea",), ("Deli",)], "term string")
+    assert split_packed(df, "id", "packed", F.col("src"), terms).count() == 60_000
+
+
+def test_a_term_with_many_delimiters():
+    long = "A, B, C, D, E, F, G, H & I"
+    assert Splitter(frozenset([long, "Tea"]), {n: 1.0 for n, _ in CANDIDATES})(f"{long}, Tea") == [long, "Tea"]
