@@ -7,7 +7,7 @@
    `WEAK`, it stands inside of values more often than between them: then a piece that is no known value keeps it, unless the cut sets a known value free or its parts are of one form. A piece
    that is a known value costs least, so a comma inside of it doesn't cut.
 
-Scores join the rows by their source, so there may be any number of sources.
+The scores of up to `small` sources go to the tasks with the code, those of more join the rows by their source; the rows come out the same.
 
 Defined results: null, blank and absence words give no row; repeats stay; pieces that are empty don't take a position;
 values of any length are split whole; columns of the input other than the key and the value are ignored.
@@ -19,6 +19,7 @@ import ast
 import json
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -101,10 +102,10 @@ def delimiter_profile(df: DataFrame, source: Column, value: Column, known: froze
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[tuple, list] = {}
+        own_of: dict = {}
         for b in batches:
             sums: dict[tuple, list[int]] = {}
-            own_of: dict = {}
-            for s, v, terms in zip(b["source"], b["value"], b["terms"]):
+            for s, v, terms in zip(b["source"], b["value"], b["terms"] if "terms" in b else repeat(None)):
                 got = memo.get((s, v))
                 if got is None:
                     if s not in own_of:
@@ -126,7 +127,7 @@ def delimiter_profile(df: DataFrame, source: Column, value: Column, known: froze
             yield pd.DataFrame([(*k, *t) for k, t in sums.items()], columns=["source", "delimiter", "n", "pieces", "squares", "regular"])
 
     base = df.select(source.cast("string").alias("source"), value.alias("value")).filter(F.trim("value") != "")
-    base = base.withColumn("terms", F.lit(None).cast("array<string>")) if own is None else _by_source(base, "source", own, "terms")
+    base = base if own is None else _by_source(base, "source", own, "terms")
     sums = base.mapInPandas(partial, "source string, delimiter string, n long, pieces long, squares long, regular long").groupBy("source", "delimiter").sum()
     n, pieces, squares, regular = (F.col(f"sum({c})").cast("double") for c in ("n", "pieces", "squares", "regular"))
     mean = pieces / n
@@ -251,7 +252,7 @@ class Splitter:
         return [p for p in reversed(out) if p]
 
 
-def split_packed(df: DataFrame, key: str, value: str, source: Column, terms: DataFrame | None = None, max_terms: int = 1_000_000) -> DataFrame:
+def split_packed(df: DataFrame, key: str, value: str, source: Column, terms: DataFrame | None = None, max_terms: int = 1_000_000, small: int = 10_000) -> DataFrame:
     """`key`, pos (from 1) and value of every single value in `value`.
 
     terms: one column of known single values, at most `max_terms` (checked, since they are sent to every task); without it each source's own terms are used.
@@ -261,20 +262,37 @@ def split_packed(df: DataFrame, key: str, value: str, source: Column, terms: Dat
     own = own_terms(base, F.col("s"), F.col("v")) if terms is None else None
     profile = delimiter_profile(base, F.col("s"), F.col("v"), known, own)
     scores = profile.groupBy("source").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("delimiter", "score")))).alias("scores"))
+    few = scores.take(small + 1) if own is None else None
+    local = {r[0]: r[1] for r in few} if few is not None and len(few) <= small else None
 
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def split(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         splitters: dict = {}
-        for names, v, found, vocabulary in batches:
+        for names, values, *rest in batches:
+            found, vocabulary = rest if rest else (None, None)
             out = []
-            for a, b, c, t in zip(names, v, found, vocabulary):
+            for i, (a, b) in enumerate(zip(names, values)):
                 a = None if pd.isna(a) else a
                 if a not in splitters:
+                    c = local.get(a) if local is not None else found[i]
+                    t = None if vocabulary is None else vocabulary[i]
                     splitters[a] = Splitter(known if t is None else known | set(t), json.loads(c) if isinstance(c, str) else {})
                 out.append(splitters[a](None if pd.isna(b) else b))
             yield pd.Series(out)
 
-    rows = _by_source(base, "s", scores, "scores")
-    rows = rows.withColumn("terms", F.lit(None).cast("array<string>")) if own is None else _by_source(rows, "s", own, "terms")
-    got = rows.select("k", cut("s", "v", "scores", "terms").alias("values"))
+    if local is not None:
+
+        @F.pandas_udf("array<string>")
+        def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            yield from split(batches)
+
+        got = base.select("k", cut("s", "v").alias("values"))
+    else:
+
+        @F.pandas_udf("array<string>")
+        def cut_joined(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            yield from split(batches)
+
+        rows = _by_source(base, "s", scores, "scores")
+        rows = rows.withColumn("terms", F.lit(None).cast("array<string>")) if own is None else _by_source(rows, "s", own, "terms")
+        got = rows.select("k", cut_joined("s", "v", "scores", "terms").alias("values"))
     return got.select(F.col("k").alias(key), F.posexplode("values").alias("pos", "value")).select(key, (F.col("pos") + 1).cast("int").alias("pos"), "value")

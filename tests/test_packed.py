@@ -83,6 +83,8 @@ def test_many_sources(spark):
     df = spark.range(30_000).selectExpr("id", "'s' || id AS src", "'Tea; Deli' AS packed")
     terms = spark.createDataFrame([("Tea",), ("Deli",)], "term string")
     assert split_packed(df, "id", "packed", F.col("src"), terms).count() == 60_000
+    rows = lambda small: sorted(map(tuple, split_packed(df.limit(300), "id", "packed", F.col("src"), terms, small=small).collect()))
+    assert rows(10_000) == rows(5)
 
 
 def test_a_term_with_many_delimiters():
