@@ -5,9 +5,11 @@ subjects of their document, terms get the share of each subject among their sent
 times, which tells the subjects of one document apart. A term is kept if it is pure enough; its weight is its purity, less for words that stand in many
 documents, more for longer terms.
 
-All terms become one Aho-Corasick automaton a Python worker. Every document is read once, where it lies: each sentence with a term is about the
-subject of the greatest summed weight, and a subject's share among such sentences (so length is normalised) is held against a threshold that is
-calibrated on the labelled sample. A sentence that names a source of the corpus is an import note and counts for nothing.
+All terms become one Aho-Corasick automaton a Python worker. Every document is read once, where it lies, in one pass of the automaton: each sentence with a
+term is about the subject of the greatest summed weight, and a subject's share among such sentences (so length is normalised) is held against the subject's
+own threshold. Thresholds are calibrated on labelled documents that the terms were not fitted on.
+
+Import notes count for nothing: sentences that name the document's own source, and those with a turn of words that stands beside sources in the sample.
 
 Defined results: null, empty and wordless texts have no subject; labels are matched without case and outer blanks, other labels ignored; without
 usable labels nothing is assigned. Bound: `max_labelled` documents on the driver, chosen by hash of the id.
@@ -23,18 +25,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import bounded_rows
-from .text import sentence_words, words_with_offsets
+from .text import sentence_words, words_of
 
 
 def terms_of(words: list[str]) -> set[str]:
     return {*words, *map(" ".join, zip(words, words[1:])), *map(" ".join, zip(words, words[1:], words[2:]))}
 
 
+#: The share from which on a subject counts where there are no labels to calibrate it: the definition's own.
+QUARTER = 0.25
+
+
 class SubjectModel:
-    """weights: term -> {subject: weight}; notes: phrases whose sentences don't count."""
+    """weights: term -> {subject: weight}; thresholds: subject -> share; notes: turns of words whose sentences don't count."""
 
-    def __init__(self, weights: dict[str, dict[str, float]], threshold: float, floor: float, notes: frozenset[str] = frozenset()):
-        self.weights, self.threshold, self.floor, self.notes = weights, threshold, floor, notes
+    def __init__(self, weights: dict[str, dict[str, float]], thresholds: dict[str, float], floor: float, notes: frozenset[str] = frozenset()):
+        self.weights, self.thresholds, self.floor, self.notes = weights, thresholds, floor, notes
         self.automaton = None
 
     def __getstate__(self):
@@ -43,52 +49,113 @@ class SubjectModel:
     def _build(self):
         import ahocorasick
 
+        self.names = sorted({s for w in self.weights.values() for s in w})
+        number = {s: i for i, s in enumerate(self.names)}
         self.automaton = ahocorasick.Automaton()
         for t, w in self.weights.items():
-            self.automaton.add_word(f" {t} ", (t, w))
+            self.automaton.add_word(f" {t} ", (t, tuple((number[s], x) for s, x in w.items())))
         for t in self.notes:
             self.automaton.add_word(f" {t} ", (t, None))
         self.automaton.make_automaton()
 
-    def shares(self, text: str | None) -> dict[str, float]:
+    def shares(self, text: str | None, source: str | None = None) -> dict[str, float]:
         """Share of each subject among the text's sentences about any subject."""
         if not text or not self.weights:
             return {}
         if self.automaton is None:
             self._build()
-        count: Counter = Counter()
-        for words in sentence_words(text):
-            score: dict[str, float] = defaultdict(float)
-            seen = set()
-            for _, (t, w) in self.automaton.iter(" " + " ".join(words) + " "):
-                if w is None:
-                    score.clear()
-                    break
-                if t not in seen:
-                    seen.add(t)
-                    for s, x in w.items():
-                        score[s] += x
-            if score:
-                best = max(score, key=lambda s: (score[s], s))
+        lines = [" ".join(w) for w in sentence_words(text)]
+        own = f" {source} " if source else None
+        count = [0] * len(self.names)
+        score, seen, noted = [0.0] * len(self.names), set(), False
+        k, limit, begun = 0, len(lines[0]) + 1 if lines else 0, False
+
+        def close() -> None:
+            nonlocal score, noted, begun
+            if begun and not noted and not (own and own in f" {lines[k]} "):
+                best = max(range(len(score)), key=score.__getitem__)
                 if score[best] >= self.floor:
                     count[best] += 1
-        total = sum(count.values())
-        return {s: n / total for s, n in count.items()}
+            if begun:
+                score = [0.0] * len(score)
+                seen.clear()
+                noted = begun = False
+
+        for end, (t, w) in self.automaton.iter(" " + " | ".join(lines) + " "):
+            while end > limit:
+                close()
+                k += 1
+                limit += len(lines[k]) + 3
+            begun = True
+            if w is None:
+                noted = True
+            elif t not in seen:
+                seen.add(t)
+                for i, x in w:
+                    score[i] += x
+        close()
+        total = sum(count)
+        return {s: n / total for s, n in zip(self.names, count) if n}
+
+    def chosen(self, shares: dict[str, float]) -> list[str]:
+        return sorted(s for s, x in shares.items() if x >= self.thresholds.get(s, QUARTER))
 
     def subjects(self, text: str | None) -> list[str]:
-        return sorted(s for s, x in self.shares(text).items() if x >= self.threshold)
-
-
-def note_phrases(sources: list[str | None]) -> frozenset[str]:
-    """Sources of two words or more as they read in a text; one word may be a word of any sentence."""
-    folded = (words_with_offsets(s)[0] for s in sources if s)
-    return frozenset(" ".join(w) for w in folded if len(w) > 1)
+        return self.chosen(self.shares(text))
+
+
+def source_phrase(source: str | None) -> str | None:
+    """A source as it reads in a text, if it is of two words or more; one word may be a word of any sentence."""
+    words = words_of(source) if source else []
+    return " ".join(words) if len(words) > 1 else None
+
+
+def note_phrases(labelled: list[tuple[str, set[str], str | None]], n: int = 4, least: int = 3, purity: float = 0.9) -> frozenset[str]:
+    """Turns of n words that stand beside the names of sources: in at least `least` documents, and nearly always in such sentences."""
+    sources = {p for _, _, s in labelled if (p := source_phrase(s))}
+    beside, anywhere = Counter(), Counter()
+    for text, _, _ in labelled:
+        here: set[str] = set()
+        for w in sentence_words(text or ""):
+            line = f" {' '.join(w)} "
+            runs = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
+            anywhere.update(runs)
+            if any(f" {s} " in line for s in sources):
+                named = {x for s in sources if f" {s} " in line for x in s.split()}
+                here |= {r for r in runs if not named & set(r.split())}
+        beside.update(here)
+    return frozenset(r for r, c in beside.items() if c >= least and c >= purity * anywhere[r])
+
+
+def fit(labelled: list[tuple[str, set[str], str | None]], rounds: int = 4, least_documents: int = 3, purity: float = 0.45, gain: float = 0.35, floor: float = 0.35, held_out: float = 0.25) -> SubjectModel:
+    """labelled: text, its subjects and its source. The last `held_out` of them calibrate the thresholds and are not fitted on."""
+    labelled = [x for x in labelled if x[0] and x[1]]
+    n_fit = len(labelled) - int(len(labelled) * held_out)
+    model = fit_terms(labelled[:n_fit], note_phrases(labelled), rounds, least_documents, purity, gain, floor)
+    model.thresholds = calibrated([(model.shares(t, source_phrase(src)), s) for t, s, src in labelled[n_fit:]])
+    return model
 
 
-def fit(labelled: list[tuple[str, set[str]]], notes: frozenset[str] = frozenset(), rounds: int = 4, least_documents: int = 3, purity: float = 0.45, gain: float = 0.35, floor: float = 0.35) -> SubjectModel:
-    """labelled: text and its subjects. The threshold is calibrated around a quarter of the sentences."""
-    is_note = (lambda w: any(f" {n} " in w for n in notes)) if notes else (lambda w: False)
-    texts = [([w for w in sentence_words(t) if not is_note(f" {' '.join(w)} ")], s) for t, s in labelled if t and s]
+def calibrated(shares: list[tuple[dict[str, float], set[str]]], least: int = 30, slack: float = 0.004) -> dict[str, float]:
+    """The threshold of each subject by F1 over documents whose subjects are known: of those nearly as good as the best, the one nearest to a quarter. Subjects with few documents keep the quarter."""
+    out = {}
+    for subject in {s for _, known in shares for s in known}:
+        if sum(subject in known for _, known in shares) < least:
+            continue
+        scored = []
+        for threshold in (x / 100 for x in range(15, 36)):
+            hit = sum(have.get(subject, 0.0) >= threshold and subject in known for have, known in shares)
+            got = sum(have.get(subject, 0.0) >= threshold for have, _ in shares)
+            scored.append((2 * hit / max(1, got + sum(subject in known for _, known in shares)), threshold))
+        best = max(f for f, _ in scored)
+        out[subject] = min((abs(t - QUARTER), t) for f, t in scored if f >= best - slack)[1]
+    return out
+
+
+def fit_terms(labelled: list[tuple[str, set[str], str | None]], notes: frozenset[str], rounds: int, least_documents: int, purity: float, gain: float, floor: float) -> SubjectModel:
+    """The terms of each subject and their weights."""
+    is_note = lambda w, own: (own and f" {own} " in w) or any(f" {n} " in w for n in notes)
+    texts = [([w for w in sentence_words(t) if not is_note(f" {' '.join(w)} ", source_phrase(src))], s) for t, s, src in labelled]
     df: Counter = Counter()
     for sents, _ in texts:
         df.update({t for w in sents for t in terms_of(w)})
@@ -132,39 +199,39 @@ def fit(labelled: list[tuple[str, set[str]]], notes: frozenset[str] = frozenset(
                 z = sum(score.values())
                 new.append({s: x / z for s, x in score.items()} if z else {})
             assign[k] = new
-    model = SubjectModel({names[t]: w for t, w in weights.items()}, 0.25, floor, notes)
-    shares = [(model.shares(t), s) for t, s in labelled if t and s]
-    best = (-1.0, 0.0, 0.25)
-    for threshold in (0.20, 0.21, 0.22, 0.23, 0.24, 0.25):
-        got = [({s for s, x in have.items() if x >= threshold}, s) for have, s in shares]
-        hit, all_got, all_true = sum(len(a & b) for a, b in got), sum(len(a) for a, _ in got), sum(len(b) for _, b in got)
-        f1 = 2 * hit / max(1, all_got + all_true)
-        best = max(best, (round(f1, 3), threshold, threshold))
-    model.threshold = best[2]
-    return model
+    return SubjectModel({names[t]: w for t, w in weights.items()}, {}, floor, notes)
 
 
-def labelled_sample(documents: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, areas: list[str], max_labelled: int) -> list[tuple[str, set[str]]]:
-    """Texts and subjects of at most `max_labelled` labelled documents, by hash of the id."""
+def labelled_sample(documents: DataFrame, id_col: str, text: str, source: str | None, labels: DataFrame, label_id: str, label: str, areas: list[str], max_labelled: int) -> list[tuple[str, set[str], str | None]]:
+    """Texts, subjects and sources of at most `max_labelled` labelled documents, by hash of the id."""
     by_name = {a.strip().lower(): a for a in areas}
     clean = labels.select(F.col(label_id).alias("d"), F.lower(F.trim(label)).alias("s")).filter(F.col("s").isin(*by_name))
     chosen = clean.groupBy("d").agg(F.collect_set("s").alias("s")).orderBy(F.xxhash64("d")).limit(max_labelled)
-    rows = documents.select(F.col(id_col).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d").select("t", "s").collect()
-    return [(r[0], {by_name[x] for x in r[1]}) for r in rows]
+    own = F.col(source) if source else F.lit(None).cast("string")
+    rows = documents.select(F.col(id_col).alias("d"), F.col(text).alias("t"), own.alias("o")).join(F.broadcast(chosen), "d").select("t", "s", "o", F.xxhash64("d").alias("h")).collect()
+    return [(r[0], {by_name[x] for x in r[1]}, r[2]) for r in sorted(rows, key=lambda r: r[3])]
 
 
-def assign_subjects(documents: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, areas: DataFrame, area: str, source: str | None = None, max_labelled: int = 4_000, max_areas: int = 1_000, max_sources: int = 10_000) -> DataFrame:
-    """(id_col, subject, share): every subject of every document."""
+def assign_subjects(documents: DataFrame, id_col: str, text: str, labels: DataFrame, label_id: str, label: str, areas: DataFrame, area: str, source: str | None = None, max_labelled: int = 4_000, max_areas: int = 10_000) -> DataFrame:
+    """(id_col, subject, share): every subject of every document. areas: at most `max_areas` (checked)."""
     names = [r[0] for r in bounded_rows(areas.select(area), max_areas, "the table of subject areas") if r[0]]
-    sources = [r[0] for r in bounded_rows(documents.select(source).distinct(), max_sources, "the list of sources")] if source else []
-    model = fit(labelled_sample(documents, id_col, text, labels, label_id, label, names, max_labelled), note_phrases(sources))
+    model = fit(labelled_sample(documents, id_col, text, source, labels, label_id, label, names, max_labelled)) if names else SubjectModel({}, {}, 0.0)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, phrase = shared.value, {}
         for b in batches:
-            rows = [(d, s, x) for d, t in zip(b["d"], b["t"]) if isinstance(t, str) for s, x in sorted(m.shares(t).items()) if x >= m.threshold]
+            rows = []
+            for d, t, o in zip(b["d"], b["t"], b["o"]):
+                if isinstance(t, str):
+                    if o not in phrase:
+                        if len(phrase) > 50_000:
+                            phrase.clear()
+                        phrase[o] = source_phrase(o if isinstance(o, str) else None)
+                    shares = m.shares(t, phrase[o])
+                    rows += [(d, s, shares[s]) for s in m.chosen(shares)]
             yield pd.DataFrame(rows, columns=["d", "s", "x"])
 
-    out = documents.selectExpr(f"`{id_col}` AS d", f"`{text}` AS t").mapInPandas(assign, "d long, s string, x double")
+    own = f"`{source}`" if source else "CAST(NULL AS STRING)"
+    out = documents.selectExpr(f"`{id_col}` AS d", f"`{text}` AS t", f"{own} AS o").mapInPandas(assign, "d long, s string, x double")
     return out.selectExpr(f"d AS `{id_col}`", "s AS subject", "x AS share")

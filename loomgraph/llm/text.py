@@ -96,9 +96,14 @@ def words_of(text: str) -> list[str]:
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+|\s*(?:\r?\n[ \t]*){2,}|(?<=[.!?])(?=[A-ZÀ-Þ¿¡])|\s*[\r\n]+\s*(?=[-*•#>|]\s)")
 
 
+#: The same where a text has no line break, without its end marks: fast, since it starts with a mark.
+_MARK = re.compile(r"[.!?…](?:[\"'”’)\]]*\s+|(?=[A-ZÀ-Þ¿¡]))")
+
+
 def sentences(text: str) -> list[str]:
-    """Sentences by their end marks, blank lines and list items; a single line break inside a sentence is a space."""
-    return [s for s in (p.strip() for p in _SENTENCE_END.split(text) if p) if s]
+    """Sentences by their end marks, blank lines and list items; a single line break inside a sentence is a space. An end mark may be missing."""
+    pattern = _SENTENCE_END if "\n" in text or "\r" in text else _MARK
+    return [s for s in (p.strip() for p in pattern.split(text) if p) if s]
 
 
 def sentence_words(text: str, long: int = 40, piece: int = 12) -> list[list[str]]:
