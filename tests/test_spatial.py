@@ -5,7 +5,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions.geometry import polygon_rings, with_point
-from loomgraph.operators.spatial import great_circle_m, radius_join, regions_containing, unit_vectors
+import pytest
+
+from loomgraph.operators.spatial import Pivots, great_circle_m, radius_join, regions_containing, unit_vectors
 
 
 def test_points(spark):
@@ -17,7 +19,19 @@ def test_points(spark):
     assert got == {i: v for i, v in enumerate(cases.values()) if v}
 
 
-def test_radius_against_brute_force(spark):
+def test_grouped_pivots():
+    rng = np.random.default_rng(2)
+    around = lambda n: unit_vectors(rng.uniform(-180, 180, n), np.degrees(np.arcsin(rng.uniform(-1, 1, n))))
+    pivots, u = Pivots(around(1500)), around(300)
+    d = great_circle_m(u[:, None, :], pivots.v[None, :, :])
+    at, best = pivots.nearest(u)
+    assert len(pivots.groups) > 30 and np.allclose(best, d.min(axis=1)) and (d[np.arange(300), at] == best).all()
+    bound = best + rng.uniform(0, 1e6, 300)
+    assert set(zip(*pivots.within(u, bound))) == set(zip(*np.nonzero(d <= bound[:, None])))
+
+
+@pytest.mark.parametrize("n_pivots", [20, 1100, None])
+def test_radius_against_brute_force(spark, n_pivots):
     rnd = random.Random(3)
     spots = [(179.99, 10.0), (0.0, 89.99), (-70.0, -30.0)]
     points = []
@@ -29,7 +43,7 @@ def test_radius_against_brute_force(spark):
     points += [(900, None, 1.0), (901, 181.0, 0.0)]
     p = spark.createDataFrame(points, "point_id int, lon double, lat double")
     c = spark.createDataFrame(centres, "centre_id int, lon double, lat double, radius_m double")
-    got = [tuple(r) for r in radius_join(p, c, n_pivots=20, part_rows=100, block_centres=30).collect()]
+    got = [tuple(r) for r in radius_join(p, c, n_pivots=n_pivots, part_rows=100, block_centres=30).collect()]
     good = [x for x in points if x[1] is not None and abs(x[1]) <= 180]
     u = unit_vectors(np.array([x[1] for x in good]), np.array([x[2] for x in good]))
     expected = set()
