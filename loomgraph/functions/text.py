@@ -62,9 +62,19 @@ def normal_url(c: Column) -> Column:
     return F.regexp_replace(F.concat(F.lower(front), full.substr(F.length(front) + 1, F.length(full))), "/+$", "")
 
 
-def urls_in(c: Column) -> Column:
-    """Distinct http(s) addresses in a text, without the punctuation that follows them."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(https?://[^\s<>\"')\]]+)"), F.lit(1)), lambda u: F.regexp_replace(u, "[.,;:!?]+$", "")))
+#: Last labels of a host that make a bare word with dots one.
+TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "mil", "int", "io", "co", "us", "ca", "uk", "au", "nz", "ie", "de", "fr", "es", "it", "nl", "eu", "in", "cn", "jp", "br", "mx", "za", "info", "biz", "app", "dev", "ai", "tech", "xyz", "online", "site")
+
+
+def urls_in(c: Column, bare: bool = False) -> Column:
+    """Distinct http(s) addresses in a text, without the punctuation that follows them; with `bare`, hosts without a scheme, too, if they end in a well-known domain and are no part of a mail address."""
+    clean = lambda u: F.regexp_replace(u, "[.,;:!?]+$", "")
+    full = F.transform(F.regexp_extract_all(c, F.lit(r"(https?://[^\s<>\"')\]]+)"), F.lit(1)), clean)
+    if not bare:
+        return F.array_distinct(full)
+    rest = F.regexp_replace(c, r"https?://[^\s<>\"')\]]+|\S*@\S*", " ")
+    host = r"(?i)(?<![\w.-])((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:" + "|".join(TOP_DOMAINS) + r")(?:/[^\s<>\"')\]]*)?)(?![\w-])"
+    return F.array_distinct(F.concat(full, F.transform(F.regexp_extract_all(rest, F.lit(host), F.lit(1)), lambda u: F.concat(F.lit("https://"), clean(F.lower(u))))))
 
 
 def local_name(c: Column) -> Column:
@@ -90,11 +100,11 @@ def lexical_score(query: list[str], text: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays; 0 for different lengths and zero vectors."""
+    """Cosine of two arrays; 0 for different lengths, zero vectors and vectors that hold null or NaN."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     n = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (n > 0), dot / n).otherwise(0.0)
+    return F.coalesce(F.when((F.size(a) == F.size(b)) & (n > 0), F.nanvl(dot / n, F.lit(0.0))), F.lit(0.0))
 
 
 def break_points(text: str, limit: int, least: int) -> list[str]:

@@ -7,7 +7,9 @@ geo `POINT(lon lat)` with digits kept, uri and string as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..runtime import computed
 
 #: Marks of absence.
 ABSENT = ("", "-", "--", "---", "?", "null", "none", "nil", "nan", "n/a", "na", "unknown", "tbd", "not available", "not applicable", "undefined")
@@ -95,3 +97,48 @@ def canonical(v: Column, kind: Column) -> Column:
         .when(kind == "uri", uri_text(v))
         .otherwise(v)
     )
+
+
+#: Boolean words of declared datatypes.
+DECLARED_TRUE, DECLARED_FALSE = ("true", "1", "yes", "on"), ("false", "0", "no", "off")
+
+
+def coerced(v: Column, kind: Column) -> Column:
+    """A raw value as text of its declared datatype, null where it can't be: integers are cut off at the point, floats as doubles, boolean words, http addresses; other kinds stay as they are."""
+    t = trimmed(v)
+    number = F.when(t.rlike(r"^[-+]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][-+]?[0-9]+)?$"), t.try_cast("double"))
+    word = F.lower(t)
+    return (
+        F.when(kind == "integer", F.when(F.abs(number) < 9e18, number.cast("long").cast("string")))
+        .when(kind == "float", number.cast("string"))
+        .when(kind == "boolean", F.when(word.isin(*DECLARED_TRUE), "true").when(word.isin(*DECLARED_FALSE), "false"))
+        .when(kind == "datetime", F.date_format(datetime_value(t), "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(kind == "geo", geo_text(t))
+        .when(kind == "uri", F.when(v.rlike("^https?://"), v))
+        .otherwise(v)
+    )
+
+
+def conforms(v: Column, kind: Column) -> Column:
+    """Whether a raw value is of its declared datatype as it stands."""
+    t = trimmed(v)
+    return (
+        F.when(kind == "integer", t.rlike(r"^-?[0-9]+$"))
+        .when(kind == "float", t.rlike(r"^-?[0-9]+(\.[0-9]+)?$"))
+        .when(kind == "boolean", F.lower(t).isin("true", "false"))
+        .when(kind == "datetime", datetime_value(t).isNotNull())
+        .when(kind == "geo", geo_text(t).isNotNull() & t.rlike(r"(?i)^POINT"))
+        .when(kind == "uri", v.rlike("^https?://"))
+        .otherwise(F.lit(True))
+    )
+
+
+def cleaned(df: DataFrame, keep: list, value: Column, kind: Column) -> DataFrame:
+    """`keep`, outcome (passed, transformed, dropped), value and reason of each raw value by its declared datatype. Blank values are dropped."""
+    raw = computed(df, keep, _v=value, _k=kind)
+    kept = [c for c in raw.columns if c not in ("_v", "_k")]
+    read = computed(raw, [*kept, "_v", "_k"], _new=coerced(F.col("_v"), F.col("_k")), _fits=F.coalesce(conforms(F.col("_v"), F.col("_k")), F.lit(False)) & ~F.col("_k").isin("geo", "datetime"), _blank=F.col("_v").isNull() | (trimmed(F.col("_v")) == ""))
+    outcome = F.when(F.col("_blank"), "dropped").when(F.col("_fits"), "passed").when(F.col("_new").isNull(), "dropped").when(F.col("_new") == F.col("_v"), "passed").otherwise("transformed")
+    out = computed(read, [*kept, "_v", "_k", "_new", "_blank"], outcome=outcome)
+    reason = F.when(F.col("_blank"), "no value").when(F.col("outcome") == "passed", "conforms").when(F.col("outcome") == "dropped", F.concat(F.lit("not "), "_k")).otherwise(F.concat(F.lit("coerced to "), "_k"))
+    return out.select(*kept, "outcome", F.when(F.col("outcome") == "passed", F.col("_v")).when(F.col("outcome") == "transformed", F.col("_new")).alias("value"), reason.alias("reason"))

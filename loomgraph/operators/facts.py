@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rank of each authority (less is stronger) and the confidence it has where none is given.
-AUTHORITY = {"user": (0, 0.99), "source_of_truth": (1, 0.95), "curated": (2, 0.8), "extracted": (3, 0.6), "inferred": (4, 0.5)}
+AUTHORITY = {"user_assertion": (0, 0.99), "source_of_truth": (1, 0.95), "machine_reverification": (2, 0.9), "authoritative": (3, 0.85), "supplementary": (4, 0.6)}
 UNKNOWN = (9, 0.5)
 
 
@@ -62,6 +62,25 @@ def rename_subjects(quads: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select("g", F.coalesce("_ns", "s").alias("s"), "p", F.coalesce("_no", "o").alias("o"), "kind", "dtype").distinct()
 
 
+def merge_entities(quads: DataFrame, loser: str, winner: str, merge_id: str) -> tuple[DataFrame, DataFrame]:
+    """(merged, lineage): the loser's facts and edges move to the winner; lineage (merge_id, g, s, p, o, kind, dtype, ns, no) keeps each moved fact and where it went."""
+    moved = quads.filter((F.col("s") == loser) | ((F.col("o") == loser) & (F.col("kind") == "iri")))
+    end = lambda c: F.when(F.col(c) == loser, F.lit(winner)).otherwise(F.col(c))
+    lineage = moved.distinct().select(F.lit(merge_id).alias("merge_id"), "g", "s", "p", "o", "kind", "dtype", end("s").alias("ns"), F.when(F.col("kind") == "iri", end("o")).otherwise(F.col("o")).alias("no"))
+    # what the winner already said is marked, so that a split does not take it away
+    own = quads.select("g", F.col("s").alias("ns"), "p", F.col("o").alias("no"), F.lit(True).alias("kept")).distinct()
+    lineage = lineage.join(own, ["g", "ns", "p", "no"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    stay = quads.join(moved.select("g", "s", "p", "o", "kind").distinct(), ["g", "s", "p", "o", "kind"], "left_anti").select("g", "s", "p", "o", "kind", "dtype")
+    return stay.unionByName(lineage.select("g", F.col("ns").alias("s"), "p", F.col("no").alias("o"), "kind", "dtype")).distinct(), lineage
+
+
+def split_entity(quads: DataFrame, lineage: DataFrame, merge_id: str) -> DataFrame:
+    """The facts with one merge undone: what it moved is put back, facts that the winner had before, or got since, stay."""
+    own = lineage.filter(F.col("merge_id") == merge_id)
+    gone = own.filter("NOT kept").select("g", F.col("ns").alias("s"), "p", F.col("no").alias("o"), "kind").distinct()
+    return quads.join(gone, ["g", "s", "p", "o", "kind"], "left_anti").select("g", "s", "p", "o", "kind", "dtype").unionByName(own.select("g", "s", "p", "o", "kind", "dtype")).distinct()
+
+
 def rename_predicates(quads: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Aliases of predicates, chains followed to their end."""
     def end(p: str) -> str:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..model import LABEL, TYPE
+from ..model import LABEL, TYPE, VirtualGraph
 
 _DATE = r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$|^\d{1,2}/\d{1,2}/\d{2,4}$"
 _CODE = r"^[A-Za-z0-9][A-Za-z0-9._/-]*$"
@@ -89,6 +90,19 @@ def graph_statistics(quads: DataFrame) -> DataFrame:
     return per.join(totals, "type").select("type", "p", "entities", "facts", "edges", F.round(F.col("entities") / F.col("of") * 100, 1).alias("coverage"))
 
 
+def table_statistics(graph: VirtualGraph) -> DataFrame:
+    """graph_statistics of a virtual graph whose sources have one row an entity and a type each: one aggregation a table, without any join."""
+    parts = []
+    for source, branches in zip(graph.sources, graph.branches):
+        own = [b for b in branches if b.p not in (TYPE, LABEL)]
+        if not source.unique or not own:
+            continue
+        counts = source.df.agg(F.count("*").alias("_of"), *[(F.count("*") if b.where is None else F.count_if(b.where)).alias(f"_{i}") for i, b in enumerate(own)])
+        rows = F.array(*[F.struct(F.lit(f"types/{min([source.map.type_name, *source.map.types])}").alias("type"), F.lit(b.p).alias("p"), F.col(f"_{i}").alias("entities"), F.col(f"_{i}").alias("facts"), (F.col(f"_{i}") if b.kind == "iri" else F.lit(0).cast("long")).alias("edges"), F.round(F.col(f"_{i}") / F.col("_of") * 100, 1).alias("coverage")) for i, b in enumerate(own)])
+        parts.append(counts.select(F.inline(rows)).filter("facts > 0"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def type_edges(quads: DataFrame, min_support: int = 1) -> DataFrame:
     """(source, p, target, n): edges between types."""
     t = primary_types(quads)
@@ -105,10 +119,11 @@ def drift_split(stats: DataFrame, core: list[str], min_coverage: float = 20.0, m
 
 def enum_values(quads: DataFrame, max_values: int = 25) -> DataFrame:
     """Literal predicates with their count of distinct values, and the values where there are few."""
-    v = quads.filter("kind = 'literal'").groupBy("p", "o").agg(F.count("*").alias("n"))
-    # only predicates with few values are listed, so no list is longer than that
-    ranked = v.select("p", "o", F.row_number().over(Window.partitionBy("p").orderBy("o")).alias("i"))
-    return ranked.groupBy("p").agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("i") <= max_values + 1, F.col("o")))), "|").alias("v")).select("p", "n_values", F.when(F.col("n_values") <= max_values, F.col("v")).alias("listed"))
+    v = quads.filter("kind = 'literal'").select("p", "o").distinct()
+    counts = v.groupBy("p").agg(F.count("*").alias("n_values"))
+    # values are gathered only of predicates that are known to have few
+    few = v.join(counts.filter(F.col("n_values") <= max_values).select("p"), "p", "left_semi").groupBy("p").agg(F.array_join(F.array_sort(F.collect_list("o")), "|").alias("listed"))
+    return counts.join(few, "p", "left").select("p", "n_values", "listed")
 
 
 def content_hash(df: DataFrame, keys: list[str], value: str) -> DataFrame:

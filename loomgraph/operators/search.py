@@ -49,4 +49,4 @@ def best_per_group(df: DataFrame, group: list[str], order: list) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """k rows that depend on the key and seed only, not on partitions or order."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(k)

@@ -32,7 +32,7 @@ def json_records(spark: SparkSession, root: str) -> DataFrame:
 def byte_batches(spark: SparkSession, root: str) -> DataFrame:
     d = table(spark, root, "documents").filter("text IS NOT NULL").select("source", "doc_id", "text")
     b = files.byte_batches(d, ["source"], ["doc_id"], F.col("text"), 20_000)
-    return b.groupBy("source", "batch").agg(F.count("*").alias("n_docs"))
+    return b.groupBy("source", "batch").agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text")).alias("n_bytes"))
 
 
 def html_reduction(spark: SparkSession, root: str) -> DataFrame:
@@ -118,9 +118,9 @@ def scoped_fetch(spark: SparkSession, root: str) -> DataFrame:
 
 
 def sampled_rows(spark: SparkSession, root: str) -> DataFrame:
-    """A sample that repeats, and how many there are in all."""
+    """A sample that repeats, and how many rows there are in all."""
     c = table(spark, root, "customer")
-    return search.hash_sample(c, "c_custkey", 20, 3).agg(F.count("*").alias("sampled")).crossJoin(c.agg(F.count("*").alias("total")))
+    return search.hash_sample(c, "c_custkey", 20, 3).select("c_custkey").crossJoin(c.agg(F.count("*").alias("total")))
 
 
 def pooled_values(spark: SparkSession, root: str) -> DataFrame:
@@ -166,14 +166,16 @@ _COUNTED = lambda c: f"m_{c} AS (SELECT nct_id, trim({c}) AS {c} FROM clinical_t
 ORACLE = {
     "csv_ingest": "SELECT 'rdf:type' AS p, count(*) AS n, 1 AS objects FROM nation UNION ALL SELECT 'rdfs:label', count(*), count(DISTINCT n_name) FROM nation UNION ALL SELECT 'attrs/name', count(*), count(DISTINCT n_name) FROM nation UNION ALL SELECT 'onto/region', count(*), count(DISTINCT n_regionkey) FROM nation",
     "json_records": "SELECT n_nationkey AS id, n_name AS name FROM nation",
-    "byte_batches": "WITH r AS (SELECT source, (sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20000 AS batch FROM documents WHERE text IS NOT NULL) SELECT source, CAST(batch AS INTEGER) AS batch, count(*) AS n_docs FROM r GROUP BY 1, 2",
+    "byte_batches": """WITH RECURSIVE d AS (SELECT coalesce(source, '') AS source, strlen(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT source, i, n AS held, 0 AS batch, n FROM d WHERE i = 1 UNION ALL SELECT d.source, d.i, CASE WHEN b.held + d.n > 20000 THEN d.n ELSE b.held + d.n END, b.batch + CASE WHEN b.held + d.n > 20000 THEN 1 ELSE 0 END, d.n FROM b JOIN d ON d.source = b.source AND d.i = b.i + 1)
+        SELECT nullif(source, '') AS source, batch, count(*) AS n_docs, sum(n) AS n_bytes FROM b GROUP BY 1, 2""",
     "html_reduction": "SELECT doc_id, 'T ' || doc_id AS title, 'id | ' || doc_id || chr(10) || rtrim('lang: ' || coalesce(lang, '')) AS text FROM documents WHERE text IS NOT NULL",
     "stream_usage": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS requests FROM events GROUP BY 1, 2",
     "registered_function": "SELECT upper(n_name[1]) AS i, count(*) AS n FROM nation GROUP BY 1",
     "label_hydration": "SELECT DISTINCT 'entities/Customer/' || o_custkey AS o, CASE WHEN suffix(c_name, '7') THEN c_name ELSE CAST(o_custkey AS VARCHAR) END AS label FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
     "undirected_edges": "SELECT DISTINCT least(o_custkey % 50, o_orderkey % 50) AS a, greatest(o_custkey % 50, o_orderkey % 50) AS b FROM orders WHERE o_custkey % 50 <> o_orderkey % 50",
     "layer_shadowing": "SELECT name, CASE WHEN datatype = 'integer' THEN 'float' ELSE datatype END AS datatype, CASE WHEN datatype = 'integer' THEN 0 ELSE 1 END AS layer FROM attribute_declarations",
-    "inherited_settings": "SELECT unnest([{'class': 'Thing', 'tag': 'open'}, {'class': 'Party', 'tag': 'pii'}, {'class': 'Customer', 'tag': 'pii'}, {'class': 'Supplier', 'tag': 'secret'}, {'class': 'Place', 'tag': 'open'}, {'class': 'Nation', 'tag': 'open'}, {'class': 'Region', 'tag': 'open'}, {'class': 'Order', 'tag': 'open'}], recursive := true)",
+    "inherited_settings": "WITH RECURSIVE t AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {repr(p) if p else 'NULL'} AS p" for c, p in CLASS_TREE) + "), s AS (SELECT unnest(['Thing', 'Party', 'Supplier']) AS c, unnest(['open', 'pii', 'secret']) AS tag), up AS (SELECT c, c AS a, 0 AS d FROM t UNION ALL SELECT up.c, t.p, d + 1 FROM up JOIN t ON up.a = t.c WHERE t.p IS NOT NULL) SELECT up.c AS class, arg_min(tag, d) AS tag FROM up JOIN s ON s.c = up.a GROUP BY 1",
     "consolidated_rows": f"WITH {_COUNTED('condition')}, {_COUNTED('phase')}, {_COUNTED('status')} SELECT k.nct_id, m_condition.condition, m_phase.phase, m_status.status FROM (SELECT DISTINCT nct_id FROM clinical_trials) k LEFT JOIN m_condition ON k.nct_id = m_condition.nct_id LEFT JOIN m_phase ON k.nct_id = m_phase.nct_id LEFT JOIN m_status ON k.nct_id = m_status.nct_id",
     "deduplicated_rows": "SELECT record_id FROM healthcare_providers QUALIFY full_name IS NULL OR trim(full_name) = '' OR row_number() OVER (PARTITION BY lower(trim(full_name)), coalesce(lower(trim(city)), phone, '') ORDER BY record_id) = 1",
     "redacted": "SELECT record_id, full_name, CASE WHEN phone IS NOT NULL THEN '***' END AS phone FROM healthcare_providers",
@@ -181,7 +183,7 @@ ORACLE = {
     "accuracy_interval": "WITH g AS (SELECT tier, count(*) FILTER (tier = tier_llm_label) AS h, count(*) AS n FROM gold_questions WHERE tier IS NOT NULL GROUP BY 1), p AS (SELECT *, h / n AS p FROM g) SELECT tier, n, round((p + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS low, round((p + 1.96 * 1.96 / (2 * n) + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n), 6) AS high FROM p",
     "numeric_judge": "SELECT c_custkey FROM customer WHERE CASE WHEN c_acctbal = 0 THEN round(c_acctbal, -2) = 0 ELSE abs(round(c_acctbal, -2) - c_acctbal) <= 0.02 * abs(c_acctbal) END",
     "scoped_fetch": "SELECT 'entities/Nation/1' AS s, unnest(['rdf:type', 'rdfs:label', 'onto/region']) AS p, unnest(['types/Nation', n_name, 'entities/Region/' || n_regionkey]) AS o FROM nation WHERE n_nationkey = 1 UNION ALL SELECT 'entities/Supplier/3', unnest(['rdf:type', 'rdfs:label', 'attrs/acctbal', 'onto/nation']), unnest(['types/Supplier', s_name, CAST(s_acctbal AS VARCHAR), 'entities/Nation/' || s_nationkey]) FROM supplier WHERE s_suppkey = 3",
-    "sampled_rows": "SELECT 20 AS sampled, count(*) AS total FROM customer",
+    "sampled_rows": "SELECT c_custkey, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY md5(c_custkey || '|3'), c_custkey LIMIT 20",
     "pooled_values": "WITH v AS (SELECT DISTINCT p_name FROM part) SELECT p_name FROM (SELECT p_name FROM v ORDER BY p_name LIMIT 20) UNION SELECT p_name FROM (SELECT p_name FROM v ORDER BY p_name DESC LIMIT 20) UNION SELECT p_name FROM (SELECT p_name FROM v ORDER BY p_name LIMIT 20 OFFSET 50)",
     "density_rank": "SELECT trial_row, (title IS NOT NULL)::INT + (condition IS NOT NULL)::INT + (sponsor IS NOT NULL)::INT + (phase IS NOT NULL)::INT + (status IS NOT NULL)::INT + (enrollment IS NOT NULL)::INT + (start_year IS NOT NULL)::INT AS filled FROM clinical_trials ORDER BY filled DESC, trial_row LIMIT 25",
     "bounded_scope": "WITH c AS (SELECT *, 'entities/Customer/' || c_custkey AS s FROM customer ORDER BY 'entities/Customer/' || c_custkey LIMIT 10) SELECT s, unnest(['rdf:type', 'rdfs:label', 'attrs/acctbal', 'attrs/segment', 'onto/nation']) AS p, unnest(['types/Customer', c_name, CAST(c_acctbal AS VARCHAR), c_mktsegment, 'entities/Nation/' || c_nationkey]) AS o FROM c",

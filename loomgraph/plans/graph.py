@@ -60,16 +60,16 @@ SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
         {"b": "double"}, f"SELECT {_E('Customer', 'c_custkey')} AS x, c_acctbal AS b FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT {_E('Supplier', 's_suppkey')}, s_acctbal FROM supplier WHERE s_acctbal < 0",
     ),
     "bgp_minus": (
-        "SELECT ?c WHERE { ?c a <types/Customer> MINUS { ?o <onto/customer> ?c } }",
-        {}, f"SELECT {_E('Customer', 'c_custkey')} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        'SELECT ?c WHERE { ?c a <types/Customer> MINUS { ?o <onto/customer> ?c ; <attrs/status> "P" } }',
+        {}, f"SELECT {_E('Customer', 'c_custkey')} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     ),
     "bgp_exists": (
         "SELECT ?c WHERE { ?c a <types/Customer> FILTER EXISTS { ?o <onto/customer> ?c ; <attrs/total> ?t FILTER(?t > 400000) } }",
         {}, f"SELECT {_E('Customer', 'c_custkey')} AS c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
     ),
     "bgp_not_exists": (
-        "SELECT ?n WHERE { ?n a <types/Nation> FILTER NOT EXISTS { ?s <onto/nation> ?n ; a <types/Supplier> } }",
-        {}, f"SELECT {_E('Nation', 'n_nationkey')} AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)",
+        "SELECT ?n WHERE { ?n a <types/Nation> FILTER NOT EXISTS { ?s <onto/nation> ?n ; a <types/Supplier> ; <attrs/acctbal> ?b FILTER(?b > 7000) } }",
+        {}, f"SELECT {_E('Nation', 'n_nationkey')} AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 7000)",
     ),
     "bgp_values": (
         'SELECT ?c ?s WHERE { ?c <attrs/segment> ?s . ?c <onto/nation> ?n VALUES (?s ?n) { ("BUILDING" <entities/Nation/1>) ("MACHINERY" <entities/Nation/2>) } }',
@@ -171,6 +171,13 @@ SPARQL: dict[str, tuple[str, dict[str, str], str]] = {
     ),
     "ask": ('ASK { ?x a <types/Region> ; rdfs:label "ASIA" }', {}, "SELECT count(*) > 0 AS answer FROM region WHERE r_name = 'ASIA'"),
     "from_graph": ("SELECT (COUNT(?x) AS ?n) FROM <kg> WHERE { ?x a <types/Order> }", {}, "SELECT count(*) AS n FROM orders"),
+    "graph_variable": (
+        "SELECT ?g (COUNT(?x) AS ?n) WHERE { GRAPH ?g { ?x a ?t ; rdfs:label ?l } } GROUP BY ?g", {}, "SELECT 'kg' AS g, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n",
+    ),
+    "unbound_join": (
+        'SELECT ?n ?s ?c WHERE { ?n a <types/Nation> OPTIONAL { ?s <onto/nation> ?n ; <attrs/acctbal> ?b FILTER(?b > 8000) } { ?s rdfs:label ?c } }',
+        {}, f"WITH l AS (SELECT {_E('Nation', 'n_nationkey')} AS n, {_E('Supplier', 's_suppkey')} AS s FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 8000) ON s_nationkey = n_nationkey UNION ALL SELECT {_E('Nation', 'c_nationkey')}, {_E('Customer', 'c_custkey')} FROM customer WHERE c_acctbal > 8000), m AS (SELECT * FROM l WHERE s IS NOT NULL OR n NOT IN (SELECT {_E('Nation', 'c_nationkey')} FROM customer WHERE c_acctbal > 8000)), r AS (SELECT {_E('Customer', 'c_custkey')} AS x, c_name AS c FROM customer UNION ALL SELECT {_E('Supplier', 's_suppkey')}, s_name FROM supplier UNION ALL SELECT {_E('Nation', 'n_nationkey')}, n_name FROM nation UNION ALL SELECT {_E('Region', 'r_regionkey')}, r_name FROM region) SELECT n, x AS s, c FROM m JOIN r ON s = x OR s IS NULL",
+    ),
     "graph_pattern": ("SELECT ?l WHERE { GRAPH <kg> { ?x a <types/Region> ; rdfs:label ?l } }", {}, "SELECT r_name AS l FROM region"),
 }
 
@@ -215,7 +222,7 @@ QUERIES = {n: _sparql(n) for n in SPARQL} | {f.__name__: f for f in (path_subcla
 ORACLE = {n: sql for n, (_, _, sql) in SPARQL.items()} | {
     "path_subclass_star": "SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n",
     "path_subclass_plus": f"WITH RECURSIVE tree AS ({_TREE}), up AS (SELECT c, p AS a FROM tree WHERE p IS NOT NULL UNION SELECT up.c, tree.p FROM up JOIN tree ON up.a = tree.c WHERE tree.p IS NOT NULL) SELECT 'types/' || c AS c, 'types/' || a AS a FROM up",
-    "path_zero_or_more": "SELECT unnest(['types/Party', 'types/Customer', 'types/Supplier']) AS c",
+    "path_zero_or_more": f"WITH RECURSIVE tree AS ({_TREE}), down AS (SELECT 'Party' AS c UNION SELECT tree.c FROM down JOIN tree ON tree.p = down.c) SELECT 'types/' || c AS c FROM down",
     "same_as_closure": """WITH RECURSIVE links AS (
         SELECT a.c_custkey AS a, b.c_custkey AS b FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND b.c_custkey > a.c_custkey AND b.c_custkey <= a.c_custkey + 40),
         pairs AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT a, a FROM links UNION SELECT b, b FROM links),

@@ -40,8 +40,8 @@ def recorded_changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def conflict_winner(spark: SparkSession, root: str) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in ("user", "source_of_truth", "curated", "extracted", "guess")])
-    e = table(spark, root, "events").select("user_id", "event_type", F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("authority"), F.lit(None).cast("double").alias("confidence"), "ts")
+    names = F.array(*[F.lit(x) for x in ("user_assertion", "source_of_truth", "machine_reverification", "authoritative", "supplementary", "rumour")])
+    e = table(spark, root, "events").select("user_id", "event_type", F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("authority"), F.lit(None).cast("double").alias("confidence"), "ts")
     return facts.resolve_conflicts(e, ["user_id"], "event_type", "authority", "confidence", "ts")
 
 
@@ -122,7 +122,7 @@ ORACLE = {
     "value_changes": f"SELECT * FROM ({_CHANGES}) WHERE old IS NOT NULL AND old <> new",
     "value_history_since": f"SELECT * FROM ({_CHANGES}) WHERE old IS NOT NULL AND old <> new AND changed_at > TIMESTAMP '2024-01-20' ORDER BY changed_at, user_id, old, new LIMIT 100",
     "recorded_changes": "SELECT c_custkey, c_mktsegment AS old, 'OTHER' AS new FROM customer WHERE c_custkey % 14 = 0",
-    "conflict_winner": """WITH c AS (SELECT user_id, event_type, ts, event_id % 5 AS a, CASE event_id % 5 WHEN 0 THEN 0.99 WHEN 1 THEN 0.95 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 ELSE 0.5 END AS conf, CASE event_id % 5 WHEN 4 THEN 9 ELSE event_id % 5 END AS r FROM events),
+    "conflict_winner": """WITH c AS (SELECT user_id, event_type, ts, event_id % 6 AS a, CASE event_id % 6 WHEN 0 THEN 0.99 WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 WHEN 3 THEN 0.85 WHEN 4 THEN 0.6 ELSE 0.5 END AS conf, CASE event_id % 6 WHEN 5 THEN 9 ELSE event_id % 6 END AS r FROM events),
         x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY r, conf DESC, ts DESC, event_type DESC) AS n, count(*) OVER (PARTITION BY user_id) AS k FROM c)
         SELECT x.user_id, event_type AS winner, r AS authority_rank, conf AS confidence, (SELECT count(DISTINCT event_type) > 1 FROM c WHERE c.user_id = x.user_id) AS contested FROM x WHERE n = 1""",
     "scd_intervals": "WITH s AS (SELECT *, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM s WHERE b IS NULL OR b <> event_type",

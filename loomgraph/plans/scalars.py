@@ -11,6 +11,10 @@ from ..runtime import table
 _PHONE = "regexp_replace(phone, '[^0-9]', '', 'g')"
 
 
+#: Full forms of some first names; a table of them is a parameter of the function.
+NICKNAMES = {"bob": "robert", "bill": "william", "liz": "elizabeth", "kate": "katherine", "mike": "michael", "vicky": "victoria"}
+
+
 def slug(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "customer").select("c_custkey", safe_id(F.col("c_name")).alias("slug"))
 
@@ -20,7 +24,7 @@ def snake_pascal(spark: SparkSession, root: str) -> DataFrame:
 
 
 def name_normal_form(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "healthcare_providers").select("record_id", names.name_key(F.col("full_name")).alias("name_key"))
+    return table(spark, root, "healthcare_providers").select("record_id", names.name_key(F.col("full_name"), NICKNAMES).alias("name_key"))
 
 
 def email_normal_form(spark: SparkSession, root: str) -> DataFrame:
@@ -50,19 +54,16 @@ def sound_codes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def coercion(spark: SparkSession, root: str) -> DataFrame:
-    """Typed reading of the facts' raw values by their declared datatype."""
-    f = table(spark, root, "coffee_shops_facts").filter(F.col("attribute").isin("rating", "outdoor_seating"))
-    v = typed_text.trimmed(F.col("raw_value"))
-    return f.select("fact_id", typed_text.float_text(v).try_cast("double").alias("as_float"), typed_text.boolean_text(v).alias("as_boolean"))
+    """The facts' raw values as their declared datatype, and as other ones."""
+    f = table(spark, root, "coffee_shops_facts").select("fact_id", "raw_value", F.explode(F.array(F.col("datatype"), F.lit("integer"))).alias("datatype"))
+    text = typed_text.coerced(F.col("raw_value"), F.col("datatype"))
+    number = F.col("datatype").isin("integer", "float")
+    return f.select("fact_id", "datatype", F.when(number, text.try_cast("double")).alias("as_number"), F.when(~number, text).alias("as_text"))
 
 
 def clean_outcome(spark: SparkSession, root: str) -> DataFrame:
-    """Each checked value as passed, transformed or dropped."""
-    f = table(spark, root, "coffee_shops_facts").filter("attribute = 'rating'")
-    v = typed_text.trimmed(F.col("raw_value"))
-    number = typed_text.float_text(v)
-    passed = F.col("raw_value").rlike(r"^-?\d+(\.\d+)?$")
-    return f.select("fact_id", F.when(F.coalesce(passed, F.lit(False)), "passed").when(number.isNotNull(), "transformed").otherwise("dropped").alias("result"))
+    """Each checked value as passed, transformed or dropped, by its declared datatype."""
+    return typed_text.cleaned(table(spark, root, "coffee_shops_facts"), ["fact_id"], F.col("raw_value"), F.col("datatype")).select("fact_id", "outcome", "reason")
 
 
 def list_split(spark: SparkSession, root: str) -> DataFrame:
@@ -137,8 +138,8 @@ ORACLE = {
     "slug": "SELECT c_custkey, substr(regexp_replace(trim(c_name), '[^a-zA-Z0-9_-]', '_', 'g'), 1, 200) AS slug FROM customer",
     "snake_pascal": """SELECT p_partkey, lower(trim(regexp_replace(trim(p_name), '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS snake,
         list_aggregate(list_transform(string_split(lower(trim(regexp_replace(trim(p_type), '[^a-zA-Z0-9]+', '_', 'g'), '_')), '_'), lambda p: upper(p[1]) || p[2:]), 'string_agg', '') AS pascal FROM part""",
-    "name_normal_form": r"""SELECT record_id, nullif(array_to_string(list_sort(list_filter(string_split(trim(regexp_replace(regexp_replace(strip_accents(replace(lower(full_name), 'ø', '#')), '[^a-z\s''\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
-        lambda w: w <> '' AND w NOT IN ('mr','mrs','ms','miss','dr','sir','dame','jr','sr','ii','iii','iv','phd','md'))), ' '), '') AS name_key FROM healthcare_providers""",
+    "name_normal_form": r"""SELECT record_id, nullif(array_to_string(list_sort(list_transform(list_filter(string_split(trim(regexp_replace(regexp_replace(strip_accents(replace(lower(full_name), 'ø', '#')), '[^a-z\s''\-]', ' ', 'g'), '\s+', ' ', 'g')), ' '),
+        lambda w: w <> '' AND w NOT IN ('mr','mrs','ms','miss','dr','sir','dame','jr','sr','ii','iii','iv','phd','md')), lambda w, i: CASE WHEN i = 1 THEN coalesce(MAP {""" + ", ".join(f"'{k}': '{v}'" for k, v in NICKNAMES.items()) + r"""}[w], w) ELSE w END)), ' '), '') AS name_key FROM healthcare_providers""",
     "email_normal_form": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'user' || c_custkey || '@gmail.com' ELSE 'user.' || c_custkey || '@corp.example' END AS email FROM customer",
     "phone_normal_form": f"SELECT record_id, CASE WHEN {_PHONE} = '' THEN NULL WHEN NOT starts_with(ltrim(phone), '+') AND length({_PHONE}) = 10 THEN '+1' || {_PHONE} ELSE '+' || {_PHONE} END AS phone_e164 FROM healthcare_providers",
     "address_normal_form": "SELECT c_custkey, c_custkey || ' n main st suite ' || c_nationkey AS address FROM customer".replace("suite ' || c_nationkey", "ste ' || c_nationkey"),
@@ -146,8 +147,11 @@ ORACLE = {
     "sound_codes": """WITH t AS (SELECT term_id, regexp_replace(lower(term), '[^a-z]', '', 'g') AS w FROM known_terms),
         d AS (SELECT term_id, w, regexp_replace(translate(substr(w, 2), 'bfpvcgjkqsxzdtlmnr', '111122222222334556'), '[^1-6]', '', 'g') AS c FROM t)
         SELECT term_id, substr(upper(w[1]) || regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '1+', '1', 'g'), '2+', '2', 'g'), '3+', '3', 'g'), '4+', '4', 'g'), '5+', '5', 'g'), '6+', '6', 'g') || '000', 1, 4) AS code FROM d""",
-    "coercion": f"SELECT fact_id, TRY_CAST({_FLOAT} AS DOUBLE) AS as_float, CASE WHEN lower({_TRIM}) IN ('true','1','yes','on','t','y') THEN 'true' WHEN lower({_TRIM}) IN ('false','0','no','off','f','n') THEN 'false' END AS as_boolean FROM coffee_shops_facts WHERE attribute IN ('rating', 'outdoor_seating')",
-    "clean_outcome": f"SELECT fact_id, CASE WHEN coalesce(regexp_matches(raw_value, '^-?[0-9]+(\\.[0-9]+)?$'), false) THEN 'passed' WHEN TRY_CAST({_FLOAT} AS DOUBLE) IS NOT NULL THEN 'transformed' ELSE 'dropped' END AS result FROM coffee_shops_facts WHERE attribute = 'rating'",
+    "coercion": f"""WITH f AS (SELECT fact_id, raw_value, unnest([datatype, 'integer']) AS datatype FROM coffee_shops_facts), x AS (SELECT *, CASE WHEN regexp_matches({_TRIM}, '^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][-+]?[0-9]+)?$') THEN TRY_CAST({_TRIM} AS DOUBLE) END AS n FROM f)
+        SELECT fact_id, datatype, CASE datatype WHEN 'integer' THEN trunc(n) WHEN 'float' THEN n END AS as_number, CASE datatype WHEN 'boolean' THEN CASE WHEN lower({_TRIM}) IN ('true', '1', 'yes', 'on') THEN 'true' WHEN lower({_TRIM}) IN ('false', '0', 'no', 'off') THEN 'false' END WHEN 'string' THEN raw_value END AS as_text FROM x""",
+    "clean_outcome": f"""WITH x AS (SELECT fact_id, datatype, raw_value, {_TRIM} AS t FROM coffee_shops_facts), y AS (SELECT *, CASE datatype WHEN 'float' THEN regexp_matches(t, '^-?[0-9]+(\\.[0-9]+)?$') WHEN 'boolean' THEN lower(t) IN ('true', 'false') ELSE true END AS fits,
+        CASE datatype WHEN 'float' THEN regexp_matches(t, '^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][-+]?[0-9]+)?$') WHEN 'boolean' THEN lower(t) IN ('true', '1', 'yes', 'on', 'false', '0', 'no', 'off') ELSE true END AS can FROM x)
+        SELECT fact_id, CASE WHEN raw_value IS NULL OR t = '' THEN 'dropped' WHEN fits THEN 'passed' WHEN can THEN 'transformed' ELSE 'dropped' END AS outcome, CASE WHEN raw_value IS NULL OR t = '' THEN 'no value' WHEN fits THEN 'conforms' WHEN can THEN 'coerced to ' || datatype ELSE 'not ' || datatype END AS reason FROM y""",
     "list_split": "SELECT p_partkey, CASE WHEN p_type = p_brand THEN p_type ELSE p_type || '/' || p_brand END AS parts FROM part",
     "relationship_cell": "SELECT p_partkey, unnest([p_brand, p_type]) AS label FROM part",
     "strip_emoji": r"SELECT p_partkey, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS name FROM part",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import profile
 from ..runtime import table
-from .graph import graph
+from .graph import graph, virtual
 
 _ORDERS = ["o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice", "o_orderdate"]
 
@@ -32,7 +32,7 @@ def primary_type_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def kg_stats(spark: SparkSession, root: str) -> DataFrame:
-    return profile.graph_statistics(graph(spark, root))
+    return profile.table_statistics(virtual(spark, root))
 
 
 def type_edges(spark: SparkSession, root: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import csv_safe
 from ..model import EntityMap, quads_of
@@ -41,9 +42,30 @@ def json_records(df: DataFrame, text: str, result_path: str, fields: dict[str, s
 
 
 def byte_batches(df: DataFrame, group: list[str], order: list[str], payload: Column, limit: int = 900_000) -> DataFrame:
-    """With `batch`: rows of a group in order, a new batch each time the running size passes a multiple of `limit`."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("batch", F.floor((F.sum(F.octet_length(payload)).over(w) - 1) / limit).cast("int"))
+    """With `batch`: rows of a group in order, a new batch before the row that would take the running size beyond `limit`; a larger row is a batch of its own.
+
+    Rows stream through in order, so a task holds one number a group. Give a coarse part of the order as a further group where one group holds a large share of the rows.
+    """
+    keys = [df.columns.index(g) for g in group]
+    sized = df.select("*", F.octet_length(payload).cast("long").alias("_size")).repartition(*[F.col(g) for g in group]).sortWithinPartitions(*group, *order)
+    size = len(df.columns)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, batch = object(), 0, 0
+        for b in batches:
+            out = []
+            for row in zip(*(b.iloc[:, k] for k in keys), b.iloc[:, size]):
+                key, n = tuple(None if pd.isna(x) else x for x in row[:-1]), 0 if pd.isna(row[-1]) else int(row[-1])
+                if key != at:
+                    at, held, batch = key, 0, 0
+                elif held + n > limit:
+                    held, batch = 0, batch + 1
+                held += n
+                out.append(batch)
+            yield b.drop(columns=[b.columns[size]]).assign(batch=np.array(out, np.int32))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return sized.mapInPandas(number, f"{schema}, batch int")
 
 
 class _Reducer(HTMLParser):

@@ -74,8 +74,8 @@ def check(got, want):
 def test_all_pairs_and_scores(spark, root):
     want = expected(_records(spark, root).collect())
     assert any(b != a + 1 or a % 2 for a, b in want)
-    assert sorted(map(tuple, registry.queries()["er_all_pairs"](spark, root).collect())) == sorted(want)
-    check(registry.queries()["er_all_scores"](spark, root).collect(), want)
+    assert sorted(map(tuple, registry.queries()["er_block_pairs"](spark, root).collect())) == sorted(want)
+    check(registry.queries()["er_scores"](spark, root).collect(), want)
 
 
 SCHEMA = "id long, name string, phone string, email string, address string, dob string"
