@@ -137,3 +137,29 @@ def chunks(limit: int = 2048, least: int = 1024):
             yield pd.Series([break_points(t, limit, least) if isinstance(t, str) else [] for t in b])
 
     return cut
+
+
+def overlapping_pieces(text: str, limit: int, overlap: int) -> list[tuple[int, str]]:
+    """(start, piece): pieces of at most `limit` characters that end after a sentence where one ends in their second half, each beginning up to `overlap` characters before the end of the one before."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + limit)
+        if end < len(text):
+            cut = max(text.rfind(mark, at + limit // 2, end) for mark in (". ", "! ", "? ", ".\n", "\n\n"))
+            end = cut + 1 if cut > 0 else end
+        out.append((at, text[at:end]))
+        if end >= len(text):
+            break
+        at = max(at + 1, end - overlap)
+    return out
+
+
+def overlapping_chunks(limit: int = 3000, overlap: int = 200):
+    """Arrow function: array of structs of start and chunk of each text."""
+
+    @F.pandas_udf("array<struct<start:int,chunk:string>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([[{"start": s, "chunk": c} for s, c in overlapping_pieces(t, limit, overlap)] if isinstance(t, str) else [] for t in b])
+
+    return cut

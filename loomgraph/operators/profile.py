@@ -49,6 +49,16 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def text_candidacy(df: DataFrame, columns: list[str], free_text: float = 120.0) -> DataFrame:
+    """(name, candidacy) by values alone: columns shaped like text are free text if long on average, else ambiguous; all others are none."""
+    c = cells(df, columns).filter("value IS NOT NULL")
+    v = F.col("value")
+    share = lambda x: F.avg(F.when(x, 1).otherwise(0))
+    p = c.groupBy("name").agg(share(v.rlike(_DATE)).alias("dates"), share(v.try_cast("double").isNotNull()).alias("numbers"), share(v.rlike(_CODE)).alias("codes"), share(v.rlike(r"\s")).alias("spaced"), F.avg(F.length(v)).alias("avg_len"))
+    text = (F.col("dates") <= 0.8) & (F.col("numbers") <= 0.8) & ~((F.col("codes") > 0.9) & (F.col("avg_len") <= 24)) & (F.col("spaced") > 0.5) & (F.col("avg_len") > 25)
+    return p.select("name", F.when(text & (F.col("avg_len") >= free_text), "free_text").when(text, "ambiguous").otherwise("none").alias("candidacy"))
+
+
 def functional_dependencies(df: DataFrame, columns: list[str], max_distinct: int = 400, min_support: int = 5, near_unique: float = 0.95) -> DataFrame:
     """(determinant, dependent) among columns of at most `max_distinct` values: every filled determinant stands with one dependent.
 

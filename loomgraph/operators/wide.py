@@ -2,8 +2,8 @@
 
 Every (name, value) pair is read as the declared type, whatever type the row claims; the pairs are reduced per (entity,
 attribute) with map-side combining before the first shuffle, the survivors (at most one per declared attribute) become a
-map per entity, and the known keys of that map are projected into typed columns. Values that can't be read stay in the
-column `cast_failures` (attribute -> latest unreadable text).
+map per entity, and the known keys of that map are projected into typed columns. Values that can't be read stay: the latest of
+each attribute in the column `cast_failures` (attribute -> text), all of them, one a row, in the frame that `cast_failures()` gives.
 
 Defined results: null ids and undeclared names give no cell; marks of absence are no value and no failure; of two
 readable values at one time the later in row order of (array position, text) wins; an entity of which no pair
@@ -27,13 +27,24 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}]", "")
 
 
-def resolve_pairs(df: DataFrame, key: str, attributes: str, at: str, declared: list[tuple[str, str]]) -> DataFrame:
-    """One row per (entity, declared attribute): `k`, `name`, `text` (canonical, null if none is readable), `failure`."""
+def _read_pairs(df: DataFrame, key: str, attributes: str, at: str, declared: list[tuple[str, str]]) -> DataFrame:
+    """k, at, i, v, name, absent, text (canonical, null if it can't be read) of each pair."""
     kind = F.create_map(*[F.lit(x) for n, t in declared for x in ("".join(ch for ch in n.lower() if ch.isalnum()), f"{t}:{n}")])
     pairs = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(at).alias("at"), F.posexplode_outer(attributes).alias("i", "a"))
     pairs = computed(pairs, ["k", "at", "i"], d=F.element_at(kind, name_key(F.col("a.name"))), v=F.col("a.value"), w=trimmed(F.col("a.value")))
     pairs = computed(pairs, ["k", "at", "i", "v", "w"], t=F.substring_index("d", ":", 1), name=F.expr("substr(d, instr(d, ':') + 1)"), absent=is_absent(F.col("w")))
-    read = computed(pairs, ["k", "at", "i", "v", "name", "absent"], text=F.when(~F.col("absent"), canonical(F.col("w"), F.col("t"))))
+    return computed(pairs, ["k", "at", "i", "v", "name", "absent"], text=F.when(~F.col("absent"), canonical(F.col("w"), F.col("t"))))
+
+
+def cast_failures(df: DataFrame, key: str, attributes: str, at: str, declared: list[tuple[str, str]]) -> DataFrame:
+    """(key, name, value, at): every value of a declared attribute that can't be read as its type, one a row; nothing is gathered."""
+    bad = _read_pairs(df, key, attributes, at, declared).filter("name IS NOT NULL AND text IS NULL AND NOT absent")
+    return bad.select(F.col("k").alias(key), "name", F.col("v").alias("value"), F.col("at").alias(at))
+
+
+def resolve_pairs(df: DataFrame, key: str, attributes: str, at: str, declared: list[tuple[str, str]]) -> DataFrame:
+    """One row per (entity, declared attribute): `k`, `name`, `text` (canonical, null if none is readable), `failure`."""
+    read = _read_pairs(df, key, attributes, at, declared)
     rank = lambda ok: F.when(ok, F.struct("at", "i", "text", "v"))
     return (
         read.groupBy("k", "name")

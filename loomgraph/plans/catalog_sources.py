@@ -42,10 +42,11 @@ def html_reduction(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_usage(spark: SparkSession, root: str) -> DataFrame:
-    """Daily requests by type through a stream."""
-    name = f"usage_{uuid.uuid4().hex}"
-    counters = usage.usage_counters(usage.event_stream(spark, f"{root}/events.parquet"), "ts", ["event_type"])
-    return usage.run_to_table(counters, name, f"{shared_dir(spark)}/{name}").select(F.to_date("start").alias("day"), "event_type", "requests")
+    """Daily requests by type through a stream, as a table of upserts in the shared folder."""
+    path = f"{shared_dir(spark)}/usage-{uuid.uuid4().hex}"
+    q = usage.additive_upserts(usage.event_stream(spark, f"{root}/events.parquet"), [F.to_date("ts").alias("day"), F.col("event_type")], {"requests": F.count("*")}, path, f"{path}-ck")
+    q.awaitTermination()
+    return usage.Versions(spark, path).read()
 
 
 def registered_function(spark: SparkSession, root: str) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions.geometry import with_point
 from ..operators.intervals import gaps, periods, with_range
 from ..operators.packed import WEAK, delimiter_profile, split_packed
 from ..operators.spatial import radius_join, regions_containing
-from ..operators.wide import cells_of, widen
+from ..operators.wide import cast_failures, cells_of, widen
 from ..runtime import bounded_rows, table
 
 LIST_ATTRIBUTES = ("categories", "amenities", "roasts")
@@ -41,14 +41,17 @@ def p2_wide(spark: SparkSession, root: str) -> DataFrame:
     return widen(table(spark, root, "coffee_shops"), "id", "attributes", "extracted_at", _declarations(spark, root)).drop("cast_failures")
 
 
+def _declared(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    return [(r[0], r[1]) for r in bounded_rows(_declarations(spark, root).select("name", "datatype").distinct(), 2_000, "the table of declarations")]
+
+
 def p2_failures(spark: SparkSession, root: str) -> DataFrame:
-    wide = widen(table(spark, root, "coffee_shops"), "id", "attributes", "extracted_at", _declarations(spark, root))
-    return wide.select("id", F.explode("cast_failures").alias("name", "value"))
+    """Every value that can't be read as its declared type, with its time."""
+    return cast_failures(table(spark, root, "coffee_shops"), "id", "attributes", "extracted_at", _declared(spark, root))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    declared = [(r[0], r[1]) for r in _declarations(spark, root).select("name", "datatype").distinct().collect()]
-    return cells_of(widen(table(spark, root, "coffee_shops"), "id", "attributes", "extracted_at", _declarations(spark, root)), "id", declared)
+    return cells_of(widen(table(spark, root, "coffee_shops"), "id", "attributes", "extracted_at", _declarations(spark, root)), "id", _declared(spark, root))
 
 
 def _points(spark: SparkSession, root: str) -> DataFrame:
@@ -119,7 +122,7 @@ read AS (SELECT *, CASE t
   ELSE w END AS value FROM present)"""
 ORACLE = {
     "p2_found": f"WITH {_CELLS} SELECT id, name, value FROM read WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ts DESC, i DESC) = 1",
-    "p2_failures": f"WITH {_CELLS} SELECT id, name, v AS value FROM read WHERE value IS NULL QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ts DESC, i DESC) = 1",
+    "p2_failures": f"WITH {_CELLS} SELECT id, name, v AS value, ts AS extracted_at FROM read WHERE value IS NULL",
     "p6_found": f"WITH {_RANGES} SELECT tenant_id, kg_name, entity_uri, before // 1000000 AS gap_from, lo // 1000000 AS gap_to FROM marked WHERE lo > before",
     "p6_periods": f"""WITH {_RANGES}, numbered AS (
         SELECT *, sum(CASE WHEN before IS NULL OR lo > before THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, kg_name, entity_uri ORDER BY lo, hi) AS n FROM marked)

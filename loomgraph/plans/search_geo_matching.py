@@ -218,5 +218,5 @@ ORACLE = {
     "membership_rule": "SELECT p_partkey FROM part WHERE (lower(p_brand) IN ('brand#11', 'brand#23') OR contains(lower(p_type), 'steel')) AND NOT regexp_matches(p_name, '^a', 'i') AND trim(p_name) <> ''",
     "key_join": "WITH o AS (SELECT s_nationkey AS k, min(s_suppkey) AS owner FROM supplier GROUP BY 1 HAVING count(*) = 1) SELECT n_nationkey, CASE WHEN owner IS NULL THEN 'mint' ELSE 'match' END AS action, owner FROM nation LEFT JOIN o ON k = n_nationkey",
     "er_clusters": f"{_ER}, {_REACH} SELECT a AS id, min(b) AS canonical FROM reach GROUP BY a",
-    "er_survivors": f"{_ER}, {_REACH}, cl AS (SELECT a AS id, min(b) AS canonical FROM reach GROUP BY a) SELECT canonical, arg_min(id, (-(1 + (phone IS NOT NULL)::INT + (email IS NOT NULL)::INT)) * 1000000000 + id) AS survivor FROM cl JOIN r USING (id) GROUP BY 1",
+    "er_survivors": f"{_ER}, {_REACH}, cl AS (SELECT a AS id, min(b) AS canonical FROM reach GROUP BY a) SELECT canonical, arg_min(id, (1 + (phone IS NOT NULL)::INT + (email IS NOT NULL)::INT)::BIGINT * -1000000000 + id) AS survivor FROM cl JOIN r USING (id) GROUP BY 1",
 }
