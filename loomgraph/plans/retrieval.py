@@ -54,7 +54,7 @@ def stream_watch(spark: SparkSession, root: str) -> DataFrame:
     snap = lambda b: facts.snapshot(b.select("user_id", "event_type").distinct(), "user_id", "event_type")
     tell = lambda d, n: d.write.mode("overwrite").parquet(f"{out}/batch={n}")
     for k in range(2):  # the second run goes on from the checkpoint and the snapshot of the first
-        _arrive(spark, root, folder, k, 2)
+        _arrive(spark, root, folder, k, 60)
         usage.watch(usage.event_stream(spark, folder), snap, tell, f"{folder}-snap", f"{folder}-ck").awaitTermination()
     return spark.read.parquet(out).select("key", "change", "old", "new")
 
@@ -173,7 +173,7 @@ _FOLD = lambda c: f"trim(regexp_replace(regexp_replace(strip_accents(lower({c}))
 _TYPES = ["Storm", "Company", "Trial", "Farm", "Provider", "Patent", "CoffeeShop"]
 _SING = lambda w: f"CASE WHEN length({w}) > 3 AND suffix({w}, 'ies') THEN {w}[:-4] || 'y' WHEN length({w}) > 4 AND regexp_matches({w}, '(ches|shes|sses|xes|zes)$') THEN {w}[:-3] WHEN length({w}) > 1 AND suffix({w}, 's') AND NOT suffix({w}, 'ss') THEN {w}[:-2] ELSE {w} END"
 _TREE = " UNION ALL ".join(f"SELECT '{c}' AS c, {repr(p) if p else 'NULL'} AS p" for c, p in CLASS_TREE)
-_SIDE = lambda k: f"(SELECT user_id AS key, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS value FROM events WHERE floor(event_id * 2 / (SELECT count(*) FROM events)) = {k} GROUP BY 1)"
+_SIDE = lambda k: f"(SELECT user_id AS key, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS value FROM events WHERE floor(event_id * 60 / (SELECT count(*) FROM events)) = {k} GROUP BY 1)"
 ORACLE = {
     "stream_upserts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS requests, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "stream_ingest": "SELECT unnest(['rdf:type', 'attrs/value']) AS p, unnest([count(*), count(*)]) AS n, unnest([count(*), count(*)]) AS subjects, 3 AS batches FROM events",
