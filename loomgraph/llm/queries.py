@@ -86,7 +86,7 @@ def p8_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
-    return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage")
+    return leaks(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "eval_items"), "item_id", "passage", "answer")
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -94,9 +94,9 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, root: str) -> DataFrame:
-    """Leaked items per benchmark: items, documents, longest stretch."""
-    found = _leaks(spark, root).join(F.broadcast(table(spark, root, "eval_items").select("item_id", "benchmark")), "item_id")
-    return found.groupBy("benchmark").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest"))
+    """Leaked items per benchmark: items, documents, those that hold the answer, too, longest stretch."""
+    found = _leaks(spark, root).join(table(spark, root, "eval_items").select("item_id", "benchmark"), "item_id")
+    return found.groupBy("benchmark").agg(F.countDistinct("item_id").alias("n_items"), F.countDistinct("doc_id").alias("n_documents"), F.count_if("with_answer").alias("n_with_answer"), F.max("n_words").alias("longest"))
 
 
 def _subjects(spark: SparkSession, root: str) -> DataFrame:

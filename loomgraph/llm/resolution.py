@@ -20,8 +20,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.linking import canonical_ids
 from ..runtime import drop_materialized, materialize
-from .components import components
 from .edit_join import within
 
 _SPECIAL = str.maketrans({"ø": "o", "æ": "ae", "œ": "oe", "ß": "ss", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
@@ -349,11 +349,11 @@ def merge_and_rematch(forms: DataFrame, rules, max_block: int = 2_000) -> DataFr
         links = materialize(_block_links(other.select(piece.alias("key"), "pid", "forms", "fresh", "part"), rules), "links")
         if links.isEmpty():
             break
-        parts = components(links)
-        merged = profiles.join(parts, profiles["pid"] == parts["id"], "left").select(F.coalesce("component", "pid").alias("pid"), "forms", F.col("component").isNotNull().alias("fresh"))
+        parts = canonical_ids(links)
+        merged = profiles.join(parts, profiles["pid"] == parts["id"], "left").select(F.coalesce("canonical", "pid").alias("pid"), "forms", F.col("canonical").isNotNull().alias("fresh"))
         merged = merged.groupBy("pid").agg(F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms"), F.max("fresh").alias("fresh"))
         old, profiles = profiles, materialize(merged, "profiles")
-        entity = materialize(entity.join(parts, entity["entity"] == parts["id"], "left").select("fid", F.coalesce("component", "entity").alias("entity")), "entities")
+        entity = materialize(entity.join(parts, entity["entity"] == parts["id"], "left").select("fid", F.coalesce("canonical", "entity").alias("entity")), "entities")
         drop_materialized(old)
         drop_materialized(links)
     return entity

@@ -8,7 +8,7 @@ from bisect import bisect_right
 
 #: UTF-8 read as Windows-1252 or Latin-1: a lead character and what follows it.
 _MOJIBAKE = re.compile(r"[Â-ß][\u0080-¿ŒœŠšŸŽžƒˆ˜–-…‰‹›€™]|â[\u0080-¿Œ-™]{2}")
-_SKIP = r"<[^<>]{1,500}>|&#?\w{1,10};|https?://\S+"
+_SKIP = r"</?[A-Za-z!][^<>]*>|&#?\w{1,10};|https?://\S+"
 _WORD = re.compile(rf"(?P<skip>{_SKIP})|[^\W_]+")
 _ASCII = re.compile(r"[\x00-\x7f]*\Z")
 

@@ -230,7 +230,11 @@ def exact_neighbours(df: DataFrame, id_col: str, vector: str, group: Column, que
                 top = np.argpartition(-sim, n - 1, axis=1)[:, :n]
                 yield pd.DataFrame({"id": np.repeat(qi, n), "neighbour": ri[top].ravel(), "cosine": np.take_along_axis(sim, top, 1).ravel().astype(np.float64)})
 
-    met = all_rows.join(asked.select("grp", F.col("ids").alias("qids"), F.col("m").alias("qm")), "grp")
+    # chunks of all rows are dealt to parts, each of which meets every chunk of queries: one group is as many tasks as it has parts
+    parts = 32
+    dealt = all_rows.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    queries_ = asked.select("grp", F.col("ids").alias("qids"), F.col("m").alias("qm"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    met = dealt.join(queries_, ["grp", "part"])
     found = met.select("qids", "qm", "ids", "m").mapInPandas(products, "id long, neighbour long, cosine double").filter("cosine > -1.5")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return found.select("*", rank.alias("rank")).filter(F.col("rank") <= k)

@@ -1,6 +1,6 @@
 import random
 
-from loomgraph.llm.leakage import Scanner, align, item_words, leaks, longest_stretch
+from loomgraph.llm.leakage import Scanner, align, item_words, leaks, longest_stretch, prepared_items
 from loomgraph.llm.text import sentences, words_with_offsets
 
 WORDS = [f"word{i}" for i in range(60)]
@@ -22,7 +22,7 @@ def test_offsets():
 
 def test_stretches():
     s = scanner()
-    found = lambda text: {i: n for i, n, _, _ in s.scan(text)}
+    found = lambda text: {i: n for i, n, *_ in s.scan(text)}
     assert found("intro " + PASSAGE.upper() + " outro") == {1: 60}
     assert found("x " + " ".join(WORDS[10:30]) + " y") == {1: 20}
     assert found("x " + " ".join(WORDS[10:26]) + " y") == {}
@@ -43,7 +43,7 @@ def test_long_text_and_place():
     s = scanner()
     filler = "lorem ipsum " * 40_000
     text = filler + PASSAGE + " " + filler
-    ((item, n, a, b),) = s.scan(text)
+    ((item, n, a, b, _),) = s.scan(text)
     assert (item, n, text[a:b]) == (1, 60, PASSAGE)
 
 
@@ -77,3 +77,23 @@ def test_rows(spark):
 
 def test_sentences():
     assert sentences("One. Two!\nThree\nstill three? ¿Cuatro?") == ["One.", "Two!", "Three\nstill three?", "¿Cuatro?"]
+
+
+def test_only_openings_are_instructions(spark):
+    """A sentence that items share counts for nothing where it opens a passage, but elsewhere it is a passage like any other; any number of items is prepared alike."""
+    say, own = "Read the text below and answer it please.", lambda i: " ".join(f"own{i}x{k}" for k in range(8)) + "."
+    deep = "The harbour of the old town was closed for three winters in a row."
+    rows = [(i, f"{say} {own(i)} {deep}", None) for i in range(4)] + [(9, None, None), (10, "", "x")]
+    words = item_words([r[:2] for r in rows])
+    assert words[0][:8] == [None] * 8 and words[0][-3:] == ["in", "a", "row"] and None not in words[0][8:]
+    df = spark.createDataFrame(rows, "item_id long, passage string, answer string")
+    got = {r.i: list(r.words) for r in prepared_items(df, "item_id", "passage", "answer").collect()}
+    assert {i: w for i, w in got.items() if w} == words
+
+
+def test_answers_and_shards(spark):
+    docs = spark.createDataFrame([(1, f"a {PASSAGE} b. It is Foo Bar."), (2, f"a {PASSAGE} foo b bar"), (3, "Foo Bar alone")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, PASSAGE, "FOO bar"), (8, " ".join(WORDS[:30]), None), (7, "x y", "foo")], "item_id long, passage string, answer string")
+    want = {(1, 9, True), (2, 9, False), (1, 8, None), (2, 8, None)}
+    for most in (100, 1):
+        assert {(r.doc_id, r.item_id, r.with_answer) for r in leaks(docs, "doc_id", "text", items, "item_id", "passage", "answer", max_items=most).collect()} == want

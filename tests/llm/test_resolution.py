@@ -1,4 +1,4 @@
-from loomgraph.llm.components import components
+from loomgraph.operators.linking import canonical_ids
 from loomgraph.llm.resolution import Organisations, People, merge_and_rematch, organisation_form, person_name, resolve_organisations, resolve_people, slips
 
 GIVEN = {"robert", "rebecca", "samuel", "katherine", "francisco", "deborah"}
@@ -58,7 +58,7 @@ def test_rows(spark):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 99), (7, 7), (200, 150)]
-    got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.canonical for r in canonical_ids(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 99: 99, 100: 99, 101: 99, 150: 150, 200: 150}
 
 
