@@ -184,6 +184,8 @@ def person_name(name: str | None, given_names: set[str], memo: dict | None = Non
                 memo[w] = full
             elif "-" not in w and len(w) >= 3:
                 near = [(d, abs(len(g) - len(w)), g) for g in given_names if (g[0] == w[0] or g[-1] == w[-1]) and abs(len(g) - len(w)) <= 2 and (letters(g) ^ letters(w)).bit_count() <= 4 and (d := slips(w, g, 1 if len(w) < 8 else 2)) is not None and (len(g) > 3 or d == 0)]
+                if not near:  # a slip in a pet name
+                    near = [(1, 0, full) for pet, full in PET_NAMES.items() if len(pet) >= 5 and pet[-1] == w[-1] and alike(w, pet, 1)]
                 memo[w] = min(near)[2] if near else None
             else:
                 memo[w] = None
@@ -216,7 +218,9 @@ class People:
         # a slip, even a swap, leaves one of two ends whole if they are shorter than half of the name
         n = min(4, max(3, (len(surname) - 1) // 2))
         first = given.split(" ")[0]
-        ends = ("a" + surname[:n], "z" + surname[-n:])
+        parts = surname.split("-") if "-" in surname else ()
+        # the parts of a surname may be written as one, in either order
+        ends = sorted({"a" + surname[:n], "z" + surname[-n:], *(x for part in parts if len(part) >= n for x in ("a" + part[:n], "z" + part[-n:]))})
         out = []
         if org:
             out += [f"o{org}/{x}" for x in ends]
@@ -238,8 +242,21 @@ class People:
             for y in b["surname"]:
                 if (x[0] == y[0] or x[-1] == y[-1]) and alike(x, y, 1 if len(x) < 7 or len(y) < 7 else 2):
                     return True
+                if ("-" in x) != ("-" in y) and abs(len(x) - len(y)) <= 3:  # parts written as one
+                    apart, one = (x, y) if "-" in x else (y, x)
+                    parts = apart.split("-")
+                    if any(alike("".join(order), one, 2) for order in (parts, parts[::-1])):
+                        return True
         return False
 
+    @classmethod
+    def _nearly(cls, a: dict, b: dict) -> bool:
+        """Two slips in a short surname, where first name, organisation and city are the same."""
+        if not (a["org"] & b["org"] and a["city"] & b["city"]):
+            return False
+        first = lambda p: {g[0] for g in p["given"] if g and len(g[0]) > 1}
+        return bool(first(a) & first(b)) and any(min(len(x), len(y)) >= 5 and alike(x, y, 2) for x in a["surname"] for y in b["surname"])
+
     @staticmethod
     def _one_given(x: str, y: str) -> bool:
         if x == y:
@@ -269,7 +286,7 @@ class People:
 
     @classmethod
     def match(cls, a: dict, b: dict) -> bool:
-        if not cls._surnames(a, b):
+        if not cls._surnames(a, b) and not cls._nearly(a, b):
             return False
         if a["npi"] & b["npi"]:
             return True
