@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.geometry import with_point
 from ..operators.intervals import gaps, periods, with_range
-from ..operators.packed import WEAK, delimiter_profile, split_packed
+from ..operators.packed import CANDIDATES, WEAK, delimiter_profile, split_packed
 from ..operators.spatial import radius_join, regions_containing
 from ..operators.wide import cast_failures, cells_of, widen
 from ..runtime import bounded_rows, table
@@ -120,7 +120,34 @@ read AS (SELECT *, CASE t
   WHEN 'geo' THEN CASE WHEN regexp_matches(w, '^POINT ?\(') THEN regexp_replace(w, '^POINT ?\(([^ ]+) ([^)]+)\)$', 'POINT(\1 \2)') WHEN regexp_matches(w, '^[-+0-9.]+,[-+0-9.]+$') THEN regexp_replace(w, '^([^,]+),(.+)$', 'POINT(\2 \1)') END
   WHEN 'uri' THEN CASE WHEN regexp_matches(w, '^https?://\S+$') THEN w END
   ELSE w END AS value FROM present)"""
+_NUM = r"[-+]?[0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?"
+_HEX = lambda at: f"(CASE WHEN substr(g, 1, 2) = '01' THEN array_to_string(list_transform(range(15, 0, -2), lambda k: substr(substr(g, off + {at}, 16), k, 2)), '') ELSE substr(g, off + {at}, 16) END)"
+_IEEE = lambda h: f"CASE WHEN (('0x' || substr({h}, 1, 3))::BIGINT % 2048) = 0 THEN 0.0 ELSE (CASE WHEN ('0x' || substr({h}, 1, 3))::BIGINT >= 2048 THEN -1 ELSE 1 END) * (1.0 + ('0x' || substr({h}, 4, 13))::BIGINT / 4503599627370496.0) * pow(2.0, ('0x' || substr({h}, 1, 3))::BIGINT % 2048 - 1023) END"
+#: Points of the facts in each notation, by SQL alone.
+POINTS_SQL = rf"""
+texts AS (SELECT fact_id, entity_uri, valid_time, geom AS g FROM entity_spatiotemporal WHERE geom IS NOT NULL),
+wkb AS (SELECT fact_id, entity_uri, valid_time, g, CASE WHEN substr(g, CASE WHEN substr(g, 1, 2) = '01' THEN 9 ELSE 3 END, 2) IN ('20', 'A0', 'E0', '60', 'a0', 'e0') THEN 19 ELSE 11 END AS off FROM texts WHERE regexp_matches(g, '^(?:01010000[0-9A-Fa-f]{{2}}(?:[0-9A-Fa-f]{{8}})?|00[0-9A-Fa-f]{{2}}000001(?:[0-9A-Fa-f]{{8}})?)[0-9A-Fa-f]{{32,64}}$')),
+hexes AS (SELECT fact_id, entity_uri, valid_time, {_HEX(0)} AS hx, {_HEX(16)} AS hy FROM wkb),
+read AS (
+  SELECT fact_id, entity_uri, valid_time, {_IEEE('hx')} AS lon, {_IEEE('hy')} AS lat FROM hexes
+  UNION ALL SELECT fact_id, entity_uri, valid_time, TRY_CAST(regexp_extract(g, '(?i)POINT\s*(?:ZM|Z|M)?\s*\(\s*({_NUM})\s+({_NUM})', 1) AS DOUBLE), TRY_CAST(regexp_extract(g, '(?i)POINT\s*(?:ZM|Z|M)?\s*\(\s*({_NUM})\s+({_NUM})', 2) AS DOUBLE) FROM texts WHERE regexp_matches(g, '(?i)^\s*(?:SRID=\d+;)?\s*POINT\s*(?:ZM|Z|M)?\s*\(\s*{_NUM}\s+{_NUM}(?:\s+{_NUM}){{0,2}}\s*\)\s*$')
+  UNION ALL SELECT fact_id, entity_uri, valid_time, TRY_CAST(regexp_extract(g, '"coordinates"\s*:\s*\[\s*({_NUM})\s*,\s*({_NUM})', 1) AS DOUBLE), TRY_CAST(regexp_extract(g, '"coordinates"\s*:\s*\[\s*({_NUM})\s*,\s*({_NUM})', 2) AS DOUBLE) FROM texts WHERE contains(g, '{{') AND regexp_matches(g, '"type"\s*:\s*"Point"')
+  UNION ALL SELECT fact_id, entity_uri, valid_time, TRY_CAST(regexp_extract(g, '^\s*\(?\s*({_NUM})\s*,\s*({_NUM})\s*\)?\s*$', 2) AS DOUBLE), TRY_CAST(regexp_extract(g, '^\s*\(?\s*({_NUM})\s*,\s*({_NUM})\s*\)?\s*$', 1) AS DOUBLE) FROM texts WHERE regexp_matches(g, '^\s*\(?\s*{_NUM}\s*,\s*{_NUM}\s*\)?\s*$')),
+points AS (SELECT * FROM read WHERE abs(lon) <= 180 AND abs(lat) <= 90)"""
+_UNIT = "cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z"
+_KNOWN = lambda field: f"(SELECT list(term) FROM known_terms WHERE field {field})"
+_SQL_PIECES = "list_transform(list_filter(string_split_regex(v, p), lambda x: trim(x) <> ''), lambda x: CASE WHEN length(trim(x)) > 1 AND starts_with(trim(x), '\"') AND suffix(trim(x), '\"') THEN trim(regexp_replace(replace(substr(trim(x), 2, length(trim(x)) - 2), '\"\"', '\"'), '\\\\(.)', '\\1', 'g')) WHEN length(trim(x)) > 1 AND starts_with(trim(x), chr(39)) AND suffix(trim(x), chr(39)) THEN trim(substr(trim(x), 2, length(trim(x)) - 2)) ELSE trim(x) END)"
+_CANDIDATES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS delimiter, '{p}' AS p" for n, p in CANDIDATES)
 ORACLE = {
+    "p1_delimiters": f"""WITH c AS ({_CANDIDATES_SQL}), r AS (SELECT 'raw_value/' || attribute AS source, regexp_replace(raw_value, '[\\s]', ' ', 'g') AS t, raw_value AS v, {_KNOWN("IN ('categories', 'amenities', 'roasts')")} AS terms FROM coffee_shops_facts WHERE attribute IN ('categories', 'amenities', 'roasts') AND trim(raw_value) <> '' UNION ALL SELECT 'specialty/' || feed, '', specialty, {_KNOWN("= 'specialty'")} FROM healthcare_providers WHERE trim(specialty) <> ''),
+        x AS (SELECT source, delimiter, {_SQL_PIECES} AS pieces, terms FROM r JOIN c ON regexp_matches(v, p)), y AS (SELECT source, delimiter, len(pieces) AS n, len(list_filter(pieces, lambda z: list_contains(terms, z))) AS k FROM x),
+        z AS (SELECT source, delimiter, count(*) AS n_rows, sum(n) AS pieces, sum(n * n) AS squares, sum(k) AS regular FROM y GROUP BY 1, 2), w AS (SELECT source, delimiter, n_rows, CASE WHEN pieces > 0 THEN 1.0 / (1.0 + sqrt(greatest(0.0, squares / n_rows - (pieces / n_rows) * (pieces / n_rows))) / (pieces / n_rows)) * (regular / pieces) ELSE 0.0 END AS s FROM z)
+        SELECT source, delimiter, n_rows, round(s, 6) AS score, s < {WEAK} AS weak FROM w""",
+    "p4_found": rf"""WITH {POINTS_SQL}, p AS (SELECT fact_id, lon, lat, {_UNIT} FROM points), a AS (SELECT anchor_id, radius_m, {_UNIT} FROM spatial_anchors WHERE abs(lon) <= 180 AND abs(lat) <= 90 AND radius_m >= 0),
+        rings AS (SELECT region_id, unnest(regexp_extract_all(boundary, '\(([^()]+)\)', 1)) AS ring FROM spatial_regions), nodes AS (SELECT region_id, string_split(ring, ',') AS n FROM rings),
+        edges AS (SELECT region_id, CAST(string_split(trim(n[i]), ' ')[1] AS DOUBLE) AS x1, CAST(string_split(trim(n[i]), ' ')[-1] AS DOUBLE) AS y1, CAST(string_split(trim(n[1 + i % len(n)]), ' ')[1] AS DOUBLE) AS x2, CAST(string_split(trim(n[1 + i % len(n)]), ' ')[-1] AS DOUBLE) AS y2 FROM (SELECT region_id, n, unnest(range(1, len(n) + 1)) AS i FROM nodes))
+        SELECT 'anchor' AS place_kind, anchor_id AS place_id, fact_id FROM p JOIN a ON 2 * 6371008.8 * asin(least(1.0, sqrt((p.x - a.x) ** 2 + (p.y - a.y) ** 2 + (p.z - a.z) ** 2) / 2)) <= radius_m
+        UNION ALL SELECT 'region', region_id, fact_id FROM points JOIN edges ON (y1 > lat) <> (y2 > lat) AND lon > (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY region_id, fact_id HAVING count(*) % 2 = 1""",
     "p2_found": f"WITH {_CELLS} SELECT id, name, value FROM read WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ts DESC, i DESC) = 1",
     "p2_failures": f"WITH {_CELLS} SELECT id, name, v AS value, ts AS extracted_at FROM read WHERE value IS NULL",
     "p6_found": f"WITH {_RANGES} SELECT tenant_id, kg_name, entity_uri, before // 1000000 AS gap_from, lo // 1000000 AS gap_to FROM marked WHERE lo > before",

@@ -9,6 +9,7 @@ from ..functions.geometry import with_point
 from ..operators import matching, search
 from ..runtime import table
 from .graph import graph
+from .packed_wide_spatial_interval import POINTS_SQL
 
 _QUERY = ["treasury", "deposit", "reports"]
 _WORDS = ["futures", "bond", "revenue", "courtroom"]
@@ -194,6 +195,7 @@ _ER = f"""WITH RECURSIVE c AS (SELECT c_custkey AS k, translate(substr(md5('a' |
     decided AS (SELECT *, CASE WHEN score >= 0.9 THEN 'merge' WHEN score >= 0.7 THEN 'review' ELSE 'skip' END AS decision FROM final)"""
 _REACH = "linked AS (SELECT id_a AS a, id_b AS b FROM decided WHERE decision = 'merge' UNION SELECT id_b, id_a FROM decided WHERE decision = 'merge' UNION SELECT id_a, id_a FROM decided WHERE decision = 'merge' UNION SELECT id_b, id_b FROM decided WHERE decision = 'merge'), reach AS (SELECT a, b FROM linked UNION SELECT x.a, y.b FROM reach x JOIN linked y ON x.b = y.a)"
 ORACLE = {
+    "geo_facts": rf"""WITH {POINTS_SQL} SELECT regexp_extract(entity_uri, '/entities/([^/]+)/', 1) AS type, count(*) AS n_points, bool_or(valid_time IS NOT NULL) AS temporal, round(min(lat), 4) AS south, round(max(lat), 4) AS north FROM points GROUP BY 1""",
     "lexical_rank": f"WITH t AS (SELECT doc_id, len({_TOK}) AS n, list_filter({_TOK}, lambda w: list_contains({_Q}, w)) AS h FROM documents) SELECT doc_id, round(len(list_distinct(h)) / 3.0 * len(h) / (n + 10.0), 9) AS score FROM t WHERE len(h) > 0 ORDER BY len(list_distinct(h)) / 3.0 * len(h) / (n + 10.0) DESC, doc_id LIMIT 50",
     "vector_topk": f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_V}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_V}) DESC, vec_id LIMIT 20",
     "hybrid_rrf": f"""WITH t AS (SELECT chunk_id, len({_CTOK}) AS n, list_filter({_CTOK}, lambda w: list_contains({sorted(_WORDS)}, w)) AS h FROM entity_semantic_chunk),
