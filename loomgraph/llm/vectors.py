@@ -197,7 +197,7 @@ def most_similar(df: DataFrame, id_col: str, vector: str, group: Column, width:
     full = v.select("id", "v")
     # the candidates grow with the data, so they are not to be broadcast
     both = pairs.hint("merge").join(full.withColumnRenamed("id", "a").withColumnRenamed("v", "va"), "a").hint("merge").join(full.withColumnRenamed("id", "b").withColumnRenamed("v", "vb"), "b")
-    scored = both.select("a", "b", cosine("va", "vb").alias("cosine"))
+    scored = both.select("a", "b", cosine.asNondeterministic()("va", "vb").alias("cosine"))
     if min_cosine > -1:
         scored = scored.filter(F.col("cosine") >= min_cosine)
     directed = scored.select(F.inline(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine"), F.struct(F.col("b").alias("id"), F.col("a").alias("neighbour"), "cosine"))))
