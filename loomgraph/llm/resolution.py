@@ -422,7 +422,7 @@ def resolve_people(df: DataFrame, id_col: str, name: str, city: str, state: str,
 
     orgs = organisations.select(F.col("spelling").alias(organisation), F.col("entity").alias("_org"))
     rows = df.select(F.col(id_col).alias("row_id"), name, city, state, phone, organisation, registry).join(orgs, organisation, "left")
-    rows = materialize(rows.select("row_id", form(name, city, state, phone, "_org", registry).alias("form")).filter("form IS NOT NULL"), "people")
+    rows = materialize(rows.select("row_id", form.asNondeterministic()(name, city, state, phone, "_org", registry).alias("form")).filter("form IS NOT NULL"), "people")
     forms = materialize(rows.groupBy("form").agg(F.min("row_id").alias("fid")), "forms")
     entities = merge_and_rematch(forms.select("fid", "form"), People, **options)
     return rows.join(forms, "form").join(entities, "fid").select("row_id", "entity")
