@@ -231,7 +231,7 @@ def prepare(df: DataFrame, id_col: str, split: str, source: str, question: str,
         text = lambda x: x if isinstance(x, str) else None
         return pd.DataFrame({"q": [plain_question(text(x), wording) for x in a], "s": [digest(canonical_query(text(x))) for x in b]})
 
-    base = df.select(F.col(id_col).alias("id"), F.col(split).alias("split"), F.col(source).alias("source"), both(F.col(question), F.col(query)).alias("x"))
+    base = df.select(F.col(id_col).alias("id"), F.col(split).alias("split"), F.col(source).alias("source"), both.asNondeterministic()(F.col(question), F.col(query)).alias("x"))
     base = base.select("id", "split", "source", "x.q", F.array_join(F.array_sort(F.split("x.q", " ")), " ").alias("w"), "x.s")
     return base.filter("split IS NOT NULL AND source IS NOT NULL AND (q IS NOT NULL OR s IS NOT NULL)")
 
