@@ -25,10 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders that this process has materialised and that may be removed once their results are read.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes `df` as parquet into the shared folder and reads it back, which cuts lineage and survives lost executors."""
+    """Writes `df` as parquet into the shared folder and reads it back, which cuts lineage and survives lost executors. The files stay until release(), since the result may be read late."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,6 +49,15 @@ def drop_materialized(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes all that this process has materialised, and says how many folders there were; to be called when the results of its queries have been read or written."""
+    jvm, n = spark.sparkContext._jvm, 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that may go to every task because its size is bounded; ValueError beyond the bound."""
     rows = df.take(limit + 1)
