@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog_sources, cleaning, explorer, graph, history, mutations, packed_wide_spatial_interval as general, retrieval, scalars, schema_index, search_geo_matching, statistics
+from . import catalog_sources, cleaning, explorer, governance, graph, history, mutations, packed_wide_spatial_interval as general, retrieval, scalars, schema_index, search_geo_matching, statistics
 
-MODULES = [general, graph, scalars, statistics, history, search_geo_matching, catalog_sources, schema_index, cleaning, mutations, explorer, retrieval]
+MODULES = [general, graph, scalars, statistics, history, search_geo_matching, catalog_sources, schema_index, cleaning, mutations, explorer, retrieval, governance]
 FLAGSHIP = graph.QUERIES["bgp_join_group"]
 
 
