@@ -113,6 +113,22 @@ def table_statistics(graph: VirtualGraph) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def table_edges(graph: VirtualGraph, min_support: int = 1) -> DataFrame:
+    """type_edges of a virtual graph whose sources have one row an entity and a type each: every edge's table meets the table it points at, no other is read."""
+    first = lambda s: f"types/{min([s.map.type_name, *s.map.types])}"
+    parts = []
+    for source, branches in zip(graph.sources, graph.branches):
+        for b in branches:
+            if b.p == TYPE or b.kind != "iri":
+                continue
+            edges = (source.df if b.where is None else source.df.filter(b.where)).groupBy(b.o.alias("o")).agg(F.count("*").alias("k"))
+            for other in graph.sources:
+                if other.map.type_name == b.target:
+                    met = edges.join(other.df.select(other.subject.alias("o")), "o")
+                    parts.append(met.agg(F.sum("k").alias("n")).select(F.lit(first(source)).alias("source"), F.lit(b.p).alias("p"), F.lit(first(other)).alias("target"), F.coalesce("n", F.lit(0)).alias("n")))
+    return reduce(lambda a, b: a.unionByName(b), parts).filter(F.col("n") >= min_support)
+
+
 def type_edges(quads: DataFrame, min_support: int = 1) -> DataFrame:
     """(source, p, target, n): edges between types."""
     t = primary_types(quads)

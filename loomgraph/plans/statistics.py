@@ -36,7 +36,7 @@ def kg_stats(spark: SparkSession, root: str) -> DataFrame:
 
 
 def type_edges(spark: SparkSession, root: str) -> DataFrame:
-    return profile.type_edges(graph(spark, root))
+    return profile.table_edges(virtual(spark, root))
 
 
 def drift_floor(spark: SparkSession, root: str) -> DataFrame:
