@@ -4,8 +4,8 @@ A record has a question and a graph query. The query is brought into a canonical
 dropped, variables named by their role, patterns sorted). The question is brought into a canonical layout, without politeness and by a table of wordings
 of equal meaning (`Wording`, optional); typing slips are left in it.
 
-Overlaps come from one operator, the segment join of `edit_join`, over the questions as they stand and over their sorted words (a place may stand in front
-or behind), in three runs that differ in their block:
+Overlaps come from one operator, the segment join of `edit_join`, over the questions as they stand and over their words sorted from the front and from the back
+of each word (a place may stand in front or behind, and a slip moves a word in one of these orders at most), in three runs that differ in their block:
 
 * both queries present: block = source, canonical query and numbers, up to `k_same_query` edits;
 * a question is missing: block = source and canonical query, string empty;
@@ -42,7 +42,7 @@ POLITE_END = re.compile(r"[\s,.;:!?]*\b(?:thanks(?: a lot| in advance)?|thank yo
 EQUAL_WORDING = (
     (r"\bwhat's\b", "what is"),
     (r"\bwho's\b", "who is"),
-    (r"\b(?:what|which) (?:is the )?number of\b", "how many"),
+    (r"\b(?:what|which) (?:is the )?(?:number|numb\w{1,3}|num\w{3}|nu\w{1,2}ber|n\w{1,2}mber|\w{1,2}mber|\w{0,2}umber) of\b", "how many"),
     (r"\bwhat is the count of\b", "how many"),
     (r"\bgive me the top\b", "what are the top"),
     (r"\bare the (?:first|best|leading|highest)\b", "are the top"),
@@ -223,7 +223,7 @@ def slips_only(a: str, b: str) -> bool:
 
 
 def prepare(df: DataFrame, id_col: str, split: str, source: str, question: str, query: str, wording: Wording = Wording()) -> DataFrame:
-    """(id, split, source, q: canonical question, w: its sorted words, s: digest of the canonical query)."""
+    """(id, split, source, q: canonical question, w and v: its words sorted from the front and from the back, s: digest of the canonical query)."""
 
     @F.pandas_udf("q string, s string")
     def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -232,13 +232,15 @@ def prepare(df: DataFrame, id_col: str, split: str, source: str, question: str,
         return pd.DataFrame({"q": [plain_question(text(x), wording) for x in a], "s": [digest(canonical_query(text(x))) for x in b]})
 
     base = df.select(F.col(id_col).alias("id"), F.col(split).alias("split"), F.col(source).alias("source"), both.asNondeterministic()(F.col(question), F.col(query)).alias("x"))
-    base = base.select("id", "split", "source", "x.q", F.array_join(F.array_sort(F.split("x.q", " ")), " ").alias("w"), "x.s")
+    words = F.split("x.q", " ")
+    backwards = F.transform(F.array_sort(F.transform(words, F.reverse)), F.reverse)
+    base = base.select("id", "split", "source", "x.q", F.array_join(F.array_sort(words), " ").alias("w"), F.array_join(backwards, " ").alias("v"), "x.s")
     return base.filter("split IS NOT NULL AND source IS NOT NULL AND (q IS NOT NULL OR s IS NOT NULL)")
 
 
 def _met(cut: DataFrame, emit: DataFrame, k: int) -> DataFrame:
-    """(block, probe, target, distance) of classes (block, q, w) whose questions, or the sorted words of these, are at most k edits apart; `cut` is the larger side."""
-    orders = F.array(*[F.struct(F.concat(F.lit(n), "block").alias("block"), F.col(c).alias("text"), F.col("q").alias("tag")) for n, c in (("kept/", "q"), ("sorted/", "w"))])
+    """(block, probe, target, distance) of classes (block, q, w, v) whose questions, in one of their orders, are at most k edits apart; `cut` is the larger side."""
+    orders = F.array(*[F.struct(F.concat(F.lit(n), "block").alias("block"), F.col(c).alias("text"), F.col("q").alias("tag")) for n, c in (("kept/", "q"), ("sorted/", "w"), ("backwards/", "v"))])
     strings = lambda d: d.distinct().select(F.inline(orders))
     return segment_join(strings(cut), strings(emit), k).withColumn("block", F.expr("substr(block, instr(block, '/') + 1)"))
 
@@ -256,15 +258,15 @@ def class_overlaps(prepared: DataFrame, k_same_query: int = 6, k_question: int =
     both = base.filter("q IS NOT NULL AND s IS NOT NULL").select("*", key("source", "s", numbers).alias("block"), F.lit(False).alias("lacks"))
     query = base.filter("s IS NOT NULL").select("*", key("source", "s").alias("block"), F.col("q").isNull().alias("lacks")).withColumn("q", F.lit(""))
     question = base.filter("q IS NOT NULL").select("*", key("source", numbers).alias("block"), F.col("s").isNull().alias("lacks"))
-    cut, emit = both.filter("NOT is_train").select("block", "q", "w"), both.filter("is_train").select("block", "q", "w")
+    cut, emit = both.filter("NOT is_train").select("block", "q", "w", "v"), both.filter("is_train").select("block", "q", "w", "v")
     links = _met(cut, emit, k_same_query).select(F.lit("both").alias("run"), "block", F.col("probe").alias("e"), F.col("target").alias("t"), "distance")
     # an empty string in place of the questions: the block alone decides
     sides = query.groupBy("block").agg(F.bool_or(~F.col("is_train")).alias("e"), F.bool_or("is_train").alias("t"), F.bool_or("lacks").alias("l")).filter("e AND t AND l")
     links = links.unionByName(sides.select(F.lit("query").alias("run"), "block", F.lit("").alias("e"), F.lit("").alias("t"), F.lit(0).alias("distance")))
     # each kind of split meets only the other one, since the kind stands in the block: a class's own where it is cut, the other one where it emits
     kinds = lambda train: F.when(train, F.lit("t")).otherwise(F.lit("e"))
-    cut = question.select(key(kinds(F.col("is_train")), "block").alias("block"), "q", "w")
-    emit = question.filter("lacks").select(key(kinds(~F.col("is_train")), "block").alias("block"), "q", "w")
+    cut = question.select(key(kinds(F.col("is_train")), "block").alias("block"), "q", "w", "v")
+    emit = question.filter("lacks").select(key(kinds(~F.col("is_train")), "block").alias("block"), "q", "w", "v")
     met = _met(cut, emit, k_question).filter(slip("probe", "target"))
     cut_is_train = F.col("block").startswith("t")
     met = met.select(F.lit("question").alias("run"), F.expr("substr(block, 3)").alias("block"), F.when(cut_is_train, F.col("target")).otherwise(F.col("probe")).alias("e"), F.when(cut_is_train, F.col("probe")).otherwise(F.col("target")).alias("t"), "distance")
