@@ -18,6 +18,7 @@ PAGE_STARTS = ("skip to ", "list of ", "jump to ", "table of contents")
 #: Words of enrolment and of streets.
 ENROLMENT = r"(?i)\b(?:enrol(?:l|ment|led|ling|lment|lments|ments)?|learners?|students?|pupils?|attendees?|full[-\s]?time\s+equivalent|fte|head[-\s]?count|annually|per\s+year|per\s+annum|a\s+year)\b"
 STREET = r"(?i)\b(?:street|st|avenue|ave|road|rd|boulevard|blvd|drive|dr|lane|ln|way|court|ct|place|pl|square|sq|highway|hwy|parkway|pkwy|route|rte|crescent|cres|terrace|terr|circle|cir|trail|trl|suite|ste|floor|fl|unit|room|rm|building|bldg|apt|apartment|po\s*box|p\.?\s*o\.?\s*box)\b|\b[0-9]{5}(?:-[0-9]{4})?\b|\b[a-z][0-9][a-z]\s?[0-9][a-z][0-9]\b"
+#: What reads as a host.
 _HOST = r"(?i)\b[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\.[a-z0-9-]+)*\.[a-z]{2,24}\b"
 #: Words of attribute names by role.
 ROLE_WORDS = {"website": ("website", "url", "homepage", "webpage"), "city": ("city", "town"), "address": ("address", "street", "location")}
@@ -61,7 +62,8 @@ def is_placeholder(c: Column) -> Column:
     v = F.lower(F.trim(c))
     digits = F.regexp_replace(v, "[^0-9]", "")
     same = F.length(F.replace(digits, F.substring(digits, 1, 1), F.lit(""))) == 0
-    counting = F.lit("01234567890").contains(digits) | F.lit("09876543210").contains(digits)
+    up = "".join(str(i % 10) for i in range(11))  # counting, on from nine to nought
+    counting = F.lit(up).contains(digits) | F.lit(up[::-1]).contains(digits)
     numeric = v.rlike(r"^[0-9\s().+\-/]+$") & (F.length(digits) >= 6) & (same | counting)
     run = (F.length(v) >= 3) & v.rlike(r"^(?:x+|-+|\.+|_+|\*+|\?+|#+)$")
     return F.coalesce((v != "") & (v.isin(*[u for u in UNKNOWN if u]) | run | numeric), F.lit(False))

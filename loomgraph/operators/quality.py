@@ -63,6 +63,10 @@ def audit(quads: DataFrame, ontology: DataFrame) -> DataFrame:
     return out
 
 
+#: Categories of failures that are a query's fault.
+QUERY_FAULTS = ("bad_predicate_uri", "wrong_filter", "wrong_aggregation", "missing_join")
+
+
 def failure_class(expected: Column, answer: Column, query: Column, category: Column, explanation: Column) -> Column:
     """Struct of layer and kind of a wrong answer, by the first sign that holds; null if none does."""
     want = F.regexp_replace(expected, r"[^\d.\-]", "").try_cast("double")
@@ -74,7 +78,7 @@ def failure_class(expected: Column, answer: Column, query: Column, category: Col
         F.when(answer.contains("|") & ~answer.contains("HTTP"), is_("ingestion", "pipe_splitting"))
         .when((ratio > 0) & (ratio < 0.5), is_("ingestion", "missing_data"))
         .when(low.contains("case") & (low.contains("mismatch") | low.contains("sensitivity")), is_("ingestion", "normalization"))
-        .when(category.isin("bad_predicate_uri", "wrong_filter", "wrong_aggregation", "missing_join"), is_("query", category))
+        .when(category.isin(*QUERY_FAULTS), is_("query", category))
         .when((category == "empty_result") | (answer == "No results found."), is_("query", "empty_result"))
         .when(category == "uri_instead_of_value", is_("query", "uri_instead_of_value"))
         .when(query.isNull() | (F.length(F.trim(query)) < 20), is_("query", "generation_failure"))

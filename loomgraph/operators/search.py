@@ -9,7 +9,11 @@ from ..functions.text import cosine, lexical_score
 
 def lexical_rank(df: DataFrame, key: str, text: str, query: list[str], k: int = 50) -> DataFrame:
     """The k best texts by lexical score; ties by key. One bounded top-k, no global sort."""
-    return df.select(key, lexical_score(query, F.coalesce(F.col(text), F.lit(""))).alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
+    # most texts hold none of the words and need not be cut into words at all
+    some = F.lit(False)
+    for q in query:
+        some = some | F.lower(text).contains(q)
+    return df.filter(some).select(key, lexical_score(query, F.col(text)).alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
 def vector_rank(df: DataFrame, key: str, vector: str, query: list[float], k: int = 50) -> DataFrame:
