@@ -140,7 +140,7 @@ class Organisations:
 
 # --- people
 
-#: Short and pet forms of given names (each to one full form).
+#: Common short and pet forms of given names, each to one full form: a default, for which a table of one's own may be given.
 PET_NAMES = {
     "bob": "robert", "rob": "robert", "bobby": "robert", "bill": "william", "will": "william", "billy": "william", "liam": "william", "dick": "richard", "rick": "richard", "rich": "richard", "ben": "benjamin", "benny": "benjamin", "paco": "francisco", "pancho": "francisco",
     "pepe": "jose", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "eliza": "elizabeth", "debbie": "deborah", "deb": "deborah", "vicky": "victoria", "vicki": "victoria", "tori": "victoria", "sue": "susanna", "susie": "susanna", "suzy": "susanna", "susan": "susanna",
@@ -149,10 +149,16 @@ PET_NAMES = {
     "becky": "rebecca", "becca": "rebecca", "leo": "leonard", "len": "leonard", "lenny": "leonard", "lupe": "guadalupe", "lupita": "guadalupe", "dan": "daniel", "danny": "daniel", "dave": "david", "jim": "james", "jimmy": "james", "joe": "joseph", "jack": "john", "johnny": "john", "steve": "stephen", "tony": "anthony", "nick": "nicholas", "matt": "matthew", "andy": "andrew", "drew": "andrew",
     "charlie": "charles", "chuck": "charles", "hank": "henry", "harry": "henry", "larry": "lawrence", "ron": "ronald", "ken": "kenneth", "jeff": "jeffrey", "cathy": "catherine", "cindy": "cynthia", "mandy": "amanda", "sandy": "sandra", "barb": "barbara", "nico": "nicolas", "kiko": "francisco", "gio": "giorgio", "darek": "dariusz", "quin": "quentin", "xio": "xiomara", "wilma": "wilhelmina",
 }
-#: Initials that stand for a full name by one of its pet names.
-PET_INITIALS: dict[str, set[str]] = {}
-for _pet, _full in PET_NAMES.items():
-    PET_INITIALS.setdefault(_full, set()).add(_pet[0])
+
+
+def pet_initials(pets: dict[str, str]) -> dict[str, set[str]]:
+    """Initials that stand for a full name by one of its pet names."""
+    out: dict[str, set[str]] = {}
+    for pet, full in pets.items():
+        out.setdefault(full, set()).add(pet[0])
+    return out
+
+
 #: Titles and credentials.
 TITLES = frozenset("dr prof mr mrs ms miss sir md do np pa dpt phd rn dds dmd msn aprn fnp pt od dvm jr sr ii iii iv esq facp facs".split())
 _NAME_TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
@@ -169,7 +175,7 @@ def person_tokens(name: str | None) -> list[str]:
     return rest + last if rest else last
 
 
-def person_name(name: str | None, given_names: set[str], memo: dict | None = None) -> tuple[str, tuple[str, ...]]:
+def person_name(name: str | None, given_names: set[str], memo: dict | None = None, pets: dict[str, str] = PET_NAMES) -> tuple[str, tuple[str, ...]]:
     """(surname with its parts in order of the alphabet, given names and initials in order); given names are known words or one slip from one, whichever place they have."""
     tokens = person_tokens(name)
     memo = {} if memo is None else memo
@@ -179,13 +185,13 @@ def person_name(name: str | None, given_names: set[str], memo: dict | None = Non
             given.append(w)
             continue
         if w not in memo:
-            full = PET_NAMES.get(w, w)
-            if full in given_names or w in given_names or w in PET_NAMES:
+            full = pets.get(w, w)
+            if full in given_names or w in given_names or w in pets:
                 memo[w] = full
             elif "-" not in w and len(w) >= 3:
                 near = [(d, abs(len(g) - len(w)), g) for g in given_names if (g[0] == w[0] or g[-1] == w[-1]) and abs(len(g) - len(w)) <= 2 and (letters(g) ^ letters(w)).bit_count() <= 4 and (d := slips(w, g, 1 if len(w) < 8 else 2)) is not None and (len(g) > 3 or d == 0)]
                 if not near:  # a slip in a pet name
-                    near = [(1, 0, full) for pet, full in PET_NAMES.items() if len(pet) >= 5 and pet[-1] == w[-1] and alike(w, pet, 1)]
+                    near = [(1, 0, full) for pet, full in pets.items() if len(pet) >= 5 and pet[-1] == w[-1] and alike(w, pet, 1)]
                 memo[w] = min(near)[2] if near else None
             else:
                 memo[w] = None
@@ -204,6 +210,13 @@ def person_name(name: str | None, given_names: set[str], memo: dict | None = Non
 class People:
     """Keys and matches of people's forms: tab-separated surname, given, city, state, phone, organisation, registry number."""
 
+    initials = pet_initials(PET_NAMES)
+
+    @classmethod
+    def knowing(cls, pets: dict[str, str]) -> type[People]:
+        """The same with other pet names."""
+        return type(cls.__name__, (cls,), {"initials": pet_initials(pets)})
+
     @staticmethod
     def parse(forms: list[str]) -> dict:
         rows = [f.split("\t") for f in forms]
@@ -257,13 +270,13 @@ class People:
         first = lambda p: {g[0] for g in p["given"] if g and len(g[0]) > 1}
         return bool(first(a) & first(b)) and any(min(len(x), len(y)) >= 5 and alike(x, y, 2) for x in a["surname"] for y in b["surname"])
 
-    @staticmethod
-    def _one_given(x: str, y: str) -> bool:
+    @classmethod
+    def _one_given(cls, x: str, y: str) -> bool:
         if x == y:
             return True
         if len(x) == 1 or len(y) == 1:
             initial, name = (x, y) if len(x) == 1 else (y, x)
-            return initial == name[0] or initial in PET_INITIALS.get(name, ())
+            return initial == name[0] or initial in cls.initials.get(name, ())
         return alike(x, y, 1)
 
     @classmethod
@@ -390,7 +403,7 @@ def resolve_organisations(df: DataFrame, id_col: str, name: str, **options) -> D
     return spellings.join(forms, "form").join(entities, "fid").select("spelling", "row_id", "entity")
 
 
-def given_names(df: DataFrame, name: str, share: float = 0.005, least: int = 8) -> set[str]:
+def given_names(df: DataFrame, name: str, share: float = 0.005, least: int = 8, pets: dict[str, str] = PET_NAMES) -> set[str]:
     """Words of people's names that stand in at least `share` of the rows (so at most a bounded number): given names and middle names."""
 
     @F.pandas_udf("array<string>")
@@ -399,12 +412,12 @@ def given_names(df: DataFrame, name: str, share: float = 0.005, least: int = 8)
 
     n = df.count()
     counts = df.select(F.explode(words(name)).alias("w")).groupBy("w").count().filter(F.col("count") >= max(least, share * n))
-    return {r[0] for r in counts.collect()} | set(PET_NAMES.values())
+    return {r[0] for r in counts.collect()} | set(pets.values())
 
 
-def resolve_people(df: DataFrame, id_col: str, name: str, city: str, state: str, phone: str, organisation: str, registry: str, organisations: DataFrame, **options) -> DataFrame:
-    """(row_id, entity) for all rows with a name. organisations: result of resolve_organisations on the same table."""
-    known = given_names(df, name)
+def resolve_people(df: DataFrame, id_col: str, name: str, city: str, state: str, phone: str, organisation: str, registry: str, organisations: DataFrame, pets: dict[str, str] = PET_NAMES, **options) -> DataFrame:
+    """(row_id, entity) for all rows with a name. organisations: result of resolve_organisations on the same table; pets: short forms of given names and their full ones."""
+    known = given_names(df, name, pets=pets)
 
     @F.pandas_udf("string")
     def form(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -413,7 +426,7 @@ def resolve_people(df: DataFrame, id_col: str, name: str, city: str, state: str,
         for names, cities, states, phones, orgs, numbers in batches:
             out = []
             for n, c, s, p, o, r in zip(names, cities, states, phones, orgs, numbers):
-                surname, given = person_name(n, known, memo) if isinstance(n, str) else ("", ())
+                surname, given = person_name(n, known, memo, pets) if isinstance(n, str) else ("", ())
                 if len(memo) > 200_000:
                     memo.clear()
                 digits = re.sub(r"\D", "", p)[-10:] if isinstance(p, str) else ""
@@ -424,5 +437,5 @@ def resolve_people(df: DataFrame, id_col: str, name: str, city: str, state: str,
     rows = df.select(F.col(id_col).alias("row_id"), name, city, state, phone, organisation, registry).join(orgs, organisation, "left")
     rows = materialize(rows.select("row_id", form.asNondeterministic()(name, city, state, phone, "_org", registry).alias("form")).filter("form IS NOT NULL"), "people")
     forms = materialize(rows.groupBy("form").agg(F.min("row_id").alias("fid")), "forms")
-    entities = merge_and_rematch(forms.select("fid", "form"), People, **options)
+    entities = merge_and_rematch(forms.select("fid", "form"), People if pets is PET_NAMES else People.knowing(pets), **options)
     return rows.join(forms, "form").join(entities, "fid").select("row_id", "entity")

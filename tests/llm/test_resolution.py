@@ -46,6 +46,14 @@ def test_people():
     assert person_name("Jwnny Oakmere", {"jennifer"})[1] == ("jennifer",)
 
 
+def test_pet_names_are_a_parameter(spark):
+    assert person_name("Zed Oakmere", {"zedekiah"}, pets={"zed": "zedekiah"}) == ("oakmere", ("zedekiah",)) and People.knowing({"zed": "yedekiah"})._one_given("z", "yedekiah") and not People._one_given("z", "yedekiah")
+    rows = [(1, "Zed Zondrivane", "Oakmere", "TX", None, None, None), (2, "Zedekiah Zondrivane", "Oakmere", "TX", None, None, None)]
+    df = spark.createDataFrame(rows, "record_id long, full_name string, city string, state string, phone string, hospital string, npi string")
+    found = lambda pets: {r.entity for r in resolve_people(df, "record_id", "full_name", "city", "state", "phone", "hospital", "npi", resolve_organisations(df, "record_id", "hospital"), pets=pets).collect()}
+    assert found({"zed": "zedekiah"}) == {1} and found({"bob": "robert"}) == {1, 2}
+
+
 def test_rows(spark):
     schema = "record_id long, full_name string, city string, state string, phone string, hospital string, npi string, entity string"
     h = "Zondrivane Mulberrick Memorial Hospital"
