@@ -138,7 +138,17 @@ _UNIT = "cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(rad
 _KNOWN = lambda field: f"(SELECT list(term) FROM known_terms WHERE field {field})"
 _SQL_PIECES = "list_transform(list_filter(string_split_regex(v, p), lambda x: trim(x) <> ''), lambda x: CASE WHEN length(trim(x)) > 1 AND starts_with(trim(x), '\"') AND suffix(trim(x), '\"') THEN trim(regexp_replace(replace(substr(trim(x), 2, length(trim(x)) - 2), '\"\"', '\"'), '\\\\(.)', '\\1', 'g')) WHEN length(trim(x)) > 1 AND starts_with(trim(x), chr(39)) AND suffix(trim(x), chr(39)) THEN trim(substr(trim(x), 2, length(trim(x)) - 2)) ELSE trim(x) END)"
 _CANDIDATES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS delimiter, '{p}' AS p" for n, p in CANDIDATES)
+#: The declared attributes of shops by datatype, for the SQL of the wide table.
+_DECLARED = {
+    "DOUBLE": "rating wifi_speed_mbps espresso_price drip_price floor_area_m2 delivery_radius_km water_hardness",
+    "DECIMAL(38,0)": "seat_count review_count inspection_score bike_racks annual_beans_kg parking_spots queue_minutes",
+    "BOOLEAN": "outdoor_seating accepts_cards pet_friendly drive_through has_roaster loyalty_program live_music",
+    "TIMESTAMP": "opened_on last_inspected closed_on renewed_on",
+    "VARCHAR": "price_level address name phone website location owner_name menu_url neighborhood branch_of noise_level license_no mascot",
+}
+_WIDE = ", ".join(f"max(CASE WHEN name = '{n}' THEN TRY_CAST(value AS {t}) END) AS \"{n}\"" for t, names in _DECLARED.items() for n in names.split())
 ORACLE = {
+    "p2_wide": f"WITH {_CELLS}, best AS (SELECT id, name, value FROM read WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY ts DESC, i DESC) = 1) SELECT k.id, {_WIDE} FROM (SELECT DISTINCT id FROM coffee_shops WHERE id IS NOT NULL) k LEFT JOIN (SELECT id AS bid, name, value FROM best) ON bid = k.id GROUP BY k.id",
     "p1_delimiters": f"""WITH c AS ({_CANDIDATES_SQL}), r AS (SELECT 'raw_value/' || attribute AS source, regexp_replace(raw_value, '[\\s]', ' ', 'g') AS t, raw_value AS v, {_KNOWN("IN ('categories', 'amenities', 'roasts')")} AS terms FROM coffee_shops_facts WHERE attribute IN ('categories', 'amenities', 'roasts') AND trim(raw_value) <> '' UNION ALL SELECT 'specialty/' || feed, '', specialty, {_KNOWN("= 'specialty'")} FROM healthcare_providers WHERE trim(specialty) <> ''),
         x AS (SELECT source, delimiter, {_SQL_PIECES} AS pieces, terms FROM r JOIN c ON regexp_matches(v, p)), y AS (SELECT source, delimiter, len(pieces) AS n, len(list_filter(pieces, lambda z: list_contains(terms, z))) AS k FROM x),
         z AS (SELECT source, delimiter, count(*) AS n_rows, sum(n) AS pieces, sum(n * n) AS squares, sum(k) AS regular FROM y GROUP BY 1, 2), w AS (SELECT source, delimiter, n_rows, CASE WHEN pieces > 0 THEN 1.0 / (1.0 + sqrt(greatest(0.0, squares / n_rows - (pieces / n_rows) * (pieces / n_rows))) / (pieces / n_rows)) * (regular / pieces) ELSE 0.0 END AS s FROM z)

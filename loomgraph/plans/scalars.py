@@ -134,7 +134,14 @@ QUERIES = {f.__name__: f for f in (slug, snake_pascal, name_normal_form, email_n
 
 _TRIM = r"regexp_replace(raw_value, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')"
 _FLOAT = f"CASE WHEN regexp_matches({_TRIM}, '^[-+]?[0-9]{{1,3}}(,[0-9]{{3}})+\\.[0-9]+$') THEN replace({_TRIM}, ',', '') WHEN regexp_matches({_TRIM}, '^[-+]?[0-9]+,[0-9]+$') THEN replace({_TRIM}, ',', '.') WHEN regexp_matches({_TRIM}, '^[-+]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][-+]?[0-9]+)?$') THEN {_TRIM} END"
+_WS = " || ".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_LAST = lambda mark: f"CASE WHEN contains(w, {mark}) THEN length(w) - strpos(reverse(w), reverse({mark})) + 1 - length({mark}) ELSE -1 END"
 ORACLE = {
+    "text_chunks": f"""WITH RECURSIVE d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND text <> ''), s AS (SELECT doc_id, -1 AS ix, 0 AS pos, CAST(NULL AS VARCHAR) AS piece FROM d UNION ALL
+        SELECT doc_id, ix + 1, CAST(pos + e + length(substr(text, pos + e + 1)) - length(ltrim(substr(text, pos + e + 1), {_WS})) AS INTEGER), substr(text, pos + 1, e) FROM (
+        SELECT *, CAST(CASE WHEN length(text) - pos <= 2048 THEN length(text) - pos WHEN k1 >= 1024 THEN k1 WHEN k2 >= 1024 THEN k2 + 1 WHEN k3 >= 1024 THEN k3 + 1 WHEN k4 >= 1024 THEN k4 + 1 WHEN k5 >= 1024 THEN k5 WHEN k6 >= 1024 THEN k6 ELSE 2048 END AS INTEGER) AS e FROM (
+        SELECT *, {_LAST("chr(10) || chr(10)")} AS k1, {_LAST("'. '")} AS k2, {_LAST("'! '")} AS k3, {_LAST("'? '")} AS k4, {_LAST("chr(10)")} AS k5, {_LAST("' '")} AS k6 FROM (SELECT s.doc_id, ix, pos, text, substr(text, pos + 1, 2048) AS w FROM s JOIN d ON d.doc_id = s.doc_id WHERE pos < length(text)))))
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS INTEGER) AS chunk_ix, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS hash FROM (SELECT doc_id, ix, trim(piece, {_WS}) AS t FROM s WHERE ix >= 0) WHERE t <> ''""",
     "slug": "SELECT c_custkey, substr(regexp_replace(trim(c_name), '[^a-zA-Z0-9_-]', '_', 'g'), 1, 200) AS slug FROM customer",
     "snake_pascal": """SELECT p_partkey, lower(trim(regexp_replace(trim(p_name), '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS snake,
         list_aggregate(list_transform(string_split(lower(trim(regexp_replace(trim(p_type), '[^a-zA-Z0-9]+', '_', 'g'), '_')), '_'), lambda p: upper(p[1]) || p[2:]), 'string_agg', '') AS pascal FROM part""",
