@@ -110,19 +110,20 @@ def source_phrase(source: str | None) -> str | None:
     return " ".join(words) if len(words) > 1 else None
 
 
-def note_phrases(labelled: list[tuple[str, set[str], str | None]], n: int = 4, least: int = 3, purity: float = 0.9) -> frozenset[str]:
-    """Turns of n words that stand beside the names of sources: in at least `least` documents, and nearly always in such sentences."""
-    sources = {p for _, _, s in labelled if (p := source_phrase(s))}
+def note_phrases(labelled: list[tuple[str, set[str], str | None]], sentences: list[list[list[str]]] | None = None, n: int = 4, least: int = 3, purity: float = 0.9) -> frozenset[str]:
+    """Turns of n words that stand beside the names of sources: in at least `least` documents, and nearly always in such sentences. sentences: the words of each text's sentences, if they are known."""
+    by_first: dict[str, list[list[str]]] = {}
+    for p in {p for _, _, s in labelled if (p := source_phrase(s))}:
+        by_first.setdefault(p.split()[0], []).append(p.split())
+    named_in = lambda w: {x for i, first in enumerate(w) if first in by_first for p in by_first[first] if w[i : i + len(p)] == p for x in p}
     beside, anywhere = Counter(), Counter()
-    for text, _, _ in labelled:
+    for sents in sentences if sentences is not None else [sentence_words(text or "") for text, _, _ in labelled]:
         here: set[str] = set()
-        for w in sentence_words(text or ""):
-            line = f" {' '.join(w)} "
-            runs = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
-            anywhere.update(runs)
-            if any(f" {s} " in line for s in sources):
-                named = {x for s in sources if f" {s} " in line for x in s.split()}
-                here |= {r for r in runs if not named & set(r.split())}
+        for w in sents:
+            runs = [w[i : i + n] for i in range(len(w) - n + 1)]
+            anywhere.update({" ".join(r) for r in runs})
+            if named := named_in(w):
+                here |= {" ".join(r) for r in runs if not named & set(r)}
         beside.update(here)
     return frozenset(r for r, c in beside.items() if c >= least and c >= purity * anywhere[r])
 
@@ -131,7 +132,8 @@ def fit(labelled: list[tuple[str, set[str], str | None]], rounds: int = 4, least
     """labelled: text, its subjects and its source. The last `held_out` of them calibrate the thresholds and are not fitted on."""
     labelled = [x for x in labelled if x[0] and x[1]]
     n_fit = len(labelled) - int(len(labelled) * held_out)
-    model = fit_terms(labelled[:n_fit], note_phrases(labelled), rounds, least_documents, purity, gain, floor)
+    sentences = [sentence_words(t) for t, _, _ in labelled]
+    model = fit_terms(labelled[:n_fit], sentences[:n_fit], note_phrases(labelled, sentences), rounds, least_documents, purity, gain, floor)
     model.thresholds = calibrated([(model.shares(t, source_phrase(src)), s) for t, s, src in labelled[n_fit:]])
     return model
 
@@ -152,10 +154,10 @@ def calibrated(shares: list[tuple[dict[str, float], set[str]]], least: int = 30,
     return out
 
 
-def fit_terms(labelled: list[tuple[str, set[str], str | None]], notes: frozenset[str], rounds: int, least_documents: int, purity: float, gain: float, floor: float) -> SubjectModel:
+def fit_terms(labelled: list[tuple[str, set[str], str | None]], sentences: list[list[list[str]]], notes: frozenset[str], rounds: int, least_documents: int, purity: float, gain: float, floor: float) -> SubjectModel:
     """The terms of each subject and their weights."""
     is_note = lambda w, own: (own and f" {own} " in w) or any(f" {n} " in w for n in notes)
-    texts = [([w for w in sentence_words(t) if not is_note(f" {' '.join(w)} ", source_phrase(src))], s) for t, s, src in labelled]
+    texts = [([w for w in sents if not is_note(f" {' '.join(w)} ", own)], s) for (_, s, src), sents in zip(labelled, sentences) for own in [source_phrase(src)]]
     df: Counter = Counter()
     for sents, _ in texts:
         df.update({t for w in sents for t in terms_of(w)})
