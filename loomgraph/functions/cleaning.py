@@ -11,7 +11,10 @@ from pyspark.sql import Column, functions as F
 from .text import TOP_DOMAINS
 
 #: Words for "unknown" that a cleaning policy drops.
-UNKNOWN = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "nan", "unknown", "tbd")
+UNKNOWN = ("", "-", "--", "n/a", "na", "n.a.", "nil", "none", "null", "unknown", "unspecified", "not available", "not applicable")
+#: Whole values that are made up, and marks of which a run of three or more is.
+FILLERS = ("n/a", "n.a.", "null", "unknown", "unspecified", "undefined", "not available", "not applicable", "no data", "no value", "tbd", "tba", "test", "placeholder")
+FILLER_RUN = r"^(?:x{3,}|-{3,}|_{3,}|\.{3,}|\?{3,}|\*{3,}|#{3,})$"
 #: Names and beginnings of names that are navigation of a page.
 PAGE_NAMES = ("about", "about us", "contact", "contact us", "home", "menu", "search", "overview", "news", "events", "gallery", "references", "see also", "external links", "further reading", "navigation", "sitemap", "site map", "log in", "login", "sign in", "sign up", "register", "privacy policy", "terms of service", "terms of use", "cookie policy", "back to top", "read more", "learn more", "help", "support", "faq", "faqs")
 PAGE_STARTS = ("skip to ", "list of ", "jump to ", "table of contents")
@@ -65,8 +68,7 @@ def is_placeholder(c: Column) -> Column:
     up = "".join(str(i % 10) for i in range(11))  # counting, on from nine to nought
     counting = F.lit(up).contains(digits) | F.lit(up[::-1]).contains(digits)
     numeric = v.rlike(r"^[0-9\s().+\-/]+$") & (F.length(digits) >= 6) & (same | counting)
-    run = (F.length(v) >= 3) & v.rlike(r"^(?:x+|-+|\.+|_+|\*+|\?+|#+)$")
-    return F.coalesce((v != "") & (v.isin(*[u for u in UNKNOWN if u]) | run | numeric), F.lit(False))
+    return F.coalesce((v != "") & (v.isin(*FILLERS) | v.rlike(FILLER_RUN) | numeric), F.lit(False))
 
 
 def is_grounded(value: Column, source: Column) -> Column:
@@ -175,12 +177,17 @@ def json_objects(c: Column) -> Column:
     return F.coalesce(F.filter(F.from_json(body, "array<string>"), lambda x: x.startswith("{")), F.array().cast("array<string>"))
 
 
-def datatype_of_xsd(c: Column) -> Column:
-    """Declared datatype of the IRI of a literal's type."""
-    leaf = F.regexp_extract(c, r"[#/:]([A-Za-z]+)$", 1)
-    return F.when(leaf.isin("integer", "int", "long"), "integer").when(leaf.isin("float", "double", "decimal"), "float").when(leaf == "boolean", "boolean").when(leaf.isin("dateTime", "date"), "datetime").when(leaf == "wktLiteral", "geo").when(leaf == "anyURI", "uri").otherwise("string")
+#: Last parts of the IRIs of ranges and the datatypes they declare.
+RANGES = {"integer": "integer", "float": "float", "boolean": "boolean", "dateTime": "datetime", "Resource": "uri", "wktLiteral": "geo"}
 
 
-def wider_datatype(declared: Column, seen: Column) -> Column:
-    """The datatype a declaration keeps: never narrower than declared; text takes all, floats take integers."""
-    return F.when(declared.isNull() | (declared == seen), seen).when((declared == "float") & (seen == "integer"), "float").when((declared == "integer") & (seen == "float"), "float").otherwise("string")
+def datatype_of_range(c: Column) -> Column:
+    """Declared datatype of a range's IRI: a datatype, the type of entity it points at, or string."""
+    known = F.create_map(*[F.lit(x) for kv in RANGES.items() for x in kv])
+    entity = F.regexp_extract(c, "(?:^|/)types/([^/]+)/?$", 1)
+    return F.when(entity != "", entity).otherwise(F.coalesce(F.element_at(known, F.regexp_extract(c, "#([A-Za-z]+)$", 1)), F.lit("string")))
+
+
+def kept_datatype(declared: Column, seen: Column) -> Column:
+    """The datatype a declaration keeps: its own unless it is none or string, since what is declared more richly is never taken back."""
+    return F.when(declared.isNull() | (declared == "string"), seen).otherwise(declared)

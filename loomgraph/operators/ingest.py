@@ -101,15 +101,15 @@ def conservation(df: DataFrame, facts: DataFrame, entities: list[EntitySpec]) ->
 
 
 def resolve_attributes(incoming: DataFrame, declared: DataFrame) -> DataFrame:
-    """(name, action, resolved): each incoming (name, datatype) reuses the declared attribute of its key, takes part in it under another name, or is new; another datatype widens."""
-    from ..functions.cleaning import wider_datatype
+    """(name, action, resolved): each incoming (name, datatype) reuses the declared attribute of its key, takes part in it under another name, or is new; what is declared keeps its datatype."""
+    from ..functions.cleaning import kept_datatype
     from ..functions.schema_text import attribute_key, without_idle_prefix
 
     k = lambda c: without_idle_prefix(attribute_key(F.col(c)))
     d = declared.select(F.col("name").alias("known"), F.col("datatype").alias("kind"), k("name").alias("k")).groupBy("k").agg(F.min_by(F.struct("known", "kind"), "known").alias("d"))
     both = incoming.select("name", "datatype", k("name").alias("k")).join(d, "k", "left")
     action = F.when(F.col("d").isNull(), "new").when(F.col("d.known") == F.col("name"), "reuse").otherwise("rename")
-    return both.select("name", action.alias("action"), F.coalesce("d.known", "name").alias("resolved"), wider_datatype(F.col("d.kind"), F.col("datatype")).alias("datatype"))
+    return both.select("name", action.alias("action"), F.coalesce("d.known", "name").alias("resolved"), kept_datatype(F.col("d.kind"), F.col("datatype")).alias("datatype"))
 
 
 def upsert_declarations(declared: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -121,7 +121,7 @@ def tier_of(attributes: Column, web: list[str], structured: list[str]) -> Column
     return F.when(F.arrays_overlap(low, F.array(*[F.lit(w) for w in web])), "core").when(F.size(F.array_except(low, F.array(*[F.lit(w) for w in structured]))) == 0, "lite").otherwise("core")
 
 
-def halt_reason(status: Column, message: Column, spend: Column, ceiling: float) -> Column:
-    """Why a run must stop: no credit, no access, the ceiling of cost; null if it may go on."""
-    low = F.lower(message)
-    return F.when((status == 402) | low.contains("credit"), "no_credit").when(status.isin(401, 403), "no_access").when(spend > ceiling, "ceiling")
+def halt_reason(status: Column, sustained: Column, timed_out: Column, spend: Column, ceiling: float) -> Column:
+    """Why a run must stop: its ceiling of cost, then what the service answered (no credit, limits that last, no access), a timeout, another error; null if it may go on. A single limit is none."""
+    limited = F.coalesce(sustained, F.lit(False))
+    return F.when(spend > ceiling, "cost_ceiling").when(status == 402, "billing").when((status == 429) & limited, "rate_limit").when(status == 401, "auth").when(timed_out, "timeout").when((status >= 400) & (status != 429), "error")

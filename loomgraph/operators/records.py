@@ -54,17 +54,10 @@ def corrections(claims: DataFrame, asserted: DataFrame, keys: list[str], value:
     return out.select(*keys, F.when(takes, F.col("_new")).otherwise(F.col(value)).alias(value), F.when(takes, F.lit(level)).otherwise(F.col("authority")).alias("authority"), "action")
 
 
-def recency_decides(policy: dict[tuple[str | None, str | None], bool], type_name: Column, attribute: Column, default: bool = False) -> Column:
-    """Whether a later value supersedes for (type, attribute): the rule of both, else of the attribute, else of the type, else the default."""
-    out = F.lit(default)
-    for level in (1, 2, 3):  # type, attribute, both: later ones win
-        for (t, a), yes in policy.items():
-            if level == (t is not None) + 2 * (a is not None):
-                cond = F.lit(True)
-                cond = cond & (type_name == t) if t is not None else cond
-                cond = cond & (attribute == a) if a is not None else cond
-                out = F.when(F.coalesce(cond, F.lit(False)), F.lit(yes)).otherwise(out)
-    return out
+def recency_decides(type_name: Column, attribute: Column, multivalued: list[tuple[str, str]] = (), single: list[tuple[str, str]] = (), default_multivalued: bool = False) -> Column:
+    """Whether a later value supersedes the earlier one, by (type, attribute): always where it is said to hold one value, never where it is said to hold several, else by the default, which is one."""
+    named = lambda pairs: F.array_contains(F.array(*[F.lit(f"{t}\u0001{a}") for t, a in pairs]), F.concat_ws("\u0001", type_name, attribute)) if pairs else F.lit(False)
+    return F.when(named(single), True).when(named(multivalued), False).otherwise(F.lit(not default_multivalued))
 
 
 def citations(answers: DataFrame, provenance: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,7 +52,8 @@ def type_cascade(pairs: DataFrame, cache: DataFrame, same: float = 0.92, differe
 
 
 #: Parts of attributes' names that tell what kind of signal they hold.
-SIGNALS = {"email": ("email", "e_mail"), "phone": ("phone", "mobile", "tel"), "address": ("address", "street"), "dob": ("dob", "birth")}
+SIGNALS = {"email": ("email", "e-mail", "e_mail", "mail_address"), "phone": ("phone", "mobile", "tel", "contact_number"), "address": ("address", "street", "addr"), "dob": ("dob", "birth", "date_of_birth")}
+WHOLE_NAMES = ("guest_name", "full_name", "member_name", "contact_name", "customer_name", "name")
 FIRST_NAMES, LAST_NAMES = ("first_name", "given_name", "firstname", "forename"), ("last_name", "family_name", "surname", "lastname")
 
 
@@ -62,7 +63,7 @@ def signals(cells: DataFrame, entity: str) -> DataFrame:
     has = lambda parts: F.greatest(*[n.contains(p) for p in parts]) if len(parts) > 1 else n.contains(parts[0])
     pick = lambda parts: F.min_by(v, F.when(has(parts) & v.isNotNull(), n))
     out = cells.groupBy(entity).agg(
-        pick(FIRST_NAMES).alias("_f"), pick(LAST_NAMES).alias("_l"), F.min_by(v, F.when(n.contains("name") & ~has(FIRST_NAMES) & ~has(LAST_NAMES) & v.isNotNull(), n)).alias("_n"),
+        pick(FIRST_NAMES).alias("_f"), pick(LAST_NAMES).alias("_l"), F.min_by(v, F.when(has(WHOLE_NAMES) & ~has(FIRST_NAMES) & ~has(LAST_NAMES) & v.isNotNull(), n)).alias("_n"),
         F.array_sort(F.collect_set(F.when(has(SIGNALS["email"]), F.lower(v)))).alias("emails"), *[pick(SIGNALS[s]).alias(s) for s in ("phone", "address", "dob")],
     )
     both = F.when(F.col("_f").isNotNull() | F.col("_l").isNotNull(), F.concat_ws(" ", "_f", "_l"))

@@ -13,7 +13,7 @@ def typed_literals(spark: SparkSession, root: str) -> DataFrame:
     c = table(spark, root, "customer")
     v = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.col("c_acctbal").cast("string"), F.lit("^^http://www.w3.org/2001/XMLSchema#float"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("a^^b"), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("<entities/Customer/"), F.col("c_custkey").cast("string"), F.lit(">")))
     t = cl.typed_literal(v)
-    return c.select("c_custkey", t["lexical"].alias("lexical"), cl.datatype_of_xsd(t["datatype"]).alias("datatype"), cl.lexical_form(v).alias("form"))
+    return c.select("c_custkey", t["lexical"].alias("lexical"), cl.datatype_of_range(t["datatype"]).alias("datatype"), cl.lexical_form(v).alias("form"))
 
 
 def clean_policies(spark: SparkSession, root: str) -> DataFrame:
@@ -99,20 +99,20 @@ def tolerant_json(spark: SparkSession, root: str) -> DataFrame:
 
 
 def declared_datatypes(spark: SparkSession, root: str) -> DataFrame:
-    """What a declaration becomes when values of another datatype turn up."""
+    """What a declaration becomes when values of another datatype turn up: richer ones stay."""
     d = table(spark, root, "attribute_declarations").select("name", "datatype", F.explode(F.array(F.lit("integer"), F.lit("float"), F.lit("string"))).alias("seen"))
-    return d.select("name", "seen", cl.wider_datatype(F.col("datatype"), F.col("seen")).alias("kept"))
+    return d.select("name", "seen", cl.kept_datatype(F.col("datatype"), F.col("seen")).alias("kept"))
 
 
 QUERIES = {f.__name__: f for f in (typed_literals, clean_policies, placeholders, grounded_values, cell_faults, screened_rows, alias_pairs, scalar_cells, label_ladder, loose_matches, lookup_keys, envelope_ids, safe_iris, tolerant_json, declared_datatypes)}
 
 _TITLE = "lower(title)"
-_IN = lambda v: f"(NOT (lower(trim({v})) IN ('-', '--', '?', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'tbd')) AND ((length(trim({v})) >= 3 AND contains({_TITLE}, lower(trim({v})))) OR (length(regexp_replace({v}, '[^0-9]', '', 'g')) >= 3 AND contains(regexp_replace(title, '[^0-9]', '', 'g'), regexp_replace({v}, '[^0-9]', '', 'g'))) OR (length(regexp_replace(lower({v}), '[^a-z0-9]', '', 'g')) >= 3 AND contains(regexp_replace({_TITLE}, '[^a-z0-9]', '', 'g'), regexp_replace(lower({v}), '[^a-z0-9]', '', 'g')))))"
+_IN = lambda v: f"(NOT (lower(trim({v})) IN ('n/a', 'n.a.', 'null', 'unknown', 'unspecified', 'undefined', 'not available', 'not applicable', 'no data', 'no value', 'tbd', 'tba', 'test', 'placeholder')) AND ((length(trim({v})) >= 3 AND contains({_TITLE}, lower(trim({v})))) OR (length(regexp_replace({v}, '[^0-9]', '', 'g')) >= 3 AND contains(regexp_replace(title, '[^0-9]', '', 'g'), regexp_replace({v}, '[^0-9]', '', 'g'))) OR (length(regexp_replace(lower({v}), '[^a-z0-9]', '', 'g')) >= 3 AND contains(regexp_replace({_TITLE}, '[^a-z0-9]', '', 'g'), regexp_replace(lower({v}), '[^a-z0-9]', '', 'g')))))"
 _ODD = "CASE fact_id % 7 WHEN 0 THEN 'Skip to content' WHEN 1 THEN '1998 intake' WHEN 2 THEN '14,000 learners annually' WHEN 3 THEN 'www.shop.example' WHEN 4 THEN '-- !' ELSE raw_value END"
 ORACLE = {
     "typed_literals": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN CAST(c_acctbal AS VARCHAR) WHEN 1 THEN 'a^^b' || c_custkey ELSE '<entities/Customer/' || c_custkey || '>' END AS lexical, CASE WHEN c_custkey % 3 = 0 THEN 'float' ELSE 'string' END AS datatype, CASE c_custkey % 3 WHEN 0 THEN CAST(c_acctbal AS VARCHAR) WHEN 1 THEN 'a' ELSE 'entities/Customer/' || c_custkey END AS form FROM customer",
-    "clean_policies": r"WITH c AS (SELECT record_id, nfc_normalize(specialty) AS s, lower(regexp_replace(trim(nfc_normalize(specialty)), '\s+', ' ', 'g')) AS v FROM healthcare_providers) SELECT record_id, CASE WHEN s IS NULL OR lower(trim(s)) IN ('', '-', '--', '?', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'tbd') THEN NULL ELSE v END AS value, CASE WHEN s IS NULL OR lower(trim(s)) IN ('', '-', '--', '?', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'unknown', 'tbd') THEN 'unknown_token' WHEN v <> s THEN 'canonicalized' ELSE 'unchanged' END AS reason FROM c",
-    "placeholders": "SELECT DISTINCT phone, phone IN ('000-00-0000', '(123) 456-7890', '987654', 'xxxx', 'TBD', 'n/a ') OR lower(trim(phone)) IN ('-', '--', '?', 'n/a', 'none', 'unknown', 'null', 'na') AS made_up FROM (SELECT phone FROM healthcare_providers WHERE phone IS NOT NULL UNION SELECT unnest(['000-00-0000', '(123) 456-7890', '987654', 'xxxx', 'TBD', '1000', '2024', '0000', 'n/a ', '12-34', 'xx', '111111x']))",
+    "clean_policies": r"WITH c AS (SELECT record_id, nfc_normalize(specialty) AS s, lower(regexp_replace(trim(nfc_normalize(specialty)), '\s+', ' ', 'g')) AS v FROM healthcare_providers) SELECT record_id, CASE WHEN s IS NULL OR lower(trim(s)) IN ('', '-', '--', 'n/a', 'na', 'n.a.', 'nil', 'none', 'null', 'unknown', 'unspecified', 'not available', 'not applicable') THEN NULL ELSE v END AS value, CASE WHEN s IS NULL OR lower(trim(s)) IN ('', '-', '--', 'n/a', 'na', 'n.a.', 'nil', 'none', 'null', 'unknown', 'unspecified', 'not available', 'not applicable') THEN 'unknown_token' WHEN v <> s THEN 'canonicalized' ELSE 'unchanged' END AS reason FROM c",
+    "placeholders": "SELECT DISTINCT phone, phone IN ('000-00-0000', '(123) 456-7890', '987654', 'xxxx', 'TBD', 'n/a ') OR lower(trim(phone)) IN ('n/a', 'n.a.', 'null', 'unknown', 'unspecified', 'undefined', 'not available', 'not applicable', 'no data', 'no value', 'tbd', 'tba') AS made_up FROM (SELECT phone FROM healthcare_providers WHERE phone IS NOT NULL UNION SELECT unnest(['000-00-0000', '(123) 456-7890', '987654', 'xxxx', 'TBD', '1000', '2024', '0000', 'n/a ', '12-34', 'xx', '111111x']))",
     "grounded_values": f"SELECT trial_row, coalesce({_IN('condition')}, false) AS condition, coalesce({_IN('phase')}, false) AS phase, coalesce((len(w) + 1) // 2 <= len(list_filter(w, lambda x: contains({_TITLE}, x))), false) AS name FROM (SELECT *, list_filter(string_split_regex('adult_' || lower(replace(condition, ' ', '_')) || '_count', '[_\\s-]+'), lambda x: length(x) >= 3 AND x NOT IN ('count', 'type', 'rate', 'level', 'the', 'for', 'and')) AS w FROM clinical_trials)",
     "cell_faults": f"""SELECT fact_id, CASE WHEN v IS NULL OR length(v) < 2 THEN 'too short' WHEN NOT regexp_matches(v, '[A-Za-z0-9]') THEN 'punctuation' WHEN starts_with(lower(v), 'skip to ') THEN 'page navigation' END AS name,
         CASE WHEN regexp_matches(v, '^[0-9]{{4}}\\b') THEN 'year' WHEN starts_with(v, 'www.') THEN 'url' WHEN contains(v, 'learners') THEN 'enrolment' END AS city, CASE WHEN v <> '' AND NOT regexp_matches(v, '(?i)\\b[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\\.[a-z0-9-]+)*\\.[a-z]{{2,24}}\\b') THEN 'no host' END AS website, CASE WHEN contains(v, 'learners') THEN 'enrolment' END AS address
@@ -129,5 +129,5 @@ ORACLE = {
     "envelope_ids": "SELECT p_partkey, substr(sha1(sha256('run|1') || '|' || sha256(p_brand) || '|' || sha256(least(sha256(p_type), sha256(p_name)) || ',' || greatest(sha256(p_type), sha256(p_name))) || '|' || sha256(CAST(p_partkey AS VARCHAR))), 1, 32) AS fact_id FROM part",
     "safe_iris": "SELECT term_id, NOT regexp_matches(term, '[<>\"{}|^`\\\\\\s]') AS raw, NOT regexp_matches(term, '[<>\"{}|^`\\\\]') AS joined FROM known_terms",
     "tolerant_json": "SELECT n_regionkey, n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey <> 0",
-    "declared_datatypes": "WITH d AS (SELECT name, datatype, unnest(['integer', 'float', 'string']) AS seen FROM attribute_declarations) SELECT name, seen, CASE WHEN datatype = seen THEN seen WHEN datatype IN ('integer', 'float') AND seen IN ('integer', 'float') THEN 'float' ELSE 'string' END AS kept FROM d",
+    "declared_datatypes": "WITH d AS (SELECT name, datatype, unnest(['integer', 'float', 'string']) AS seen FROM attribute_declarations) SELECT name, seen, CASE WHEN datatype = 'string' THEN seen ELSE datatype END AS kept FROM d",
 }

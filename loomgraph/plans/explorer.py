@@ -147,8 +147,8 @@ def lookup_tiers(spark: SparkSession, root: str) -> DataFrame:
 
 def halt_reasons(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "events")
-    status = F.element_at(F.array(*[F.lit(x) for x in (200, 402, 403, 429, 500)]), (F.col("event_id") % 5 + 1).cast("int"))
-    return e.groupBy(quality.halt_reason(status, F.when(F.col("event_id") % 7 == 0, "Credit used up").otherwise("ok"), F.col("value"), 60.0).alias("reason")).agg(F.count("*").alias("n"))
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 402, 401, 429, 500, 200)]), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.groupBy(quality.halt_reason(status, F.col("user_id") % 2 == 0, F.col("event_id") % 7 == 0, F.col("value"), 60.0).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def text_candidates(spark: SparkSession, root: str) -> DataFrame:
@@ -215,7 +215,7 @@ ORACLE = {
     "provider_tally": f"WITH s AS (SELECT user_id, min(chain) FILTER (confidence >= 0.9) AS stop FROM {_V} GROUP BY 1) SELECT provider, count(*) AS asked, count(*) FILTER (confidence >= 0.9) AS answered FROM {_V} v JOIN s USING (user_id) WHERE stop IS NULL OR chain <= stop GROUP BY 1",
     "chain_costs": "SELECT organization AS tier, round(sum(CASE WHEN open_source THEN 0 ELSE input_price END), 4) AS cost, count(*) FILTER (NOT open_source AND input_price > 0) AS paid FROM llm_models GROUP BY 1",
     "lookup_tiers": "SELECT datatype, CASE WHEN bool_or(name IN ('website', 'phone')) THEN 'core' WHEN bool_and(name IN ('location', 'menu_url')) THEN 'lite' ELSE 'core' END AS tier FROM attribute_declarations GROUP BY 1",
-    "halt_reasons": "SELECT CASE WHEN event_id % 5 = 1 OR event_id % 7 = 0 THEN 'no_credit' WHEN event_id % 5 = 2 THEN 'no_access' WHEN value > 60 THEN 'ceiling' END AS reason, count(*) AS n FROM events GROUP BY 1",
+    "halt_reasons": "SELECT CASE WHEN value > 60 THEN 'cost_ceiling' WHEN event_id % 6 = 1 THEN 'billing' WHEN event_id % 6 = 3 AND user_id % 2 = 0 THEN 'rate_limit' WHEN event_id % 6 = 2 THEN 'auth' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 6 = 4 THEN 'error' END AS reason, count(*) AS n FROM events GROUP BY 1",
     "text_candidates": " UNION ALL ".join(_SHAPES(t, c) for t, c in (("documents", "text"), ("documents", "source"), ("documents", "lang"), ("clinical_trials", "title"), ("clinical_trials", "condition"), ("clinical_trials", "sponsor"), ("clinical_trials", "nct_id"))),
     "drift_history": "SELECT count(*) AS facts, count(*) FILTER (o_orderstatus = 'P') AS quarantined, '2000-01-01' AS taken FROM orders WHERE o_orderdate < TIMESTAMP '2000-01-01' UNION ALL SELECT count(*), count(*) FILTER (o_orderstatus = 'P'), '1998-01-01' FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'",
     "declared_instances": "SELECT 'types/' || unnest(['Customer', 'Customer', 'Customer', 'Supplier', 'Supplier', 'Nation', 'Order', 'Order', 'Order', 'Order', 'Order']) AS type, unnest(['attrs/acctbal', 'attrs/segment', 'onto/nation', 'attrs/acctbal', 'onto/nation', 'onto/region', 'attrs/total', 'attrs/status', 'attrs/date', 'attrs/priority', 'onto/customer']) AS p, unnest(['float', 'string', 'types/Nation', 'float', 'types/Nation', 'types/Region', 'float', 'string', 'datetime', 'string', 'types/Customer']) AS range FROM (SELECT min(c_custkey) FROM customer)",

@@ -28,7 +28,7 @@ def graph_list(spark: SparkSession, root: str) -> DataFrame:
 def typed_hits(spark: SparkSession, root: str) -> DataFrame:
     """Chunks found by a word, those about one type of entity only, by the type that lies in their attributes."""
     c = table(spark, root, "entity_semantic_chunk").filter(F.lower("chunk_text").contains("revenue"))
-    return c.filter(F.get_json_object("attrs", "$.type") == "Filing").select("chunk_id")
+    return c.filter(F.lower(F.trim(F.get_json_object("attrs", "$.type"))) == "filing").select("chunk_id")
 
 
 def migration_plan(spark: SparkSession, root: str) -> DataFrame:

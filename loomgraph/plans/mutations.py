@@ -95,8 +95,8 @@ def corrected_claims(spark: SparkSession, root: str) -> DataFrame:
 
 def recency_policy(spark: SparkSession, root: str) -> DataFrame:
     a = table(spark, root, "attribute_declarations")
-    rule = {(None, "rating"): True, ("CoffeeShop", None): False, ("CoffeeShop", "phone"): True, ("Other", "address"): True}
-    return a.select("name", records.recency_decides(rule, F.col("type_name"), F.col("name"), True).alias("later_wins"))
+    shop = lambda *names: [("CoffeeShop", n) for n in names]
+    return a.select("name", records.recency_decides(F.col("type_name"), F.col("name"), multivalued=shop("phone", "address", "website"), single=shop("phone")).alias("later_wins"), records.recency_decides(F.col("type_name"), F.col("name"), single=shop("rating"), default_multivalued=True).alias("by_default_several"))
 
 
 def cited_answers(spark: SparkSession, root: str) -> DataFrame:
@@ -208,7 +208,7 @@ ORACLE = {
     "corrected_claims": """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS v, c_custkey % 3 AS a FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'OTHER' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 2 = 0),
         x AS (SELECT coalesce(c.k, n.k) AS k, c.v AS old, n.v AS new, a, CASE WHEN n.k IS NULL THEN 'kept' WHEN c.k IS NULL THEN 'added' WHEN c.v = n.v THEN 'confirmed' WHEN a < 2 THEN 'refused' ELSE 'superseded' END AS action FROM c FULL JOIN n ON c.k = n.k)
         SELECT k AS c_custkey, CASE WHEN action IN ('kept', 'refused') THEN old ELSE new END AS c_mktsegment, CASE WHEN action IN ('kept', 'refused') THEN CASE a WHEN 0 THEN 'user_assertion' WHEN 1 THEN 'source_of_truth' ELSE 'supplementary' END ELSE 'machine_reverification' END AS authority, action FROM x""",
-    "recency_policy": "SELECT name, name IN ('rating', 'phone') OR type_name <> 'CoffeeShop' AS later_wins FROM attribute_declarations",
+    "recency_policy": "SELECT name, name NOT IN ('address', 'website') AS later_wins, name = 'rating' AS by_default_several FROM attribute_declarations",
     "cited_answers": "WITH p AS (SELECT s_nationkey AS k, arg_max('s' || s_suppkey % 7, (s_acctbal, 's' || s_suppkey % 7)) AS source, count(DISTINCT s_suppkey % 7) AS n FROM supplier WHERE s_nationkey % 4 <> 0 GROUP BY 1) SELECT n_nationkey AS k, source, coalesce(n, 0) AS n_sources, CASE WHEN n IS NULL THEN 'no source' END AS caveat FROM nation LEFT JOIN p ON k = n_nationkey",
     "display_companions": "WITH f AS (SELECT *, 'attrs/' || attribute AS p FROM coffee_shops_facts WHERE entity_id IS NOT NULL AND attribute IS NOT NULL), c AS (SELECT p || '~surface' AS p, raw_value AS o FROM f WHERE raw_value <> clean_value UNION ALL SELECT p || '~verdict', 'supported' FROM f WHERE outcome = 'passed' UNION ALL SELECT p || '~verified_at', strftime(checked_at, '%Y-%m-%dT%H:%M:%S') FROM f WHERE checked_at IS NOT NULL) SELECT p, count(*) AS n, min(o) AS low FROM c GROUP BY 1",
     "event_log": "SELECT CAST(event_id + 1 AS BIGINT) AS n, CAST(ts AS DATE) AS day, event_id, event_type AS kind FROM events WHERE event_id < 50 UNION ALL SELECT 50 + row_number() OVER (ORDER BY CAST(ts AS DATE), event_id), CAST(ts AS DATE), event_id, event_type FROM events WHERE event_id >= 50 AND event_type <> 'view'",
@@ -224,7 +224,7 @@ ORACLE = {
     "rejected_values": "SELECT 'attrs/phase' AS p, 'float' AS dtype, 'not float' AS reason, phase AS raw, count(*) AS n FROM clinical_trials WHERE trim(phase) <> '' AND NOT regexp_matches(trim(phase), '^[-+]?[0-9.]+$') GROUP BY phase",
     "keyless_rows": "SELECT true AS made, count(DISTINCT trial_row) AS n FROM clinical_trials WHERE trial_row % 4 = 0 OR trim(coalesce(nct_id, '')) = '' UNION ALL SELECT false, count(DISTINCT trim(nct_id)) FROM clinical_trials WHERE trial_row % 4 <> 0 AND trim(nct_id) <> ''",
     "row_conservation": f"SELECT 'Provider' AS type_name, count(*) AS rows_in, count(DISTINCT record_id) AS entities, 0 AS dropped FROM healthcare_providers UNION ALL SELECT 'City', count(*), count(DISTINCT {_SAFE('city')} || '_' || {_SAFE('state')}) FILTER (trim(city) <> '' AND trim(state) <> ''), count(*) FILTER (coalesce(trim(city), '') = '' OR coalesce(trim(state), '') = '') FROM healthcare_providers",
-    "attribute_decisions": "WITH n AS (SELECT name AS d, datatype AS t, unnest([name, 'Total ' || replace(name, '_', '-'), name || '_extra']) AS name FROM attribute_declarations) SELECT name, CASE WHEN name = d THEN 'reuse' WHEN starts_with(name, 'Total ') THEN 'rename' ELSE 'new' END AS action, CASE WHEN starts_with(name, 'Total ') THEN d ELSE name END AS resolved, CASE WHEN suffix(name, '_extra') THEN 'integer' WHEN t IN ('integer', 'float') THEN t ELSE 'string' END AS datatype FROM n",
+    "attribute_decisions": "WITH n AS (SELECT name AS d, datatype AS t, unnest([name, 'Total ' || replace(name, '_', '-'), name || '_extra']) AS name FROM attribute_declarations) SELECT name, CASE WHEN name = d THEN 'reuse' WHEN starts_with(name, 'Total ') THEN 'rename' ELSE 'new' END AS action, CASE WHEN starts_with(name, 'Total ') THEN d ELSE name END AS resolved, CASE WHEN suffix(name, '_extra') OR t = 'string' THEN 'integer' ELSE t END AS datatype FROM n",
     "declaration_upserts": "SELECT name, CASE WHEN datatype = 'float' THEN 'integer' ELSE datatype END AS datatype FROM attribute_declarations WHERE datatype <> 'geo' UNION ALL SELECT 'newcomer', 'string'",
     "row_lineage": "SELECT substr(sha1(concat_ws('|', sha1(coalesce(feed, '')), concat_ws('|', full_name, city))), 1, 16) AS lineage, count(*) AS copies FROM healthcare_providers GROUP BY 1",
 }
